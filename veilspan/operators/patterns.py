@@ -1,8 +1,9 @@
 """Pattern matching on the document's own row (DET1-DET5).
 
-One narrow pass: no rule table is joined to the documents.  The rules become
-literal expressions, each behind its guard; only rules whose test is true are
-located, and the located spans stay in an array on the row.
+One narrow pass: no rule table is joined to the documents.  A prefilter names
+the rules that can match a text (DET1), in a few passes shared by all rules;
+only those rules' patterns run, and the located spans stay in an array on the
+row.
 """
 
 from __future__ import annotations
@@ -15,178 +16,208 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import regex as rx
 from veilspan.functions.arrays import empty_array, let
+from veilspan.functions.build import generated
 from veilspan.functions.spans import clean, locate_marked, mark
 from veilspan.functions.validators import VALIDATORS
 from veilspan.plans.guards import (
+    RARE_RUNS,
+    RUN_CLASSES,
     Guard,
-    digits_condition,
     guard_for,
-    literal_condition,
+    implied_by,
+    is_rare,
+    literals_in,
+    longest_run,
     lowered,
 )
+from veilspan.sources.rules import collect_rules
 
-LOCATED = "struct<ord:int,start:int,end:int,value:string>"
+LOCATED = "struct<ord:int,start:int,end:int,value:string,aux:string>"
 
 
 @dataclass(frozen=True)
 class CompiledRule:
     ord: int
-    regex: str
     java: str
     replacement: str
     guard: Guard
-    validator: str | None
+    validator: str | None = None
+
+
+def compile_rule(ord_: int, pattern: str, validator: str | None = None) -> CompiledRule:
+    java, replacement = rx.locating_regex(pattern)
+    return CompiledRule(ord_, java, replacement, guard_for(pattern), validator)
 
 
 def compile_rules(rows: Iterable[Row]) -> list[CompiledRule]:
-    out = []
-    for r in rows:
-        java, replacement = rx.locating_regex(r["regex"])
-        out.append(
-            CompiledRule(r["ord"], r["regex"], java, replacement, guard_for(r["regex"]), r["validator"])
-        )
-    return out
+    return [compile_rule(r["ord"], r["regex"], r["validator"]) for r in rows]
 
 
-def add_hits(df: DataFrame, text: str, rules: Sequence[CompiledRule], out: str) -> DataFrame:
-    """Add ``out``: array of the ords of rules that match ``text`` (DET1).
+# ---- prefilter -----------------------------------------------------------
 
-    The lower-cased text and the digit guards are computed once per document
-    and shared by all rules.
-    """
+
+@generated
+def add_candidates(df: DataFrame, text: str, rules: Sequence[CompiledRule], out: str) -> DataFrame:
+    """Add ``out``: ascending rule numbers that can match ``text`` (DET1)."""
     if not rules:
         return df.withColumn(out, empty_array("int"))
-    low = f"_{out}_low"
-    steps = sorted({r.guard.digits for r in rules if r.guard.digits})
-    shared = {low: lowered(F.col(text))}
-    shared |= {f"_{out}_d{n}": digits_condition(F.col(text), n) for n in steps}
-    guarded = df.withColumns(shared)
+    classes = [c for c in RUN_CLASSES if any(c in r.guard.runs for r in rules)]
+    with_literal = [r for r in rules if r.guard.literals]
+    literals = sorted({x for r in with_literal for x in r.guard.literals})
+    common = sorted({x for r in with_literal if not is_rare(r.guard) for x in r.guard.literals})
+    found = f"_{out}_found"
+    runs = {c: f"_{out}_{c}" for c in classes}
+    measured = df.withColumns({runs[c]: longest_run(F.col(text), c) for c in classes})
+    if literals:
+        rare = F.lit(False)
+        for c in classes:
+            if c in RARE_RUNS:
+                rare = rare | (F.col(runs[c]) >= RARE_RUNS[c])
+        few = literals_in(lowered(F.col(text)), common) if common else empty_array("string")
+        measured = measured.withColumn(
+            found, F.when(rare, literals_in(lowered(F.col(text)), literals)).otherwise(few)
+        )
+
+    by_literal: dict[str, list[int]] = {}
+    for r in with_literal:
+        for x in r.guard.literals:
+            for y in implied_by(x, literals):
+                by_literal.setdefault(y, []).append(r.ord)
+    open_to_all = [r.ord for r in rules if not r.guard.literals]
+    named = F.array(*[F.lit(o) for o in open_to_all]).cast("array<int>")
+    if by_literal:
+        index = F.create_map(
+            *[
+                x
+                for word, ords in by_literal.items()
+                for x in (F.lit(word), F.array(*[F.lit(o) for o in sorted(set(ords))]))
+            ]
+        )
+        told = F.flatten(F.transform(F.col(found), lambda w: F.try_element_at(index, w)))
+        named = F.concat(named, told)
+
+    top = max(r.ord for r in rules) + 1
+
+    def needs(name: str) -> Column:
+        size = {r.ord: r.guard.runs.get(name, 0) for r in rules}
+        return F.array(*[F.lit(size.get(o, 0)) for o in range(top)])
+
+    def long_enough(o: Column, have: Column) -> Column:
+        cond = F.lit(True)
+        for name in classes:
+            cond = cond & (F.get(needs(name), o) <= have[name])
+        return cond
+
+    cand_all = cand = F.array_distinct(named)
+    if classes:
+        # the measured runs are bound once, outside the lambda over rules
+        have = F.struct(*[F.col(runs[c]).alias(c) for c in classes])
+        cand = let(have, lambda h: F.filter(cand_all, lambda o: long_enough(o, h)))
+    return (
+        measured.withColumn(out, F.array_sort(cand))
+        .drop(*runs.values(), found)
+    )
 
-    def test(r: CompiledRule) -> Column:
-        cond = F.col(text).rlike(r.java)
-        if r.guard.literals:
-            cond = literal_condition(F.col(low), r.guard.literals) & cond
-        elif r.guard.digits:
-            cond = F.col(f"_{out}_d{r.guard.digits}") & cond
-        return F.when(cond, F.lit(r.ord))
 
-    hits = F.array_compact(F.array(*[test(r) for r in rules]))
-    return guarded.withColumn(out, hits).drop(*shared)
+# ---- locating ------------------------------------------------------------
 
 
 def _case(key: Column, branches: Sequence[tuple[list[int], Column]], default: Column) -> Column:
-    """CASE over rule numbers."""
-    if not branches:
-        return default
-    (first, value), rest = branches[0], branches[1:]
-    expr = F.when(key.isin(first) if len(first) > 1 else key == first[0], value)
-    for ords, value in rest:
-        expr = expr.when(key.isin(ords) if len(ords) > 1 else key == ords[0], value)
-    return expr.otherwise(default)
+    """CASE over rule numbers, halved so that few comparisons are made."""
+    if len(branches) > 8 and all(len(ords) == 1 for ords, _ in branches):
+        mid = len(branches) // 2
+        return F.when(key < branches[mid][0][0], _case(key, branches[:mid], default)).otherwise(
+            _case(key, branches[mid:], default)
+        )
+    out = default
+    for ords, value in reversed(branches):
+        out = F.when(key.isin(ords) if len(ords) > 1 else key == ords[0], value).otherwise(out)
+    return out
 
 
 def checksum_ok(ord_: Column, value: Column, rules: Sequence[CompiledRule]) -> Column:
-    """The rule's check accepts the value; rules without one accept all (DET4)."""
+    """The rule's check accepts the value; rules without one accept all."""
     by_check: dict[str, list[int]] = {}
     for r in rules:
         if r.validator:
             by_check.setdefault(r.validator, []).append(r.ord)
-    branches = [
-        (ords, F.coalesce(VALIDATORS[kind](value), F.lit(False)))
-        for kind, ords in by_check.items()
-    ]
-    return _case(ord_, branches, F.lit(True))
+    if not by_check:
+        return F.lit(True)
+    checked = _case(
+        ord_, [(ords, VALIDATORS[kind](value)) for kind, ords in by_check.items()], F.lit(True)
+    )
+    gated = sorted(o for ords in by_check.values() for o in ords)
+    return ~ord_.isin(gated) | F.coalesce(checked, F.lit(False))
 
 
-def locate_hits(
-    text: Column, hits: Column, rules: Sequence[CompiledRule], gate: bool = True
-) -> Column:
-    """array<struct<ord,start,end,value>> of the matches of the rules in ``hits``.
+@generated
+def locate_candidates(text: Column, cand: Column, rules: Sequence[CompiledRule]) -> Column:
+    """array<struct<ord,start,end,value,aux>> of the matches of candidate rules.
 
-    The spans are in rule order, then in text order.  At most one framed copy
-    of the text is alive at a time.
+    Spans are in rule order, then in text order.  At most one framed copy of
+    the text is alive at a time.
     """
     if not rules:
         return empty_array(LOCATED)
+    ordered = sorted(rules, key=lambda r: r.ord)
 
     def matches(ord_: Column, cleaned: Column) -> Column:
         framed = _case(
             ord_,
-            [([r.ord], mark(cleaned, r.java, r.replacement)) for r in rules],
+            [([r.ord], mark(cleaned, r.java, r.replacement)) for r in ordered],
             F.lit(None).cast("string"),
         )
-        spans = locate_marked(framed)
-        if gate and any(r.validator for r in rules):
-            gated = [r.ord for r in rules if r.validator]
-            spans = F.when(
-                ord_.isin(gated),
-                F.filter(spans, lambda s: checksum_ok(ord_, s["value"], rules)),
-            ).otherwise(spans)
         return F.transform(
-            spans,
+            locate_marked(framed),
             lambda s: F.struct(
                 ord_.alias("ord"),
                 s["start"].alias("start"),
                 s["end"].alias("end"),
                 s["value"].alias("value"),
+                s["aux"].alias("aux"),
             ),
         )
 
-    return F.when(F.size(hits) == 0, empty_array(LOCATED)).otherwise(
-        let(clean(text), lambda c: F.flatten(F.transform(hits, lambda o: matches(o, c))))
+    return F.when(F.size(cand) == 0, empty_array(LOCATED)).otherwise(
+        let(clean(text), lambda c: F.flatten(F.transform(cand, lambda o: matches(o, c))))
     )
 
 
-def add_pattern_spans(
-    df: DataFrame,
-    text: str,
-    rules: Sequence[CompiledRule],
-    out: str,
-    gate: bool = True,
-) -> DataFrame:
-    """Add ``out``: located, checksum-gated matches of all rules."""
-    hits = f"_{out}_hits"
-    return (
-        add_hits(df, text, rules, hits)
-        .withColumn(out, locate_hits(F.col(text), F.col(hits), rules, gate))
-        .drop(hits)
-    )
+@generated
+def gate_spans(spans: Column, rules: Sequence[CompiledRule]) -> Column:
+    """Keep the spans whose value passes the check of their rule (DET4)."""
+    if not any(r.validator for r in rules):
+        return spans
+    return F.filter(spans, lambda s: checksum_ok(s["ord"], s["value"], rules))
 
 
-def candidates(docs: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(doc_id, ord) pairs that can match, one narrow pass (DET1)."""
-    from veilspan.sources.rules import collect_rules
-
-    rules = compile_rules(collect_rules(catalog))
-    return add_hits(docs, "text", rules, "_hits").select(
-        "doc_id", F.explode("_hits").alias("ord")
+def add_pattern_spans(
+    df: DataFrame, text: str, rules: Sequence[CompiledRule], out: str, gate: bool = True
+) -> DataFrame:
+    """Add ``out``: located matches of all rules, gated by their checks."""
+    cand = f"_{out}_cand"
+    located = add_candidates(df, text, rules, cand).withColumn(
+        out, locate_candidates(F.col(text), F.col(cand), rules)
     )
+    if gate and any(r.validator for r in rules):
+        located = located.withColumn(out, gate_spans(F.col(out), rules))
+    return located.drop(cand)
 
 
-def match_patterns(docs: DataFrame, catalog: DataFrame, gate: bool = False) -> DataFrame:
-    """One row per match of each rule: the findings table of DET2 (and DET4)."""
-    from veilspan.sources.rules import collect_rules
+# ---- table forms ---------------------------------------------------------
 
-    rows = collect_rules(catalog)
-    rules = compile_rules(rows)
-    spans = add_pattern_spans(docs, "text", rules, "_spans", gate)
-    return label_findings(
-        spans.select("doc_id", F.inline("_spans")), rows
-    )
 
+def unnest(df: DataFrame, column: str, required: str) -> DataFrame:
+    """One row per struct of an array column.
 
-def label_findings(spans: DataFrame, rows: Sequence[Row]) -> DataFrame:
-    """Name, category and severity of each span, looked up in literal arrays."""
-    return spans.select(
-        "doc_id",
-        "ord",
-        *[lookup(rows, field, F.col("ord")).alias(field) for field in ("name", "category", "severity")],
-        "start",
-        "end",
-        "value",
-    )
+    The outer form keeps the optimizer from adding a "size > 0" filter below,
+    which would evaluate the whole array expression a second time.
+    """
+    keep = [F.col(c) for c in df.columns if c != column]
+    return df.select(*keep, F.inline_outer(column)).filter(F.col(required).isNotNull())
 
 
+@generated
 def lookup(rows: Sequence[Row], field: str, ord_: Column) -> Column:
     """A rule's attribute by its number."""
     if not rows:
@@ -195,14 +226,31 @@ def lookup(rows: Sequence[Row], field: str, ord_: Column) -> Column:
     return F.try_element_at(table, ord_)
 
 
-def dedupe(findings: DataFrame) -> DataFrame:
-    """One row per (document, rule, start) (DET5)."""
-    return findings.dropDuplicates(["doc_id", "ord", "start"])
+def candidates(docs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(doc_id, ord) pairs that can match, one narrow pass (DET1)."""
+    rules = compile_rules(collect_rules(catalog))
+    cand = add_candidates(docs.select("doc_id", "text"), "text", rules, "_cand")
+    return cand.select("doc_id", F.explode_outer("_cand").alias("ord")).filter("ord is not null")
 
 
+def match_patterns(docs: DataFrame, catalog: DataFrame, gate: bool = False) -> DataFrame:
+    """One row per match of each rule (DET2, DET3; with ``gate`` also DET4)."""
+    rows = collect_rules(catalog)
+    spans = add_pattern_spans(
+        docs.select("doc_id", "text"), "text", compile_rules(rows), "_spans", gate
+    )
+    found = unnest(spans.select("doc_id", "_spans"), "_spans", "ord")
+    labels = [lookup(rows, f, F.col("ord")).alias(f) for f in ("name", "category", "severity")]
+    return found.select("doc_id", "ord", *labels, "start", "end", "value")
+
+
+@generated
 def checksum_gate(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     """Drop findings whose rule has a check that rejects the value (DET4)."""
-    from veilspan.sources.rules import collect_rules
-
     rules = compile_rules(collect_rules(catalog))
     return findings.filter(checksum_ok(F.col("ord"), F.col("value"), rules))
+
+
+def dedupe(findings: DataFrame) -> DataFrame:
+    """One row per (document, rule, start) (DET5)."""
+    return findings.dropDuplicates(["doc_id", "ord", "start"])

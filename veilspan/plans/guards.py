@@ -1,72 +1,106 @@
 """Cheap necessary conditions for a pattern, derived from its own syntax.
 
-A guard never changes results: it is a condition every match must meet (a
-literal it must contain, or a number of digits in a row).  Guards shared by
-many rules are computed once per document.
+A guard never changes results: it is a condition every match must meet.
+
+* literals: one of a few lower-case ASCII strings occurs in the text.  All
+  literals of all rules are found in one regex pass (``literals_in``).
+* runs: the text has a stretch of characters of one class (digits, capitals and
+  digits, hex, letters and digits) with at least n of them.  The longest run of
+  each class is measured once per document (``longest_run``).
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from itertools import product
 from re import _constants as C
 from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_ALTERNATIVES = 8
-SEPARATORS = set(" ./()+-")
-SEPARATOR_CLASS = "[ ./()+\\-]"
-MAX_SEPARATORS = 3
-DIGIT_STEPS = (4, 6, 8, 9, 10, 11, 12, 13, 15)
+from veilspan.functions.arrays import let
+
+MAX_ALTERNATIVES = 12
+MIN_LITERAL = 3
+WIDE = "\\x{660}-\\x{10FFFF}"  # holds every digit outside ASCII; may over-count
+_DIGITS = "0123456789"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SPACE = " \t\n\r\f\v"
+
+
+@dataclass(frozen=True)
+class RunClass:
+    members: frozenset[str]
+    java: str
+    separators: frozenset[str]
+    java_separators: str
+    minimum: int  # shorter runs are not worth a test
+
+
+_SEPARATORS = frozenset(" \t\n\r\f\v./()+-:<")
+_JAVA_SEPARATORS = "\\s\\x85\\xA0./()+:<\\-"
+RUN_CLASSES = {
+    "digit": RunClass(frozenset(_DIGITS), "0-9", _SEPARATORS, _JAVA_SEPARATORS, 4),
+    "upper": RunClass(frozenset(_DIGITS + _UPPER), "0-9A-Z", _SEPARATORS, _JAVA_SEPARATORS, 6),
+    "token": RunClass(
+        frozenset(_DIGITS + _UPPER + _UPPER.lower() + "_-+/=."),
+        "0-9A-Za-z_+/=.\\-", frozenset(), "", 16,
+    ),
+}
+# a text below both has none of the literals of rules that need one of them
+RARE_RUNS = {"digit": 6, "token": 16}
 
 
 @dataclass(frozen=True)
 class Guard:
-    literals: tuple[str, ...] = ()  # any of these, lower-cased, must occur
-    digits: int = 0  # at least this many digits, separators allowed between
+    literals: tuple[str, ...] = ()
+    runs: dict[str, int] = field(default_factory=dict, hash=False)
 
 
-def _chars(item) -> set[str] | None:
+def _chars(op, arg) -> frozenset[str] | None:
     """The characters of a one-character element, or None if not enumerable."""
-    op, arg = item
     if op is C.LITERAL:
-        return {chr(arg)}
+        return frozenset(chr(arg))
     if op is not C.IN:
         return None
     out: set[str] = set()
     for kind, value in arg:
         if kind is C.LITERAL:
             out.add(chr(value))
-        elif kind is C.RANGE:
-            if value[1] - value[0] > 64:
-                return None
+        elif kind is C.RANGE and value[1] - value[0] <= 64:
             out.update(chr(x) for x in range(value[0], value[1] + 1))
         elif kind is C.CATEGORY and value is C.CATEGORY_DIGIT:
-            out.update("0123456789")
+            out.update(_DIGITS)
+        elif kind is C.CATEGORY and value is C.CATEGORY_SPACE:
+            out.update(_SPACE)
         else:
             return None
-    return out
+    return frozenset(out)
 
 
 def _literals(seq) -> list[tuple[str, ...]]:
     """Sets of alternatives; each set has a member in every match of ``seq``."""
     found: list[tuple[str, ...]] = []
-    run = ""
+    run: list[str] = [""]
 
     def flush() -> None:
         nonlocal run
-        if run:
-            found.append((run,))
-        run = ""
+        if run != [""]:
+            found.append(tuple(run))
+        run = [""]
 
     for op, arg in seq:
-        if op is C.LITERAL and 32 < arg < 127:
-            run += chr(arg).lower()
-            continue
         if op is C.AT:
             continue
+        chars = _chars(op, arg)
+        if chars and all(32 < ord(c) < 127 for c in chars):
+            options = sorted({c.lower() for c in chars})
+            if len(options) * len(run) <= MAX_ALTERNATIVES:
+                run = [a + b for a, b in product(run, options)]
+                continue
         flush()
         if op is C.SUBPATTERN:
             found += _literals(arg[3])
@@ -83,65 +117,77 @@ def _literals(seq) -> list[tuple[str, ...]]:
 
 
 def _best(options: list[tuple[str, ...]]) -> tuple[str, ...]:
-    return max(options, key=lambda o: (min(len(x) for x in o), -len(o)), default=())
+    def score(o: tuple[str, ...]):
+        words = min(sum(c.isalpha() or c in "_-" for c in x) for x in o)
+        return min(len(x) for x in o), words, -len(o)
+
+    return max(options, key=score, default=())
 
 
-def _digit_run(seq) -> tuple[bool, int, int]:
-    """(only digits and separators, digits it must have, longest run inside)."""
-    loose, current, best, gap = True, 0, 0, 0
+def _run(seq, cls: RunClass, fold: bool) -> tuple[bool, int, int]:
+    """(all inside class and separators, members it must have, longest inside)."""
+    inside, current, best = True, 0, 0
+
+    def breaks() -> None:
+        nonlocal inside, current, best
+        inside, best, current = False, max(best, current), 0
+
     for op, arg in seq:
         if op is C.AT:
             continue
-        chars = _chars((op, arg))
-        if chars is not None and chars <= set("0123456789"):
-            current, gap = current + 1, 0
-        elif chars is not None and chars <= SEPARATORS:
-            gap += 1
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-            low, high, inner = arg
-            ok, n, deep = _digit_run(inner)
-            best = max(best, deep if low else 0)
-            if ok and n == 0:
-                gap = gap + int(high) if high is not C.MAXREPEAT else MAX_SEPARATORS + 1
-            elif ok:
-                # inner separators sit next to the digits of each repetition
-                current, gap = current + low * n, 0 if low else gap
-                best = max(best, current)
-            else:
-                loose, best, current, gap = False, max(best, current), 0, 0
-        elif op is C.SUBPATTERN:
-            ok, n, deep = _digit_run(arg[3])
-            best = max(best, deep)
+        chars = _chars(op, arg)
+        if chars is not None:
+            if fold:
+                chars = frozenset(x for c in chars for x in (c.lower(), c.upper()))
+            if chars <= cls.members:
+                current += 1
+            elif not chars <= (cls.members | cls.separators):
+                breaks()
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.SUBPATTERN):
+            low, inner = (1, arg[3]) if op is C.SUBPATTERN else (arg[0], arg[2])
+            ok, n, deep = _run(inner, cls, fold)
+            if low:
+                best = max(best, deep)
             if ok:
-                current, gap = current + n, 0 if n else gap
+                current += low * n
             else:
-                loose, best, current, gap = False, max(best, current), 0, 0
+                breaks()
         elif op is C.BRANCH:
-            parts = [_digit_run(branch) for branch in arg[1]]
+            parts = [_run(branch, cls, fold) for branch in arg[1]]
             best = max(best, min(p[2] for p in parts))
             if all(p[0] for p in parts):
-                current = current + min(p[1] for p in parts)
+                current += min(p[1] for p in parts)
             else:
-                loose, best, current, gap = False, max(best, current), 0, 0
+                breaks()
         else:
-            loose, best, current, gap = False, max(best, current), 0, 0
-        if gap > 2:
-            loose, best, current, gap = False, max(best, current), 0, 0
-    return loose, current, max(best, current)
+            breaks()
+    return inside, current, max(best, current)
 
 
 def guard_for(pattern: str) -> Guard:
     """Derive the guard of a rule pattern; an empty guard lets every text in."""
+    plain = re.sub(r"\(\?P?<(\w+)>", r"(?P<\1>", pattern)
+    plain = re.sub(r"\\[pP](?:\{\w+\}|\w)", r"\\w", plain)
     try:
-        tree = _parser.parse(re.sub(r"\(\?P?<(\w+)>", r"(?P<\1>", pattern))
-    except (re.error, OverflowError):
+        tree = _parser.parse(plain)
+    except (re.error, OverflowError, RecursionError):
         return Guard()
     literal = _best(_literals(tree))
-    digits = _digit_run(tree)[2]
-    step = max((s for s in DIGIT_STEPS if s <= digits), default=0)
-    if literal and (min(map(len, literal)) >= 3 or not step):
-        return Guard(literals=literal)
-    return Guard(digits=step)
+    if literal and min(map(len, literal)) < MIN_LITERAL and not (
+        len(literal) == 1 and not literal[0].isalnum()
+    ):
+        literal = ()
+    fold = bool(tree.state.flags & re.IGNORECASE) or "(?i" in plain
+    runs = {name: _run(tree, cls, fold)[2] for name, cls in RUN_CLASSES.items()}
+    runs = {k: n for k, n in runs.items() if n >= RUN_CLASSES[k].minimum}
+    if literal or runs.get("digit", 0) >= 8:
+        runs.pop("upper", None)
+    return Guard(literals=literal, runs=runs)
+
+
+def is_rare(guard: Guard) -> bool:
+    """The rule needs a run that ordinary text does not have."""
+    return any(guard.runs.get(k, 0) >= n for k, n in RARE_RUNS.items())
 
 
 def lowered(text: Column) -> Column:
@@ -149,12 +195,63 @@ def lowered(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
 
 
-def digits_condition(text: Column, n: int) -> Column:
-    return text.rlike(f"(?:\\p{{Nd}}{SEPARATOR_CLASS}{{0,{MAX_SEPARATORS}}}){{{n - 1}}}\\p{{Nd}}")
+def longest_run(text: Column, name: str) -> Column:
+    """Most members of a class in one stretch of members and separators."""
+    cls = RUN_CLASSES[name]
+    head, tail = f"[{cls.java}{WIDE}]", f"[{cls.java}{WIDE}{cls.java_separators}]"
+    once = f"(?<!{tail})" if not cls.java_separators else ""  # try each stretch once
+    runs = F.regexp_extract_all(
+        text, F.lit(f"{once}{head}{tail}{{{cls.minimum - 1},}}"), F.lit(0)
+    )
+    if cls.java_separators:
+        size = lambda r: F.char_length(F.regexp_replace(r, f"[{cls.java_separators}]+", ""))
+    else:
+        size = F.char_length
+    return F.coalesce(F.array_max(F.transform(runs, size)), F.lit(0))
+
+
+# ---- one pass over the text for all literals -----------------------------
+
+
+def _trie_regex(words: list[str]) -> str:
+    """A regex for the longest of the words at a position, factored by prefix."""
+    ends = "" in words
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            by_first.setdefault(w[0], []).append(w[1:])
+    if not by_first:
+        return ""
+    arms = [(c, re.escape(c) + _trie_regex(rest)) for c, rest in sorted(by_first.items())]
+    body = _split(arms)
+    if ends:
+        return f"(?:{body})?"
+    return f"(?:{body})" if len(arms) > 1 else body
+
+
+def _split(arms: list[tuple[str, str]]) -> str:
+    """Alternatives behind a look-ahead on halves of the first characters."""
+    if len(arms) <= 4:
+        return "|".join(a for _, a in arms)
+    size = max(4, (len(arms) + 3) // 4)
+    groups = [arms[i : i + size] for i in range(0, len(arms), size)]
+    return "|".join(
+        f"(?=[{''.join(re.escape(c) for c, _ in g)}])(?:{_split(g)})" for g in groups
+    )
+
+
+def literals_in(low: Column, literals: Iterable[str]) -> Column:
+    """The distinct longest literals that start somewhere in a lower-cased text.
+
+    The look-ahead finds overlapping occurrences; a literal that is a prefix of
+    a found one is implied by it (see ``implied_by``).
+    """
+    words = sorted(set(literals))
+    return F.array_distinct(
+        F.regexp_extract_all(low, F.lit(f"(?=({_trie_regex(words)}))"), F.lit(1))
+    )
 
 
-def literal_condition(low: Column, literals: tuple[str, ...]) -> Column:
-    cond = F.contains(low, F.lit(literals[0]))
-    for x in literals[1:]:
-        cond = cond | F.contains(low, F.lit(x))
-    return cond
+def implied_by(literal: str, literals: Iterable[str]) -> list[str]:
+    """Found literals that tell that ``literal`` occurs: itself and its extensions."""
+    return [x for x in literals if x.startswith(literal)]
