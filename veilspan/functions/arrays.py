@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspan.functions.build import lit, literals
+
 _POWERS_UP = list(range(31))
 _POWERS_DOWN = [1 << k for k in range(30, -1, -1)]
 
@@ -23,14 +25,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     A plain reuse of the expression inside a lambda would be evaluated again
     for each array element.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), body), lit(0))
 
 
 def _scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
     """Inclusive prefix scan by doubling: log2(n) passes over the array."""
 
     def one_pass(acc: Column, power: Column) -> Column:
-        step = F.call_function("shiftleft", F.lit(1), power)
+        step = F.call_function("shiftleft", lit(1), power)
         return F.transform(
             acc,
             lambda x, i: F.when(i >= step, combine(x, F.get(acc, i - step))).otherwise(x),
@@ -38,8 +40,8 @@ def _scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column
 
     return F.aggregate(
         F.filter(
-            F.array(*[F.lit(k) for k in _POWERS_UP]),
-            lambda k: F.call_function("shiftleft", F.lit(1), k) < F.size(values),
+            literals(_POWERS_UP, "int"),
+            lambda k: F.call_function("shiftleft", lit(1), k) < F.size(values),
         ),
         values,
         one_pass,
@@ -57,10 +59,10 @@ def prefix_max(values: Column) -> Column:
 def count_le(sorted_values: Column, x: Column) -> Column:
     """How many entries of an ascending array are <= x (binary search)."""
     return F.aggregate(
-        F.array(*[F.lit(p) for p in _POWERS_DOWN]),
-        F.lit(0),
+        literals(_POWERS_DOWN, "int"),
+        lit(0),
         lambda acc, p: F.when(
-            (acc + p <= F.size(sorted_values)) & (F.get(sorted_values, acc + p - F.lit(1)) <= x),
+            (acc + p <= F.size(sorted_values)) & (F.get(sorted_values, acc + p - lit(1)) <= x),
             acc + p,
         ).otherwise(acc),
     )
@@ -68,7 +70,7 @@ def count_le(sorted_values: Column, x: Column) -> Column:
 
 def count_lt(sorted_values: Column, x: Column) -> Column:
     """How many entries of an ascending integer array are < x."""
-    return count_le(sorted_values, x - F.lit(1))
+    return count_le(sorted_values, x - lit(1))
 
 
 def empty_array(ddl: str) -> Column:

@@ -1,12 +1,20 @@
-"""Building large generated expressions quickly."""
+"""Building large generated expressions quickly.
+
+A scan is an expression of thousands of nodes, each made by a call into the
+JVM.  Literals and whole expressions do not depend on the data, so they are
+made once per Spark context and reused by every plan.
+"""
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 
+from pyspark import SparkContext
 from pyspark.errors import utils as _origin
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 @contextmanager
@@ -21,7 +29,7 @@ def _quiet():
 
 
 def generated(fn: Callable) -> Callable:
-    """For functions that build expressions of thousands of nodes."""
+    """For functions that build expressions of many nodes."""
 
     @functools.wraps(fn)
     def run(*args, **kwargs):
@@ -29,3 +37,72 @@ def generated(fn: Callable) -> Callable:
             return fn(*args, **kwargs)
 
     return run
+
+
+_made: dict = {}
+
+
+def _store() -> dict:
+    """Expressions of the current Spark context."""
+    context = SparkContext._active_spark_context
+    if _made.get("context") is not context:
+        _made.clear()
+        _made["context"] = context
+        _made["columns"] = {}
+    return _made["columns"]
+
+
+def reused(fn: Callable) -> Callable:
+    """Keep the column a function makes; its arguments are names and settings."""
+
+    @functools.wraps(fn)
+    def run(*args):
+        store = _store()
+        key = (fn.__module__, fn.__qualname__, args)
+        if key not in store:
+            with _quiet():
+                store[key] = fn(*args)
+        return store[key]
+
+    return run
+
+
+def lit(value) -> Column:
+    store = _store()
+    key = ("lit", type(value), value)
+    if key not in store:
+        store[key] = F.lit(value)
+    return store[key]
+
+
+def _sql(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+        return f"'{escaped}'"
+    return str(value)
+
+
+def literals(values: Iterable, ddl: str) -> Column:
+    """An array of literals, made by one call."""
+    values = list(values)
+    key = ("array", tuple(values), ddl)
+    store = _store()
+    if key not in store:
+        store[key] = F.expr(f"cast(array({', '.join(map(_sql, values))}) as array<{ddl}>)")
+    return store[key]
+
+
+def literal_map(pairs: Iterable[tuple], ddl: str) -> Column:
+    """A map of literals, made by one call; tuple values become arrays."""
+    pairs = list(pairs)
+    key = ("map", tuple(pairs), ddl)
+    store = _store()
+    if key not in store:
+        parts = []
+        for k, v in pairs:
+            text = f"array({', '.join(map(_sql, v))})" if isinstance(v, tuple) else _sql(v)
+            parts += [_sql(k), text]
+        store[key] = F.expr(f"cast(map({', '.join(parts)}) as map<{ddl}>)")
+    return store[key]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspan.functions.build import lit
 from veilspan.functions.arrays import count_le, let, prefix_sum
 from veilspan.functions.regex import locating_regex
 
@@ -20,7 +21,7 @@ SPAN = "struct<start:int,end:int,value:string,aux:string>"
 def clean(text: Column) -> Column:
     """The text without the two framing characters, at equal byte length."""
     return F.when(
-        F.contains(text, F.lit(RECORD)) | F.contains(text, F.lit(FIELD)),
+        F.contains(text, lit(RECORD)) | F.contains(text, lit(FIELD)),
         F.translate(text, RECORD + FIELD, "\x03\x03"),
     ).otherwise(text)
 
@@ -30,14 +31,14 @@ def locate_marked(marked: Column) -> Column:
 
     def with_parts(parts: Column) -> Column:
         records = F.transform(
-            F.slice(parts, F.lit(2), F.size(parts) - F.lit(1)), lambda p: F.split(p, FIELD)
+            F.slice(parts, lit(2), F.size(parts) - lit(1)), lambda p: F.split(p, FIELD)
         )
-        base = F.octet_length(F.get(parts, F.lit(0)))
+        base = F.octet_length(F.get(parts, lit(0)))
 
         def length(r: Column, *fields: int) -> Column:
-            total = F.octet_length(F.get(r, F.lit(fields[0])))
+            total = F.octet_length(F.get(r, lit(fields[0])))
             for f in fields[1:]:
-                total = total + F.octet_length(F.get(r, F.lit(f)))
+                total = total + F.octet_length(F.get(r, lit(f)))
             return total
 
         def with_records(recs: Column) -> Column:
@@ -48,8 +49,8 @@ def locate_marked(marked: Column) -> Column:
                 return F.struct(
                     (stop - length(r, 2)).alias("start"),
                     stop.alias("end"),
-                    F.get(r, F.lit(2)).alias("value"),
-                    F.get(r, F.lit(0)).alias("aux"),
+                    F.get(r, lit(2)).alias("value"),
+                    F.get(r, lit(0)).alias("aux"),
                 )
 
             return F.zip_with(recs, ends, span)
@@ -61,7 +62,7 @@ def locate_marked(marked: Column) -> Column:
 
 def mark(text: Column, java: str, replacement: str) -> Column:
     """Frame the matches of a Java regex in a text free of control characters."""
-    return F.regexp_replace(text, F.lit(java), F.lit(replacement))
+    return F.regexp_replace(text, lit(java), lit(replacement))
 
 
 def locate(text: Column, pattern: str) -> Column:
@@ -72,26 +73,26 @@ def locate(text: Column, pattern: str) -> Column:
 
 def locate_literal(text: Column, literal: Column) -> Column:
     """All non-overlapping occurrences of a literal, left to right."""
-    framed = F.concat(F.lit(RECORD + FIELD + FIELD), literal, F.lit(FIELD))
+    framed = F.concat(lit(RECORD + FIELD + FIELD), literal, lit(FIELD))
     return locate_marked(F.replace(text, literal, framed))
 
 
 def line_starts(text: Column) -> Column:
     """Byte offset of each line's first byte (lines end with a newline)."""
-    lengths = F.transform(F.split(text, "\n"), lambda line: F.octet_length(line) + F.lit(1))
+    lengths = F.transform(F.split(text, "\n"), lambda line: F.octet_length(line) + lit(1))
     return let(
         prefix_sum(lengths),
         lambda ends: F.concat(
-            F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - F.lit(1))
+            F.array(lit(0)), F.slice(ends, lit(1), F.size(ends) - lit(1))
         ),
     )
 
 
 def line_of(starts: Column, offset: Column) -> Column:
     """0-based number of the line that holds a byte offset."""
-    return count_le(starts, offset) - F.lit(1)
+    return count_le(starts, offset) - lit(1)
 
 
 def byte_slice(raw: Column, start: Column, end: Column) -> Column:
     """Text between two byte offsets of a BINARY column."""
-    return F.substring(raw, start + F.lit(1), end - start).cast("string")
+    return F.substring(raw, start + lit(1), end - start).cast("string")

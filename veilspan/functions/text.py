@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspan.functions.build import lit
 from veilspan.functions.arrays import let
 
 
@@ -16,24 +17,24 @@ def shannon_entropy(text: Column) -> Column:
 
         def share(c: Column) -> Column:
             # occurrences of one character, by how much shorter the text gets
-            gone = F.octet_length(t) - F.octet_length(F.replace(t, c, F.lit("")))
+            gone = F.octet_length(t) - F.octet_length(F.replace(t, c, lit("")))
             return gone / F.octet_length(c) / n
 
         return F.aggregate(
             F.array_distinct(F.split(t, "")),
-            F.lit(0.0),
+            lit(0.0),
             lambda acc, c: acc - let(share(c), lambda p: p * F.log2(p)),
         )
 
-    return F.when(F.octet_length(text) == 0, F.lit(0.0)).otherwise(let(text, body))
+    return F.when(F.octet_length(text) == 0, lit(0.0)).otherwise(let(text, body))
 
 
 def name_to_tag(name: Column) -> Column:
     """``AWS Access Key ID`` -> ``[AWS_ACCESS_KEY_ID]``; nothing left -> ``[SECRET]``."""
     return let(
         F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9]+", "_"), "^_+|_+$", ""),
-        lambda core: F.when(core == "", F.lit("[SECRET]")).otherwise(
-            F.concat(F.lit("["), F.upper(core), F.lit("]"))
+        lambda core: F.when(core == "", lit("[SECRET]")).otherwise(
+            F.concat(lit("["), F.upper(core), lit("]"))
         ),
     )
 
@@ -41,7 +42,7 @@ def name_to_tag(name: Column) -> Column:
 def printable_ratio(text: Column) -> Column:
     """ASCII graphic or ASCII white space characters over bytes."""
     printable = F.length(F.regexp_replace(text, "[^\\x21-\\x7e \\t\\n\\f\\r]", ""))
-    return printable / F.greatest(F.octet_length(text), F.lit(1))
+    return printable / F.greatest(F.octet_length(text), lit(1))
 
 
 def lenient_base64(text: Column) -> Column:
@@ -52,11 +53,11 @@ def lenient_base64(text: Column) -> Column:
 
     def body(core: Column) -> Column:
         usable = F.when(
-            F.length(core) % 4 == 1, F.substring(core, F.lit(1), F.length(core) - 1)
+            F.length(core) % 4 == 1, F.substring(core, lit(1), F.length(core) - 1)
         ).otherwise(core)
         padded = let(
             usable,
-            lambda u: F.concat(u, F.repeat(F.lit("="), F.pmod(-F.length(u), F.lit(4)))),
+            lambda u: F.concat(u, F.repeat(lit("="), F.pmod(-F.length(u), lit(4)))),
         )
         return F.when(core.rlike("\\A[A-Za-z0-9+/]*\\z"), F.unbase64(padded))
 

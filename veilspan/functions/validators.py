@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.build import lit, literals
 from veilspan.functions.arrays import let
 
 Check = Callable[[Column], Column]
@@ -29,13 +30,13 @@ def digit_array(digits: Column) -> Column:
 
 
 def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0), lambda a, b: a + b)
+    return F.aggregate(values, lit(0), lambda a, b: a + b)
 
 
 def weighted_sum(values: Column, weights: list[int]) -> Column:
     """Sum of the first len(weights) entries times their weights."""
-    w = F.array(*[F.lit(x) for x in weights])
-    head = F.slice(values, F.lit(1), F.lit(len(weights)))
+    w = literals(weights, "int")
+    head = F.slice(values, lit(1), lit(len(weights)))
     return _sum(F.zip_with(head, w, lambda a, b: a * b))
 
 
@@ -47,7 +48,7 @@ def weighted_mod(values: Column, weights: list[int], m: int) -> Column:
 def mod97(numeric: Column) -> Column:
     """Remainder of a digit string by 97, digit by digit (SCL9)."""
     return F.aggregate(
-        F.split(numeric, ""), F.lit(0), lambda acc, c: (acc * 10 + c.try_cast("int")) % 97
+        F.split(numeric, ""), lit(0), lambda acc, c: (acc * 10 + c.try_cast("int")) % 97
     )
 
 
@@ -55,7 +56,7 @@ def dual_pass_mod11(values: Column, first: list[int], second: list[int]) -> Colu
     """Second weights when the first remainder is 10, then 0 (SCL10)."""
     r1 = weighted_mod(values, first, 11)
     r2 = weighted_mod(values, second, 11)
-    return F.when(r1 < 10, r1).when(r2 < 10, r2).otherwise(F.lit(0))
+    return F.when(r1 < 10, r1).when(r2 < 10, r2).otherwise(lit(0))
 
 
 def letter_value(c: Column) -> Column:
@@ -67,8 +68,8 @@ def mrz_digit(text: Column) -> Column:
     """Travel-document check digit: weights 7,3,1, filler counts 0 (SCL11)."""
     values = F.transform(
         F.split(text, ""),
-        lambda c, i: F.when(c == "<", F.lit(0)).otherwise(letter_value(c))
-        * F.get(F.array(F.lit(7), F.lit(3), F.lit(1)), i % 3),
+        lambda c, i: F.when(c == "<", lit(0)).otherwise(letter_value(c))
+        * F.get(literals([7, 3, 1], "int"), i % 3),
     )
     return _sum(values) % 10
 
@@ -90,7 +91,7 @@ def national_number(text: Column, cc: str) -> Column:
 
 def coordinates(text: Column) -> Column:
     """Signed decimals found in a text (SCL13)."""
-    tokens = F.regexp_extract_all(text, F.lit("[+-][0-9.]*|[0-9][0-9.]*"), F.lit(0))
+    tokens = F.regexp_extract_all(text, lit("[+-][0-9.]*|[0-9][0-9.]*"), lit(0))
     numbers = F.transform(
         F.filter(tokens, lambda t: t.rlike("[0-9]")), lambda t: t.try_cast("double")
     )
@@ -135,28 +136,28 @@ def luhn(text: Column) -> Column:
 def _nhs(d: Column) -> Column:
     return let(
         11 - weighted_mod(d, [10, 9, 8, 7, 6, 5, 4, 3, 2], 11),
-        lambda c: (c != 10) & (c % 11 == F.get(d, F.lit(9))),
+        lambda c: (c != 10) & (c % 11 == F.get(d, lit(9))),
     )
 
 
 def npi_80840(text: Column) -> Column:
     return let(
         digits_only(text),
-        lambda d: (F.length(d) == 10) & luhn(F.concat(F.lit("80840"), d)),
+        lambda d: (F.length(d) == 10) & luhn(F.concat(lit("80840"), d)),
     )
 
 
 def dea(text: Column) -> Column:
     letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
     seven = _on_digits(
-        7, lambda d: weighted_mod(d, [1, 2, 1, 2, 1, 2], 10) == F.get(d, F.lit(6))
+        7, lambda d: weighted_mod(d, [1, 2, 1, 2, 1, 2], 10) == F.get(d, lit(6))
     )
     return (letters >= 2) & seven(text)
 
 
 def iban_mod97(text: Column) -> Column:
     def body(raw: Column) -> Column:
-        turned = F.concat(F.substr(raw, F.lit(5)), F.substring(raw, 1, 4))
+        turned = F.concat(F.substr(raw, lit(5)), F.substring(raw, 1, 4))
         return F.when(
             raw.rlike("\\A[A-Z0-9]{5,34}\\z"), mod97(expand_letters(turned)) == 1
         ).otherwise(False)
@@ -171,8 +172,8 @@ def mrz_td3(text: Column) -> Column:
 
         def agrees(data: Column, at: int) -> Column:
             c = field(at, 1)
-            given = F.when(c == "<", F.lit(0)).otherwise(c.try_cast("int"))
-            return F.coalesce(mrz_digit(data) == given, F.lit(False))
+            given = F.when(c == "<", lit(0)).otherwise(c.try_cast("int"))
+            return F.coalesce(mrz_digit(data) == given, lit(False))
 
         composite = F.concat(field(1, 10), field(14, 7), field(22, 22))
         return (
@@ -192,7 +193,7 @@ def mrz_td3(text: Column) -> Column:
 
 def _pesel(d: Column) -> Column:
     s = weighted_mod(d, [1, 3, 7, 9, 1, 3, 7, 9, 1, 3], 10)
-    return (10 - s) % 10 == F.get(d, F.lit(10))
+    return (10 - s) % 10 == F.get(d, lit(10))
 
 
 def _bsn(d: Column) -> Column:
@@ -221,13 +222,13 @@ def spain_dni(text: Column) -> Column:
     shape = "([XYZxyz]?)([0-9]+)([A-Za-z])[^A-Za-z]*\\z"
 
     def body(parts: Column) -> Column:
-        prefix, digits = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+        prefix, digits = F.get(parts, lit(0)), F.get(parts, lit(1))
         number = F.concat(F.translate(F.upper(prefix), "XYZ", "012"), digits).try_cast("long")
         letter = F.substr(
-            F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), (number % 23).cast("int") + 1, F.lit(1)
+            lit("TRWAGMYFPDXBNJZSQVHLCKE"), (number % 23).cast("int") + 1, lit(1)
         )
         return F.when(
-            F.length(digits).between(7, 8), letter == F.upper(F.get(parts, F.lit(2)))
+            F.length(digits).between(7, 8), letter == F.upper(F.get(parts, lit(2)))
         ).otherwise(False)
 
     return let(F.array(*[F.regexp_extract(text, shape, i) for i in (1, 2, 3)]), body)
@@ -241,7 +242,7 @@ def brazil_cpf(text: Column) -> Column:
         def digit(n: int) -> Column:
             return (weighted_sum(d, list(range(n + 1, 1, -1))) * 10) % 11 % 10
 
-        return (digit(9) == F.get(d, F.lit(9))) & (digit(10) == F.get(d, F.lit(10)))
+        return (digit(9) == F.get(d, lit(9))) & (digit(10) == F.get(d, lit(10)))
 
     return ~digits_only(text).rlike(_REPEATED) & _on_digits(11, check)(text)
 
@@ -252,7 +253,7 @@ def brazil_cnpj(text: Column) -> Column:
 
         def digit(v: Column, weights: list[int]) -> Column:
             return let(
-                weighted_mod(v, weights, 11), lambda r: F.when(r < 2, F.lit(0)).otherwise(11 - r)
+                weighted_mod(v, weights, 11), lambda r: F.when(r < 2, lit(0)).otherwise(11 - r)
             )
 
         def both(v: Column) -> Column:
@@ -261,7 +262,7 @@ def brazil_cnpj(text: Column) -> Column:
                 F.concat(F.slice(v, 1, 12), F.array(first)),
                 [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2],
             )
-            return (first == F.get(v, F.lit(12))) & (second == F.get(v, F.lit(13)))
+            return (first == F.get(v, lit(12))) & (second == F.get(v, lit(13)))
 
         return F.when(
             body.rlike("\\A[A-Z0-9]{12}[0-9]{2}\\z") & ~body.rlike(_REPEATED),
@@ -273,7 +274,7 @@ def brazil_cnpj(text: Column) -> Column:
 
 def _estonia(d: Column) -> Column:
     first, second = [1, 2, 3, 4, 5, 6, 7, 8, 9, 1], [3, 4, 5, 6, 7, 8, 9, 1, 2, 3]
-    return dual_pass_mod11(d, first, second) == F.get(d, F.lit(10))
+    return dual_pass_mod11(d, first, second) == F.get(d, lit(10))
 
 
 def czech_rc(text: Column) -> Column:
@@ -295,7 +296,7 @@ def czech_rc(text: Column) -> Column:
 
 def _romania(d: Column) -> Column:
     r = weighted_mod(d, [2, 7, 9, 1, 4, 6, 3, 5, 8, 2, 7, 9], 11)
-    return F.when(r == 10, F.lit(1)).otherwise(r) == F.get(d, F.lit(12))
+    return F.when(r == 10, lit(1)).otherwise(r) == F.get(d, lit(12))
 
 
 def china_rid(text: Column) -> Column:
@@ -303,7 +304,7 @@ def china_rid(text: Column) -> Column:
         r = weighted_mod(
             digit_array(c), [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2], 11
         )
-        expected = F.substr(F.lit("10X98765432"), r + 1, F.lit(1))
+        expected = F.substr(lit("10X98765432"), r + 1, lit(1))
         return F.when(
             c.rlike("\\A[0-9]{17}[0-9Xx]\\z"), expected == F.upper(F.substring(c, 18, 1))
         ).otherwise(False)
@@ -317,9 +318,9 @@ def _turkey(d: Column) -> Column:
     tenth = (odd * 7 + 100 - even) % 10
     last = weighted_mod(d, [1] * 10, 10)
     return (
-        (F.get(d, F.lit(0)) != 0)
-        & (tenth == F.get(d, F.lit(9)))
-        & (last == F.get(d, F.lit(10)))
+        (F.get(d, lit(0)) != 0)
+        & (tenth == F.get(d, lit(9)))
+        & (last == F.get(d, lit(10)))
     )
 
 
@@ -362,7 +363,7 @@ def e164(text: Column) -> Column:
     special = "\\A(?:" + "|".join(SERVICE_CODES.split()) + ")"
 
     def body(d: Column) -> Column:
-        run = F.contains(F.lit("0123456789"), d) | F.contains(F.lit("9876543210"), d)
+        run = F.contains(lit("0123456789"), d) | F.contains(lit("9876543210"), d)
         return (
             F.length(d).between(8, 15)
             & ~d.rlike(_REPEATED)
@@ -381,7 +382,7 @@ def vin_na(text: Column) -> Column:
             F.translate(u, "ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789")
         )
         r = weighted_mod(values, [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2], 11)
-        check = F.when(r == 10, F.lit("X")).otherwise(r.cast("string"))
+        check = F.when(r == 10, lit("X")).otherwise(r.cast("string"))
         return F.when(
             u.rlike("\\A[A-HJ-NPR-Z0-9]{17}\\z") & ~vin.rlike(_REPEATED),
             F.substring(u, 9, 1) == check,
@@ -396,7 +397,7 @@ def vin_na(text: Column) -> Column:
 
 
 def _imo(d: Column) -> Column:
-    return weighted_mod(d, [7, 6, 5, 4, 3, 2], 10) == F.get(d, F.lit(6))
+    return weighted_mod(d, [7, 6, 5, 4, 3, 2], 10) == F.get(d, lit(6))
 
 
 def iso6346(text: Column) -> Column:
@@ -418,13 +419,13 @@ def iso6346(text: Column) -> Column:
 
 def _s10(d: Column) -> Column:
     c = 11 - weighted_mod(d, [8, 6, 4, 2, 3, 5, 9, 7], 11)
-    check = F.when(c == 10, F.lit(0)).when(c == 11, F.lit(5)).otherwise(c)
-    return check == F.get(d, F.lit(8))
+    check = F.when(c == 10, lit(0)).when(c == 11, lit(5)).otherwise(c)
+    return check == F.get(d, lit(8))
 
 
 def geo_coord(text: Column) -> Column:
     def body(n: Column) -> Column:
-        a, b = F.abs(F.get(n, F.lit(0))), F.abs(F.get(n, F.lit(1)))
+        a, b = F.abs(F.get(n, lit(0))), F.abs(F.get(n, lit(1)))
         ranged = ((a <= 90) & (b <= 180)) | ((b <= 90) & (a <= 180))
         return F.when(F.size(n) >= 2, ranged).otherwise(False)
 
@@ -434,10 +435,10 @@ def geo_coord(text: Column) -> Column:
 def orcid(text: Column) -> Column:
     def body(c: Column) -> Column:
         total = F.aggregate(
-            digit_array(F.substring(c, 1, 15)), F.lit(0), lambda acc, v: (acc + v) * 2 % 11
+            digit_array(F.substring(c, 1, 15)), lit(0), lambda acc, v: (acc + v) * 2 % 11
         )
         r = (12 - total) % 11
-        check = F.when(r == 10, F.lit("X")).otherwise(r.cast("string"))
+        check = F.when(r == 10, lit("X")).otherwise(r.cast("string"))
         return F.when(
             c.rlike("\\A[0-9]{15}[0-9Xx]\\z"), F.upper(F.substring(c, 16, 1)) == check
         ).otherwise(False)
@@ -511,7 +512,7 @@ def register_validator(name: str, check: Check) -> None:
 
 def validate_ids(df: DataFrame, col: str, kind: str, out: str = "valid") -> DataFrame:
     """Add a BOOLEAN column: does ``col`` pass the named check."""
-    return df.withColumn(out, F.coalesce(VALIDATORS[kind](F.col(col)), F.lit(False)))
+    return df.withColumn(out, F.coalesce(VALIDATORS[kind](F.col(col)), lit(False)))
 
 
 def id_quality_report(df: DataFrame, cols: dict[str, str]) -> DataFrame:
@@ -519,9 +520,9 @@ def id_quality_report(df: DataFrame, cols: dict[str, str]) -> DataFrame:
     pairs = F.array(
         *[
             F.struct(
-                F.lit(c).alias("column"),
-                F.lit(kind).alias("kind"),
-                F.when(F.col(c).isNotNull(), F.coalesce(VALIDATORS[kind](F.col(c)), F.lit(False)))
+                lit(c).alias("column"),
+                lit(kind).alias("kind"),
+                F.when(F.col(c).isNotNull(), F.coalesce(VALIDATORS[kind](F.col(c)), lit(False)))
                 .alias("valid"),
             )
             for c, kind in cols.items()

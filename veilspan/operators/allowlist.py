@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspan.functions.build import lit
 from veilspan.functions.arrays import count_le, let, prefix_max
 from veilspan.functions.regex import UnsupportedPattern, java_regex
 from veilspan.sources import fixed_values
@@ -42,7 +43,7 @@ def allow_index(spans: Column) -> Column:
 def is_allowed(index: Column, start: Column, end: Column) -> Column:
     """The span lies fully inside one allow-list match."""
     n = count_le(index["starts"], start)
-    return F.coalesce(F.get(index["reach"], n - F.lit(1)) >= end, F.lit(False))
+    return F.coalesce(F.get(index["reach"], n - lit(1)) >= end, lit(False))
 
 
 def suppress(spans: Column, index: Column) -> Column:
@@ -64,7 +65,7 @@ def allowlist_suppress(findings: DataFrame, allowed: DataFrame) -> DataFrame:
     A running maximum over (start, allow-list first) replaces the join, so no
     pair of rows is ever formed.  ``allowed`` has doc_id, start, end.
     """
-    marked = findings.withColumn("_allow_end", F.lit(None).cast("int")).unionByName(
+    marked = findings.withColumn("_allow_end", lit(None).cast("int")).unionByName(
         allowed.select("doc_id", "start", "end", F.col("end").alias("_allow_end")),
         allowMissingColumns=True,
     )
@@ -73,6 +74,6 @@ def allowlist_suppress(findings: DataFrame, allowed: DataFrame) -> DataFrame:
     return (
         marked.withColumn("_reach", reach)
         .filter(F.col("_allow_end").isNull())
-        .filter(F.col("start").isNull() | F.coalesce(F.col("_reach") < F.col("end"), F.lit(True)))
+        .filter(F.col("start").isNull() | F.coalesce(F.col("_reach") < F.col("end"), lit(True)))
         .select(*findings.columns)
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.arrays import count_lt, let
-from veilspan.functions.build import generated
+from veilspan.functions.build import generated, lit, literals, reused
 from veilspan.functions.regex import FLAGS, java_regex
 from veilspan.functions.spans import byte_slice, line_of, line_starts, locate
 from veilspan.functions.text import (
@@ -110,9 +110,9 @@ def _of(loc: Column, ords) -> Column:
 
 
 def _found(name: Column | str, start: Column | None = None, end: Column | None = None) -> Column:
-    none = F.lit(None).cast("int")
+    none = lit(None).cast("int")
     return F.struct(
-        (F.lit(name) if isinstance(name, str) else name).alias("name"),
+        (lit(name) if isinstance(name, str) else name).alias("name"),
         (none if start is None else start).alias("start"),
         (none if end is None else end).alias("end"),
     ).cast(DEEP)
@@ -162,8 +162,8 @@ def private_keys(text: Column) -> Column:
     head, foot = java_regex(fx.KEY_HEADER), java_regex(fx.KEY_FOOTER)
 
     def blocks(t: Column) -> Column:
-        start = F.regexp_instr(t, F.lit(head)) + F.length(F.regexp_substr(t, F.lit(head)))
-        stop = F.regexp_instr(t, F.lit(foot))
+        start = F.regexp_instr(t, lit(head)) + F.length(F.regexp_substr(t, lit(head)))
+        stop = F.regexp_instr(t, lit(foot))
         body = F.substr(t, start, stop - start)
         return (
             F.when(~t.rlike(head), _none())
@@ -171,17 +171,17 @@ def private_keys(text: Column) -> Column:
             .otherwise(_when(body.rlike("(?U)\\S"), "Private Key"))
         )
 
-    private = F.when(F.contains(text, F.lit("-----BEGIN")), blocks(text)).otherwise(_none())
+    private = F.when(F.contains(text, lit("-----BEGIN")), blocks(text)).otherwise(_none())
     return F.concat(private, _when(text.rlike(java_regex(fx.SSH_PUBLIC)), "SSH Public Key"))
 
 
 def credential_composites(loc: Column, p: Probes) -> Column:
     """User and password pairs and credentials in URLs (DEEP6)."""
-    names = F.array(*[F.lit(n) for _, n in fx.CREDENTIALS])
+    names = literals([n for _, n in fx.CREDENTIALS], "string")
     return F.transform(
         _of(loc, p.credentials),
         lambda s: _found(
-            F.get(names, s["ord"] - F.lit(p.credentials.start)), s["start"], s["end"]
+            F.get(names, s["ord"] - lit(p.credentials.start)), s["start"], s["end"]
         ),
     )
 
@@ -189,8 +189,8 @@ def credential_composites(loc: Column, p: Probes) -> Column:
 def _window(lines: Column, raw: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """From the start of the line of ``start`` to the end of the line after ``end``'s."""
     first = F.get(lines, line_of(lines, start))
-    after = F.get(lines, line_of(lines, end) + F.lit(2))
-    return first, F.coalesce(after - F.lit(1), F.octet_length(raw))
+    after = F.get(lines, line_of(lines, end) + lit(2))
+    return first, F.coalesce(after - lit(1), F.octet_length(raw))
 
 
 def card_with_expiry(text: Column, loc: Column, p: Probes) -> Column:
@@ -225,7 +225,7 @@ def json_blocks(text: Column) -> Column:
     block ended, so flat objects do not count.  A stray closing brace drives
     the depth below zero.
     """
-    pieces = F.regexp_extract_all(text, F.lit('[{}"\\\\]|[^{}"\\\\]+'), F.lit(0))
+    pieces = F.regexp_extract_all(text, lit('[{}"\\\\]|[^{}"\\\\]+'), lit(0))
     zero = F.expr(
         "named_struct('at', 0, 'depth', 0, 'quoted', false, 'escaped', false, 'open', 0, "
         "'braces', 0, 'blocks', cast(array() as array<struct<start:int,end:int>>))"
@@ -245,7 +245,7 @@ def json_blocks(text: Column) -> Column:
             F.when((piece == '"') & ~a["escaped"], free).otherwise(a["quoted"]).alias("quoted"),
             ((piece == "\\") & a["quoted"] & ~a["escaped"]).alias("escaped"),
             F.when(opens & (a["depth"] == 0), a["at"]).otherwise(a["open"]).alias("open"),
-            F.when(ends, F.lit(0)).otherwise(seen).alias("braces"),
+            F.when(ends, lit(0)).otherwise(seen).alias("braces"),
             F.when(ends & (seen > 2), F.concat(a["blocks"], block))
             .otherwise(a["blocks"])
             .alias("blocks"),
@@ -274,7 +274,7 @@ def json_secrets(text: Column) -> Column:
         return let(byte_slice(raw, b["start"], b["end"]), values)
 
     return F.when(
-        F.contains(text, F.lit("{")) & F.lower(text).rlike(quoted_key),
+        F.contains(text, lit("{")) & F.lower(text).rlike(quoted_key),
         let(
             text.cast("binary"),
             lambda raw: F.flatten(F.transform(json_blocks(text), lambda b: of_block(raw, b))),
@@ -302,8 +302,8 @@ def proximity_secrets(text: Column, loc: Column, p: Probes) -> Column:
 
         def copies(cc: Column, s: Column) -> Column:
             def near(j: Column) -> Column:
-                before = F.coalesce(F.get(cc["flags"], j - F.lit(1)), F.lit(0))
-                after = F.coalesce(F.get(cc["flags"], j + F.lit(1)), F.lit(0))
+                before = F.coalesce(F.get(cc["flags"], j - lit(1)), lit(0))
+                after = F.coalesce(F.get(cc["flags"], j + lit(1)), lit(0))
                 return F.array_repeat(
                     _found("Proximity Secret", s["start"], s["end"]), before + after
                 )
@@ -324,12 +324,12 @@ def vendor_host_tokens(text: Column, loc: Column, p: Probes) -> Column:
     the window of an anchor is a range of its sorted starts.
     """
     shapes = list(dict.fromkeys(s for _, _, s in fx.HOST_GATED))
-    names = F.array(*[F.lit(n) for n, _, _ in fx.HOST_GATED])
-    shape_no = F.array(*[F.lit(shapes.index(s)) for _, _, s in fx.HOST_GATED])
+    names = literals([n for n, _, _ in fx.HOST_GATED], "string")
+    shape_no = literals([shapes.index(s) for _, _, s in fx.HOST_GATED], "int")
     finders = [compile_rule(i, s) for i, s in enumerate(shapes)]
 
     def entry(s: Column) -> Column:
-        return s["ord"] - F.lit(p.hosts.start)
+        return s["ord"] - lit(p.hosts.start)
 
     def pick(c: Column, spans: Column, a: Column) -> Column:
         def choose(starts: Column) -> Column:
@@ -395,7 +395,7 @@ def mnemonic_runs(text: Column, words: Sequence[str]) -> Column:
             lambda r: _found(
                 "BIP39 mnemonic",
                 F.get(tokens, r["start"])["start"],
-                F.get(tokens, r["end"] - F.lit(1))["end"],
+                F.get(tokens, r["end"] - lit(1))["end"],
             ),
         )
 
@@ -405,7 +405,7 @@ def mnemonic_runs(text: Column, words: Sequence[str]) -> Column:
 def decoded_texts(text: Column) -> Column:
     """array<struct<text,readable,binary>>: base64 runs of a text that decode to UTF-8."""
     strong = F.filter(
-        F.regexp_extract_all(text, F.lit(fx.BASE64_RUN), F.lit(0)),
+        F.regexp_extract_all(text, lit(fx.BASE64_RUN), lit(0)),
         lambda v: shannon_entropy(v) >= 4.5,
     )
     decoded = F.filter(
@@ -437,7 +437,7 @@ def _children(level: Column) -> Column:
 
 def locate_all(text: Column, p: Probes) -> Column:
     """Located spans of every deep pattern, without the prefilter."""
-    every = F.array(*[F.lit(r.ord) for r in p.rules])
+    every = literals([r.ord for r in p.rules], "int")
     return locate_candidates(text, every, p.rules)
 
 
@@ -461,23 +461,11 @@ def _names(findings: Column) -> Column:
     return F.transform(findings, lambda f: f["name"])
 
 
-@generated
-def add_base64_types(
-    df: DataFrame, text: str, loc: str, p: Probes, words: Sequence[str], out: str
-) -> DataFrame:
-    """Add ``out``: finding names from base64 text, three levels deep (DEEP4).
-
-    All decoded texts of a document are listed level by level; the heuristics
-    then run once over that list, and the names are passed up to the root.
-    """
-    b1, b2, b3, b4, own = (f"_{out}_{k}" for k in ("1", "2", "3", "4", "own"))
-    any_run = F.exists(F.col(loc), lambda s: _in(s, p.base64))
-    nothing = F.expr("cast(array() as array<struct<text:string,readable:boolean,binary:boolean>>)")
-    df = df.withColumn(b1, F.when(any_run, decoded_texts(F.col(text))).otherwise(nothing))
-    for lower, upper in ((b2, b1), (b3, b2), (b4, b3)):
-        df = df.withColumn(lower, _children(F.col(upper)))
+@reused
+def _own_names(b1: str, b2: str, b3: str, p: Probes, words: tuple[str, ...]) -> Column:
+    """Names found in each decoded text itself, before and after the base64 step."""
 
-    def own_names(node: Column) -> Column:
+    def of(node: Column) -> Column:
         t = node["text"]
 
         def both(spans: Column) -> Column:
@@ -496,20 +484,37 @@ def add_base64_types(
             F.col(level), lambda n: F.struct(n["text"].alias("text"), n["readable"].alias("readable"))
         )
 
-    df = df.withColumn(
-        own, F.transform(F.concat(bare(b1), bare(b2), bare(b3)), lambda n: own_names(n))
-    )
+    return F.transform(F.concat(bare(b1), bare(b2), bare(b3)), of)
+
+
+@generated
+def add_base64_types(
+    df: DataFrame, text: str, loc: str, p: Probes, words: Sequence[str], out: str
+) -> DataFrame:
+    """Add ``out``: finding names from base64 text, three levels deep (DEEP4).
+
+    All decoded texts of a document are listed level by level; the heuristics
+    then run once over that list, and the names are passed up to the root.
+    """
+    b1, b2, b3, b4, own = (f"_{out}_{k}" for k in ("1", "2", "3", "4", "own"))
+    any_run = F.exists(F.col(loc), lambda s: _in(s, p.base64))
+    nothing = F.expr("cast(array() as array<struct<text:string,readable:boolean,binary:boolean>>)")
+    df = df.withColumn(b1, F.when(any_run, decoded_texts(F.col(text))).otherwise(nothing))
+    for lower, upper in ((b2, b1), (b3, b2), (b4, b3)):
+        df = df.withColumn(lower, _children(F.col(upper)))
+
+    df = df.withColumn(own, _own_names(b1, b2, b3, p, words))
 
     def emitted(total: Column | None, node: Column) -> Column:
         """What one decoded text adds to the text it was found in."""
         none = F.expr("cast(array() as array<string>)")
         binary = F.when(
-            node["binary"], F.array(F.lit("Base64 (Binary/Key Material)"))
+            node["binary"], F.array(lit("Base64 (Binary/Key Material)"))
         ).otherwise(none)
         if total is None:
             return binary
         inner = F.when(
-            F.size(total) > 0, F.concat(F.array(F.lit("Base64 Encoded Secret")), total)
+            F.size(total) > 0, F.concat(F.array(lit("Base64 Encoded Secret")), total)
         ).otherwise(none)
         return F.concat(inner, binary)
 
@@ -522,7 +527,7 @@ def add_base64_types(
             lambda n: F.struct(n["parent"].alias("parent"), emitted(None, n).alias("names")),
         ),
     )
-    offsets = {b1: F.lit(0), b2: F.size(b1), b3: F.size(b1) + F.size(b2)}
+    offsets = {b1: lit(0), b2: F.size(b1), b3: F.size(b1) + F.size(b2)}
     for level, lower, e in ((b3, e4, e3), (b2, e3, e2), (b1, e2, e1)):
 
         def add(level: str, lower: str) -> Column:
@@ -531,7 +536,7 @@ def add_base64_types(
                 inner = F.flatten(F.transform(mine, lambda x: x["names"]))
                 parts = F.get(c["own"], c["offset"] + i)
                 total = F.concat(parts["before"], inner, parts["after"])
-                parent = F.lit(0) if level == b1 else node["parent"]
+                parent = lit(0) if level == b1 else node["parent"]
                 return F.struct(
                     parent.alias("parent"),
                     emitted(
@@ -555,14 +560,18 @@ def add_base64_types(
 
 @generated
 def add_deep_findings(
-    df: DataFrame, text: str, loc: str, p: Probes, words: Sequence[str], out: str
+    df: DataFrame, text: str, loc: str, p: Probes, words: tuple[str, ...], out: str
 ) -> DataFrame:
     """Add ``out``: findings of all heuristics, in their fixed order."""
     inner = f"_{out}_b64"
     df = add_base64_types(df, text, loc, p, words, inner)
-    found = F.concat(
+    return df.withColumn(out, _all_findings(text, loc, inner, p, words)).drop(inner)
+
+
+@reused
+def _all_findings(text: str, loc: str, inner: str, p: Probes, words: tuple[str, ...]) -> Column:
+    return F.concat(
         _before(F.col(loc), p),
         F.transform(F.col(inner), lambda n: _found(n)),
         _after(F.col(text), F.col(loc), p, words),
     )
-    return df.withColumn(out, found).drop(inner)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.build import lit
 from veilspan.functions.arrays import let
 from veilspan.functions.spans import locate_literal
 from veilspan.functions.text import shannon_entropy
@@ -79,7 +80,7 @@ def occurrences(runs: Column, tokens: Column) -> Column:
 
 def entropy_tokens(docs: DataFrame, min_len: int, max_len: int, threshold: float) -> DataFrame:
     """One row per token, duplicates kept (DET7)."""
-    runs = F.regexp_extract_all(F.col("text"), F.lit(run_regex(min_len, threshold)), F.lit(0))
+    runs = F.regexp_extract_all(F.col("text"), lit(run_regex(min_len, threshold)), lit(0))
     words = docs.select("doc_id", F.explode_outer(runs).alias("value")).filter(
         F.octet_length("value").between(min_len, max_len)
     )

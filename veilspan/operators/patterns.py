@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import regex as rx
 from veilspan.functions.arrays import empty_array, let
-from veilspan.functions.build import generated
+from veilspan.functions.build import generated, lit, literal_map, literals, reused
 from veilspan.functions.spans import clean, locate_marked, mark
 from veilspan.functions.validators import VALIDATORS
 from veilspan.plans.guards import (
@@ -63,35 +63,32 @@ def add_candidates(df: DataFrame, text: str, rules: Sequence[CompiledRule], out:
         return df.withColumn(out, empty_array("int"))
     classes = [c for c in RUN_CLASSES if any(c in r.guard.runs for r in rules)]
     with_literal = [r for r in rules if r.guard.literals]
-    literals = sorted({x for r in with_literal for x in r.guard.literals})
+    words = sorted({x for r in with_literal for x in r.guard.literals})
     common = sorted({x for r in with_literal if not is_rare(r.guard) for x in r.guard.literals})
     found = f"_{out}_found"
     runs = {c: f"_{out}_{c}" for c in classes}
     measured = df.withColumns({runs[c]: longest_run(F.col(text), c) for c in classes})
-    if literals:
-        rare = F.lit(False)
+    if words:
+        rare = lit(False)
         for c in classes:
             if c in RARE_RUNS:
                 rare = rare | (F.col(runs[c]) >= RARE_RUNS[c])
         few = literals_in(lowered(F.col(text)), common) if common else empty_array("string")
         measured = measured.withColumn(
-            found, F.when(rare, literals_in(lowered(F.col(text)), literals)).otherwise(few)
+            found, F.when(rare, literals_in(lowered(F.col(text)), words)).otherwise(few)
         )
 
     by_literal: dict[str, list[int]] = {}
     for r in with_literal:
         for x in r.guard.literals:
-            for y in implied_by(x, literals):
+            for y in implied_by(x, words):
                 by_literal.setdefault(y, []).append(r.ord)
     open_to_all = [r.ord for r in rules if not r.guard.literals]
-    named = F.array(*[F.lit(o) for o in open_to_all]).cast("array<int>")
+    named = literals(open_to_all, "int")
     if by_literal:
-        index = F.create_map(
-            *[
-                x
-                for word, ords in by_literal.items()
-                for x in (F.lit(word), F.array(*[F.lit(o) for o in sorted(set(ords))]))
-            ]
+        index = literal_map(
+            [(word, tuple(sorted(set(ords)))) for word, ords in by_literal.items()],
+            "string,array<int>",
         )
         told = F.flatten(F.transform(F.col(found), lambda w: F.try_element_at(index, w)))
         named = F.concat(named, told)
@@ -100,10 +97,10 @@ def add_candidates(df: DataFrame, text: str, rules: Sequence[CompiledRule], out:
 
     def needs(name: str) -> Column:
         size = {r.ord: r.guard.runs.get(name, 0) for r in rules}
-        return F.array(*[F.lit(size.get(o, 0)) for o in range(top)])
+        return literals([size.get(o, 0) for o in range(top)], "int")
 
     def long_enough(o: Column, have: Column) -> Column:
-        cond = F.lit(True)
+        cond = lit(True)
         for name in classes:
             cond = cond & (F.get(needs(name), o) <= have[name])
         return cond
@@ -142,12 +139,12 @@ def checksum_ok(ord_: Column, value: Column, rules: Sequence[CompiledRule]) -> C
         if r.validator:
             by_check.setdefault(r.validator, []).append(r.ord)
     if not by_check:
-        return F.lit(True)
+        return lit(True)
     checked = _case(
-        ord_, [(ords, VALIDATORS[kind](value)) for kind, ords in by_check.items()], F.lit(True)
+        ord_, [(ords, VALIDATORS[kind](value)) for kind, ords in by_check.items()], lit(True)
     )
     gated = sorted(o for ords in by_check.values() for o in ords)
-    return ~ord_.isin(gated) | F.coalesce(checked, F.lit(False))
+    return ~F.array_contains(literals(gated, "int"), ord_) | F.coalesce(checked, lit(False))
 
 
 @generated
@@ -165,7 +162,7 @@ def locate_candidates(text: Column, cand: Column, rules: Sequence[CompiledRule])
         framed = _case(
             ord_,
             [([r.ord], mark(cleaned, r.java, r.replacement)) for r in ordered],
-            F.lit(None).cast("string"),
+            lit(None).cast("string"),
         )
         return F.transform(
             locate_marked(framed),
@@ -191,16 +188,26 @@ def gate_spans(spans: Column, rules: Sequence[CompiledRule]) -> Column:
     return F.filter(spans, lambda s: checksum_ok(s["ord"], s["value"], rules))
 
 
+@reused
+def located_column(text: str, cand: str, rules: tuple[CompiledRule, ...]) -> Column:
+    return locate_candidates(F.col(text), F.col(cand), rules)
+
+
+@reused
+def gated_column(spans: str, rules: tuple[CompiledRule, ...]) -> Column:
+    return gate_spans(F.col(spans), rules)
+
+
 def add_pattern_spans(
     df: DataFrame, text: str, rules: Sequence[CompiledRule], out: str, gate: bool = True
 ) -> DataFrame:
     """Add ``out``: located matches of all rules, gated by their checks."""
     cand = f"_{out}_cand"
     located = add_candidates(df, text, rules, cand).withColumn(
-        out, locate_candidates(F.col(text), F.col(cand), rules)
+        out, located_column(text, cand, tuple(rules))
     )
     if gate and any(r.validator for r in rules):
-        located = located.withColumn(out, gate_spans(F.col(out), rules))
+        located = located.withColumn(out, gated_column(out, tuple(rules)))
     return located.drop(cand)
 
 
@@ -221,8 +228,8 @@ def unnest(df: DataFrame, column: str, required: str) -> DataFrame:
 def lookup(rows: Sequence[Row], field: str, ord_: Column) -> Column:
     """A rule's attribute by its number."""
     if not rows:
-        return F.lit(None).cast("string")
-    table = F.create_map(*[x for r in rows for x in (F.lit(r["ord"]), F.lit(r[field]))])
+        return lit(None).cast("string")
+    table = literal_map([(r["ord"], r[field]) for r in rows], "int,string")
     return F.try_element_at(table, ord_)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.config import ScanConfig
 from veilspan.functions.arrays import let, prefix_max
-from veilspan.functions.build import generated
+from veilspan.functions.build import lit, literal_map
 from veilspan.functions.spans import byte_slice
 from veilspan.functions.text import name_to_tag
 from veilspan.sources import fixed_values
@@ -34,7 +34,7 @@ def merge_spans(spans: Column, style: str) -> Column:
             n = F.size(spans_)
 
             def opens(s: Column, i: Column) -> Column:
-                before = F.get(reach_, i - F.lit(1))
+                before = F.get(reach_, i - lit(1))
                 apart = s["start"] >= before if by_name else s["start"] > before
                 return F.when((i == 0) | apart, i)
 
@@ -45,7 +45,7 @@ def merge_spans(spans: Column, style: str) -> Column:
                     f,
                     lambda i, k: F.struct(
                         F.get(spans_, i)["start"].alias("start"),
-                        F.get(reach_, F.coalesce(F.get(f, k + F.lit(1)), n) - F.lit(1)).alias("end"),
+                        F.get(reach_, F.coalesce(F.get(f, k + lit(1)), n) - lit(1)).alias("end"),
                         F.get(spans_, i)["name"].alias("name"),
                     ),
                 )
@@ -56,7 +56,7 @@ def merge_spans(spans: Column, style: str) -> Column:
 
     def join_touching(groups: Column) -> Column:
         def opens(g: Column, i: Column) -> Column:
-            before = F.get(groups, i - F.lit(1))
+            before = F.get(groups, i - lit(1))
             joined = (g["start"] == before["end"]) & (g["name"] == before["name"])
             return F.when((i == 0) | ~joined, i)
 
@@ -68,7 +68,7 @@ def merge_spans(spans: Column, style: str) -> Column:
                 lambda i, k: F.struct(
                     F.get(groups, i)["start"].alias("start"),
                     F.get(
-                        groups, F.coalesce(F.get(f, k + F.lit(1)), F.size(groups)) - F.lit(1)
+                        groups, F.coalesce(F.get(f, k + lit(1)), F.size(groups)) - lit(1)
                     )["end"].alias("end"),
                     F.get(groups, i)["name"].alias("name"),
                 ),
@@ -85,7 +85,6 @@ def merge_spans(spans: Column, style: str) -> Column:
     return let(merged, join_touching) if by_name else merged
 
 
-@generated
 def placeholder_map(rows: Sequence[Row]) -> Column:
     """Rule name to sample: by name, then by the category of its last rule (JN7)."""
     samples: dict[str, str] = {}
@@ -95,22 +94,22 @@ def placeholder_map(rows: Sequence[Row]) -> Column:
         if by_category is not None:
             samples[r["name"]] = by_category
     samples.update(fixed_values.SAMPLE_BY_NAME)
-    return F.create_map(*[F.lit(x) for pair in samples.items() for x in pair])
+    return literal_map(samples.items(), "string,string")
 
 
 def replacement(name: Column, cfg: ScanConfig, rows: Sequence[Row]) -> Column:
     """What is written for one span (RED5-RED8)."""
     if cfg.style == "marker":
-        return F.lit(cfg.marker)
+        return lit(cfg.marker)
     if cfg.style == "drop":
-        return F.lit("")
+        return lit("")
     if cfg.style == "typed":
         return name_to_tag(name)
     return F.coalesce(F.try_element_at(placeholder_map(rows), name), name_to_tag(name))
 
 
 def _quoted(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.replace(F.replace(text, lit("\\"), lit("\\\\")), lit("$"), lit("\\$"))
 
 
 def emit(text: Column, islands: Column, cfg: ScanConfig, rows: Sequence[Row] = ()) -> Column:
@@ -120,15 +119,15 @@ def emit(text: Column, islands: Column, cfg: ScanConfig, rows: Sequence[Row] = (
         spans, raw = c["islands"], c["raw"]
 
         def piece(s: Column, i: Column) -> Column:
-            before = F.coalesce(F.get(spans, i - F.lit(1))["end"], F.lit(0))
+            before = F.coalesce(F.get(spans, i - lit(1))["end"], lit(0))
             inside = byte_slice(raw, s["start"], s["end"])
             repl = _quoted(replacement(s["name"], cfg, rows))
             return F.concat(
                 byte_slice(raw, before, s["start"]),
-                F.regexp_replace(inside, F.lit("[^\\r\\n]+"), repl),
+                F.regexp_replace(inside, lit("[^\\r\\n]+"), repl),
             )
 
-        last = F.coalesce(F.get(spans, F.size(spans) - F.lit(1))["end"], F.lit(0))
+        last = F.coalesce(F.get(spans, F.size(spans) - lit(1))["end"], lit(0))
         return F.concat(
             F.array_join(F.transform(spans, piece), ""),
             byte_slice(raw, last, F.octet_length(raw)),
@@ -152,4 +151,4 @@ def fail_closed(
         "drop": "",
         "placeholder": fixed_values.SAMPLE_UNLOCATED,
     }[cfg.style]
-    return F.when(noop, F.lit(whole)).otherwise(redacted)
+    return F.when(noop, lit(whole)).otherwise(redacted)

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.functions.build import lit, literals
 from veilspan.config import ScanConfig
 from veilspan.sources import fixed_values
 from veilspan.sources.rules import CUSTOM_BUCKET, load_catalog, with_flags
@@ -67,11 +68,11 @@ def apply_preset(catalog: DataFrame, name: str) -> DataFrame:
 def detect_preset(disabled: Column) -> Column:
     """Which preset an array of disabled stems equals as a set, else NULL (SEL5)."""
     have = F.array_sort(F.array_distinct(disabled))
-    out = F.lit(None).cast("string")
+    out = lit(None).cast("string")
     for name in reversed(PRESETS):
         want = sorted(disabled_for(name))
-        target = F.array(*[F.lit(x) for x in want]).cast("array<string>")
-        out = F.when(have == target, F.lit(name)).otherwise(out)
+        target = literals(want, "string")
+        out = F.when(have == target, lit(name)).otherwise(out)
     return out
 
 

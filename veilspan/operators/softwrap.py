@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspan.functions.build import lit
 from veilspan.functions.arrays import count_le, let, prefix_sum
 from veilspan.functions.spans import byte_slice, locate_literal, locate_marked, mark
 from veilspan.operators.allowlist import is_allowed
@@ -20,7 +21,7 @@ WRAP = (
 
 def dewrap(text: Column) -> Column:
     """The text without its soft line breaks (DET8)."""
-    return F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, WRAP, "")).otherwise(text)
+    return F.when(F.contains(text, lit("\n")), F.regexp_replace(text, WRAP, "")).otherwise(text)
 
 
 def cuts(cleaned: Column) -> Column:
@@ -43,12 +44,12 @@ def cuts(cleaned: Column) -> Column:
 
 def _back(cut: Column, offset: Column) -> Column:
     n = count_le(cut["at"], offset)
-    return offset + F.coalesce(F.get(cut["removed"], n - F.lit(1)), F.lit(0))
+    return offset + F.coalesce(F.get(cut["removed"], n - lit(1)), lit(0))
 
 
 def original_span(cut: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """A span of the joined text as a span of the original."""
-    return _back(cut, start), _back(cut, end - F.lit(1)) + F.lit(1)
+    return _back(cut, start), _back(cut, end - lit(1)) + lit(1)
 
 
 def _mapped(spans: Column, cut: Column, raw: Column, allow: Column) -> Column:
@@ -62,7 +63,7 @@ def _mapped(spans: Column, cut: Column, raw: Column, allow: Column) -> Column:
 
     return F.filter(
         F.transform(spans, move),
-        lambda s: F.contains(byte_slice(raw, s["start"], s["end"]), F.lit("\n"))
+        lambda s: F.contains(byte_slice(raw, s["start"], s["end"]), lit("\n"))
         & ~is_allowed(allow, s["start"], s["end"]),
     )
 
@@ -111,7 +112,7 @@ def softwrap_entropy(
                 lambda r: F.transform(
                     locate_literal(r["value"], token["value"]),
                     lambda s: F.struct(
-                        F.lit(0).alias("ord"),
+                        lit(0).alias("ord"),
                         (r["start"] + s["start"]).alias("start"),
                         (r["start"] + s["end"]).alias("end"),
                         s["value"].alias("value"),

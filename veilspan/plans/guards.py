@@ -21,6 +21,7 @@ from re import _parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspan.functions.build import lit
 from veilspan.functions.arrays import let
 
 MAX_ALTERNATIVES = 12
@@ -192,7 +193,7 @@ def is_rare(guard: Guard) -> bool:
 
 def lowered(text: Column) -> Column:
     """Lower case under which a case-insensitive ASCII literal must occur."""
-    return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
+    return F.replace(F.lower(text), lit("ſ"), lit("s"))
 
 
 def longest_run(text: Column, name: str) -> Column:
@@ -201,13 +202,13 @@ def longest_run(text: Column, name: str) -> Column:
     head, tail = f"[{cls.java}{WIDE}]", f"[{cls.java}{WIDE}{cls.java_separators}]"
     once = f"(?<!{tail})" if not cls.java_separators else ""  # try each stretch once
     runs = F.regexp_extract_all(
-        text, F.lit(f"{once}{head}{tail}{{{cls.minimum - 1},}}"), F.lit(0)
+        text, lit(f"{once}{head}{tail}{{{cls.minimum - 1},}}"), lit(0)
     )
     if cls.java_separators:
         size = lambda r: F.char_length(F.regexp_replace(r, f"[{cls.java_separators}]+", ""))
     else:
         size = F.char_length
-    return F.coalesce(F.array_max(F.transform(runs, size)), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, size)), lit(0))
 
 
 # ---- one pass over the text for all literals -----------------------------
@@ -248,7 +249,7 @@ def literals_in(low: Column, literals: Iterable[str]) -> Column:
     """
     words = sorted(set(literals))
     return F.array_distinct(
-        F.regexp_extract_all(low, F.lit(f"(?=({_trie_regex(words)}))"), F.lit(1))
+        F.regexp_extract_all(low, lit(f"(?=({_trie_regex(words)}))"), lit(1))
     )
 
 

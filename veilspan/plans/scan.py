@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veilspan.config import ScanConfig
 from veilspan.functions.arrays import let
-from veilspan.functions.build import generated
+from veilspan.functions.build import generated, lit, literals, reused
 from veilspan.functions.regex import FLAGS
 from veilspan.functions.spans import clean
 from veilspan.operators import allowlist, deep, entropy, redact, softwrap
@@ -25,7 +25,7 @@ from veilspan.operators.patterns import (
     add_pattern_spans,
     compile_rule,
     gate_spans,
-    locate_candidates,
+    located_column,
     unnest,
 )
 from veilspan.operators.select import active_rules
@@ -95,43 +95,62 @@ def add_scan(docs: DataFrame, sc: Scanner, text: str = "text") -> DataFrame:
     ``_deep`` deep findings, ``_soft`` and ``_softent`` soft-wrap spans and
     ``_allow`` the allow-list index.
     """
-    n = len(sc.rules)
     df = add_pattern_spans(docs, text, sc.everything, "_loc", gate=False)
-    located = F.col("_loc")
-    parts = {
-        "_pat": gate_spans(_between(located, 0, n), sc.rules),
-        "_allow": allowlist.allow_index(_between(located, n, n + len(sc.allow))),
-    }
-    if sc.runs:
-        parts["_run"] = F.filter(located, lambda s: s["ord"] == sc.runs.ord)
-    df = df.withColumns(parts)
+    df = df.withColumns(_from_located(sc))
     if sc.deep:
         df = deep.add_deep_findings(df, text, "_loc", sc.deep, sc.cfg.wordlist, "_deep")
     df = df.drop("_loc")
-    threshold, min_len, max_len = sc.cfg.entropy_limits
-    kept = {"_pat": allowlist.suppress(F.col("_pat"), F.col("_allow"))}
-    if sc.deep:
-        kept["_deep"] = allowlist.suppress(F.col("_deep"), F.col("_allow"))
-    if sc.runs:
-        kept["_tok"] = entropy.tokens_of(F.col("_run"), min_len, max_len, threshold)
-    df = df.withColumns(kept)
-    for name, ddl in (("_deep", deep.DEEP), ("_tok", TOKENS), ("_run", TOKENS)):
-        if name not in df.columns:
-            df = df.withColumn(name, _empty(ddl))
+    df = df.withColumns(_kept(sc))
     return _add_softwrap(df, sc, text)
 
 
+@reused
+def _from_located(sc: Scanner) -> dict[str, Column]:
+    n, located = len(sc.rules), F.col("_loc")
+    return {
+        "_pat": gate_spans(_between(located, 0, n), sc.rules),
+        "_allow": allowlist.allow_index(_between(located, n, n + len(sc.allow))),
+        "_run": F.filter(located, lambda s: s["ord"] == sc.runs.ord)
+        if sc.runs
+        else _empty(TOKENS),
+    }
+
+
+@reused
+def _kept(sc: Scanner) -> dict[str, Column]:
+    threshold, min_len, max_len = sc.cfg.entropy_limits
+    return {
+        "_pat": allowlist.suppress(F.col("_pat"), F.col("_allow")),
+        "_deep": allowlist.suppress(F.col("_deep"), F.col("_allow"))
+        if sc.deep
+        else _empty(deep.DEEP),
+        "_tok": entropy.tokens_of(F.col("_run"), min_len, max_len, threshold)
+        if sc.runs
+        else _empty(TOKENS),
+    }
+
+
 def _add_softwrap(df: DataFrame, sc: Scanner, text: str) -> DataFrame:
     """Second pass over joined lines; texts without a soft wrap have '' there."""
-    joined = softwrap.dewrap(F.col(text))
-    df = df.withColumn("_dw", let(joined, lambda d: F.when(d != F.col(text), d).otherwise("")))
+    df = df.withColumns(_joined(text))
     second = (*sc.softwrap, *([sc.runs] if sc.runs else []))
     df = add_candidates(df, "_dw", second, "_dwc")
-    df = df.withColumn("_dwl", locate_candidates(F.col("_dw"), F.col("_dwc"), second))
-    df = df.withColumn(
-        "_cut",
-        F.when(F.col("_dw") != "", softwrap.cuts(clean(F.col(text)))),
-    )
+    df = df.withColumn("_dwl", located_column("_dw", "_dwc", second))
+    return df.withColumns(_softwrap_columns(sc, text)).drop("_dw", "_dwc", "_dwl", "_cut")
+
+
+@reused
+def _joined(text: str) -> dict[str, Column]:
+    joined = softwrap.dewrap(F.col(text))
+    changed = let(joined, lambda d: F.when(d != F.col(text), d).otherwise(""))
+    return {
+        "_dw": changed,
+        "_cut": F.when(joined != F.col(text), softwrap.cuts(clean(F.col(text)))),
+    }
+
+
+@reused
+def _softwrap_columns(sc: Scanner, text: str) -> dict[str, Column]:
     n = len(sc.rules)
     new = F.col("_dw") != ""
     soft_ddl = "struct<ord:int,start:int,end:int,value:string,fresh:boolean>"
@@ -163,30 +182,30 @@ def _add_softwrap(df: DataFrame, sc: Scanner, text: str) -> DataFrame:
                 ),
             ),
         ).otherwise(_empty(ent_ddl))
-    return df.withColumns(parts).drop("_dw", "_dwc", "_dwl", "_cut")
+    return parts
 
 
 STATE = ("_pat", "_allow", "_run", "_deep", "_tok", "_soft", "_softent")
 
 
 def _rule_names(rows: Sequence[Row], field: str) -> Column:
-    return F.array(*[F.lit(r[field]) for r in rows]).cast("array<string>")
+    return literals([r[field] for r in rows], "string")
 
 
-@generated
+@reused
 def findings_column(sc: Scanner) -> Column:
     """array<FINDING> in precedence order: patterns, entropy, deep, soft wrap."""
     names, categories, severities, ords = (
         _rule_names(sc.rows, "name"),
         _rule_names(sc.rows, "category"),
         _rule_names(sc.rows, "severity"),
-        F.array(*[F.lit(r["ord"]) for r in sc.rows]).cast("array<int>"),
+        literals([r["ord"] for r in sc.rows], "int"),
     )
     top = max((r["ord"] for r in sc.rows), default=-1)
 
     def by_rule(source: str):
         return lambda s: F.struct(
-            F.lit(source).alias("source"),
+            lit(source).alias("source"),
             F.get(ords, s["ord"]).alias("ord"),
             F.get(names, s["ord"]).alias("name"),
             F.get(categories, s["ord"]).alias("category"),
@@ -194,16 +213,16 @@ def findings_column(sc: Scanner) -> Column:
             s["start"].alias("start"),
             s["end"].alias("end"),
             s["value"].alias("value"),
-            F.lit(None).cast("double").alias("score"),
+            lit(None).cast("double").alias("score"),
         )
 
     def plain(source: str, ord_: int, name, start, end, value, score) -> Column:
         return F.struct(
-            F.lit(source).alias("source"),
-            F.lit(ord_).alias("ord"),
+            lit(source).alias("source"),
+            lit(ord_).alias("ord"),
             name.alias("name"),
-            F.lit(None).cast("string").alias("category"),
-            F.lit(None).cast("string").alias("severity"),
+            lit(None).cast("string").alias("category"),
+            lit(None).cast("string").alias("severity"),
             start.alias("start"),
             end.alias("end"),
             value.alias("value"),
@@ -212,10 +231,10 @@ def findings_column(sc: Scanner) -> Column:
 
     def token(source: str, ord_: int):
         return lambda t: plain(
-            source, ord_, F.lit("entropy"), t["start"], t["end"], t["value"], t["score"]
+            source, ord_, lit("entropy"), t["start"], t["end"], t["value"], t["score"]
         )
 
-    none_s, none_d = F.lit(None).cast("string"), F.lit(None).cast("double")
+    none_s, none_d = lit(None).cast("string"), lit(None).cast("double")
     pieces = [
         F.transform(F.col("_pat"), by_rule("pattern")),
         F.transform(F.col("_tok"), token("entropy", top + 1)),
@@ -234,11 +253,11 @@ def findings_column(sc: Scanner) -> Column:
     return F.concat(*[p.cast(f"array<{FINDING}>") for p in pieces])
 
 
-@generated
+@reused
 def spans_column(sc: Scanner) -> Column:
     """array<start,end,name> to redact, in precedence order (RED1)."""
     names = _rule_names(sc.rows, "name")
-    high = F.lit(entropy.ENTROPY_NAME)
+    high = lit(entropy.ENTROPY_NAME)
 
     def span(start: Column, end: Column, name: Column) -> Column:
         return F.struct(start.alias("start"), end.alias("end"), name.alias("name"))
@@ -298,7 +317,17 @@ def add_findings(
 def add_redaction(df: DataFrame, sc: Scanner, text: str = "text") -> DataFrame:
     """Add ``findings``, ``islands`` and ``redacted`` to a scanned table."""
     df = df.withColumns({"findings": findings_column(sc), "_spans": spans_column(sc)})
-    df = df.withColumn("islands", redact.merge_spans(F.col("_spans"), sc.cfg.style))
+    df = df.withColumn("islands", _islands(sc.cfg.style))
+    return df.withColumn("redacted", _written(sc, text)).drop("_spans")
+
+
+@reused
+def _islands(style: str) -> Column:
+    return redact.merge_spans(F.col("_spans"), style)
+
+
+@reused
+def _written(sc: Scanner, text: str) -> Column:
     had_spans = (
         (F.size("_pat") > 0)
         | (F.size("_tok") > 0)
@@ -308,13 +337,10 @@ def add_redaction(df: DataFrame, sc: Scanner, text: str = "text") -> DataFrame:
     )
     found = had_spans | (F.size("_deep") > 0)
     written = redact.emit(F.col(text), F.col("islands"), sc.cfg, sc.rows)
-    return df.withColumn(
-        "redacted",
-        let(written, lambda w: redact.fail_closed(F.col(text), w, found, had_spans, sc.cfg)),
-    ).drop("_spans")
+    return let(written, lambda w: redact.fail_closed(F.col(text), w, found, had_spans, sc.cfg))
 
 
-@generated
+@reused
 def names_column() -> Column:
     """Distinct names, first match first: patterns, deep types, then ``entropy`` (AGG2)."""
 

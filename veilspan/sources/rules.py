@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from veilspan.functions.build import lit
 from veilspan import schemas
 from veilspan.functions import regex as rx
 from veilspan.sources import fixed_values
@@ -42,8 +43,8 @@ def bucket_table(spark: SparkSession) -> DataFrame:
 def is_single_line(regex: Column) -> Column:
     """No newline, no ``\\n`` and no inline m or s flag in the pattern text (SEL8)."""
     return ~(
-        F.contains(regex, F.lit("\n"))
-        | F.contains(regex, F.lit("\\n"))
+        F.contains(regex, lit("\n"))
+        | F.contains(regex, lit("\\n"))
         | regex.rlike("\\(\\?[ixUuR-]*[ms]")
     )
 
@@ -54,7 +55,7 @@ def with_flags(catalog: DataFrame) -> DataFrame:
     precise = F.col("severity").isin("Critical", "High") | F.col("validator").isNotNull()
     return catalog.select(
         *schemas.CATALOG.names,
-        F.contains(F.col("regex"), F.lit("<secret>")).alias("has_secret_group"),
+        F.contains(F.col("regex"), lit("<secret>")).alias("has_secret_group"),
         single.alias("single_line"),
         (single & precise).alias("softwrap"),
     )
@@ -79,8 +80,8 @@ def _compile_error(spark: SparkSession, pattern: str) -> str | None:
         return str(e)
     try:
         probe = spark.range(1).select(
-            F.regexp_count(F.lit(""), F.lit(java)).alias("empty_hits"),
-            F.regexp_replace(F.lit(""), F.lit(java), F.lit(replacement)).alias("r"),
+            F.regexp_count(lit(""), lit(java)).alias("empty_hits"),
+            F.regexp_replace(lit(""), lit(java), lit(replacement)).alias("r"),
         )
         if probe.first()["empty_hits"]:
             return "regex matches the empty string"
@@ -120,7 +121,7 @@ def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejected = table.filter("reason is not null").select(
         "name",
         F.concat(
-            F.lit('skipped custom pattern "'), F.col("name"), F.lit('": invalid regex: '), "reason"
+            lit('skipped custom pattern "'), F.col("name"), lit('": invalid regex: '), "reason"
         ).alias("error"),
     )
     return good.withColumn("severity", parse_severity(F.col("severity"))), rejected
