@@ -575,3 +575,61 @@ def _all_findings(text: str, loc: str, inner: str, p: Probes, words: tuple[str,
         F.transform(F.col(inner), lambda n: _found(n)),
         _after(F.col(text), F.col(loc), p, words),
     )
+
+
+WORDLIST_LIMIT = 100_000
+
+
+def mnemonic_table(docs: DataFrame, wordlist: DataFrame) -> DataFrame:
+    """(doc_id, start, end, words) of runs of twelve or more listed words (DEEP11, JN6).
+
+    ``wordlist`` has one column ``word``.  Its size is checked: a list within
+    the limit goes into the plan and the documents are read in one narrow
+    pass; a longer one is joined by word, and the runs are found per document.
+    """
+    words = [r["word"] for r in wordlist.select("word").limit(WORDLIST_LIMIT + 1).collect()]
+    if len(words) <= WORDLIST_LIMIT:
+        marked = docs.select("doc_id", _word_marks(F.col("text"), words).alias("t"))
+    else:
+        marked = _joined_marks(docs, wordlist)
+
+    def runs(t: Column) -> Column:
+        marks = F.array_join(F.transform(t, lambda x: x["hit"].cast("int").cast("string")), "")
+        return F.transform(
+            locate(marks, f"1{{{MIN_MNEMONIC},}}"),
+            lambda r: F.struct(
+                F.get(t, r["start"])["start"].alias("start"),
+                F.get(t, r["end"] - lit(1))["end"].alias("end"),
+                (r["end"] - r["start"]).alias("words"),
+            ),
+        )
+
+    return marked.select("doc_id", F.inline_outer(let(F.col("t"), runs))).filter("start is not null")
+
+
+def _core(token: Column) -> Column:
+    return F.lower(F.regexp_replace(token, "\\A[^A-Za-z]+|[^A-Za-z]+\\z", ""))
+
+
+def _word_marks(text: Column, words: Sequence[str]) -> Column:
+    listed = F.expr("array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")")
+    return F.transform(
+        locate(text, "\\S+"),
+        lambda t: F.struct(
+            t["start"].alias("start"),
+            t["end"].alias("end"),
+            F.array_contains(listed, _core(t["value"])).alias("hit"),
+        ),
+    )
+
+
+def _joined_marks(docs: DataFrame, wordlist: DataFrame) -> DataFrame:
+    tokens = docs.select("doc_id", F.inline_outer(locate(F.col("text"), "\\S+"))).filter(
+        "start is not null"
+    )
+    keyed = tokens.select("doc_id", "start", "end", _core(F.col("value")).alias("word"))
+    known = wordlist.select("word", lit(True).alias("hit")).distinct()
+    hits = keyed.join(known, "word", "left").select(
+        "doc_id", F.struct("start", "end", F.coalesce("hit", lit(False)).alias("hit")).alias("t")
+    )
+    return hits.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("t"))

@@ -1,0 +1,739 @@
+"""Sources, rule selection, detection and the deep heuristics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from veilspan import ScanConfig
+from veilspan.functions import text as X
+from veilspan.functions import validators as V
+from veilspan.functions.spans import locate
+from veilspan.operators import allowlist, deep, entropy, patterns, select, softwrap, text_tables
+from veilspan.plans import scan as scan_plan
+from veilspan.sources import corpus, documents, fixed_deep, fixed_values, ocr, redaction_log, rules
+from workload import base
+from workload.base import PLANTED_SQL, hits_sql, planted, quote, register, rule_rows, span_sql, table
+from workload.checks import CHECK_SQL
+
+# ---- sources and gates ---------------------------------------------------
+
+
+@register("src1_read_documents", "SELECT doc_id, strlen(text) AS bytes FROM documents")
+def src1(spark, sf):
+    docs = documents.read_documents(spark, f"{sf}/documents.parquet")
+    return docs.select("doc_id", F.octet_length("text").alias("bytes"))
+
+
+@register(
+    "src2_read_conversations",
+    "SELECT conv_id || ':' || turn AS doc_id, role, strlen(text) AS bytes FROM conversations",
+)
+def src2c(spark, sf):
+    turns = documents.read_conversations(spark, f"{sf}/conversations.parquet")
+    return turns.select("doc_id", "role", F.octet_length("text").alias("bytes"))
+
+
+@register("src2_read_pages", "SELECT page_id AS doc_id, url, strlen(html) AS bytes FROM pages")
+def src2p(spark, sf):
+    pages = documents.read_pages(spark, f"{sf}/pages.parquet")
+    return pages.select("doc_id", "url", F.octet_length("text").alias("bytes"))
+
+
+_MAIL = base.named("Email Address")
+
+
+@register(
+    "src2_scan_pages",
+    f"SELECT doc_id, start, \"end\", value FROM ({span_sql(rule_rows(lambda r: r[0] in _MAIL)[0][5], '(SELECT page_id AS doc_id, html AS text FROM pages)')})",
+)
+def src2_scan(spark, sf):
+    pages = documents.read_pages(spark, f"{sf}/pages.parquet")
+    return patterns.match_patterns(pages, base.some_rules(spark, _MAIL)).select(
+        "doc_id", "start", "end", "value"
+    )
+
+
+_OCR_LINE = (
+    "concat_ws(chr(9), cast(4 + o_orderkey % 2 as {s}), '1', cast(o_orderkey % 3 as {s}), '1', "
+    "cast(o_orderkey % 5 as {s}), '1', CASE WHEN o_orderkey % 11 = 0 THEN 'x' ELSE cast(o_orderkey % 100 as {s}) END, "
+    "'7', '30', '12', cast(o_orderkey % 50 - 5 as {s}), concat(' w', cast(o_orderkey as {s}), chr(9), 'tail '))"
+)
+
+
+@register(
+    "src5_ocr_words",
+    "SELECT o_orderkey AS line_no, 'w' || o_orderkey || chr(9) || 'tail' AS text, cast(o_orderkey % 100 AS INT) AS x, "
+    "cast(o_orderkey % 50 - 5 AS FLOAT) AS conf, cast(o_orderkey % 3 AS INT) AS block, cast(o_orderkey % 5 AS INT) AS line "
+    "FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 11 <> 0 AND o_orderkey % 50 >= 5",
+)
+def src5(spark, sf):
+    line = F.expr(_OCR_LINE.replace("{s}", "string"))
+    rows = table(spark, sf, "orders").select(
+        F.lit("scan").alias("image_id"),
+        F.floor(F.col("o_orderkey") / 4096).alias("block_start"),
+        F.col("o_orderkey").alias("line_no"),
+        line.alias("line"),
+    )
+    return ocr.parse_ocr_lines(rows).select("line_no", "text", "x", "conf", "block", "line")
+
+
+_CORPUS_LINE = (
+    "CASE o_orderkey % 4 WHEN 0 THEN concat('# === sec ', cast(o_orderkey as {s}), ' ===') "
+    "WHEN 1 THEN CASE WHEN o_orderkey % 8 = 1 THEN concat('# expect: ', o_orderpriority) ELSE '# expect: (none)' END "
+    "WHEN 2 THEN '# note' ELSE concat(o_orderstatus, ' body  ') END"
+)
+
+
+@register(
+    "src6_eval_corpus",
+    "SELECT o_orderstatus AS file, count(*) AS sections, sum(len(expected)) AS expectations, sum(strlen(body)) AS body_bytes FROM ("
+    "SELECT o_orderstatus, n, list(substring(line, 11)) FILTER (line LIKE '# expect: _-%') AS expected, "
+    "string_agg(CASE WHEN line NOT LIKE '#%' THEN rtrim(line) || chr(10) ELSE '' END, '') AS body FROM ("
+    "SELECT *, sum(CASE WHEN line LIKE '# ===%' THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n "
+    f"FROM (SELECT o_orderkey, o_orderstatus, {_CORPUS_LINE.replace('{s}', 'varchar')} AS line FROM orders)) "
+    "WHERE n > 0 GROUP BY 1, 2) GROUP BY 1",
+)
+def src6(spark, sf):
+    lines = table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("file"),
+        F.floor(F.col("o_orderkey") / 4096).alias("block"),
+        F.col("o_orderkey").alias("line_no"),
+        F.expr(_CORPUS_LINE.replace("{s}", "string")).alias("line"),
+    )
+    return (
+        corpus.parse_sections(lines)
+        .groupBy("file")
+        .agg(
+            F.count("*").alias("sections"),
+            F.sum(F.size("expected")).alias("expectations"),
+            F.sum(F.octet_length("body")).alias("body_bytes"),
+        )
+    )
+
+
+_LOG_TS = "CASE WHEN event_id % 7 = 0 THEN 'bad date' WHEN event_id % 11 = 0 THEN NULL ELSE {f} END"
+
+
+@register(
+    "src7_redaction_log",
+    "SELECT count(*) AS n, sum(event_id % 5) AS total, max(date_trunc('second', ts)) AS last_ts FROM events "
+    "WHERE event_id % 7 <> 0 AND event_id % 11 <> 0",
+)
+def src7(spark, sf):
+    stamp = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss+00:00\")"
+    raw = table(spark, sf, "events").select(
+        F.expr(_LOG_TS.replace("{f}", stamp)).alias("ts"), F.expr("event_id % 5").alias("count")
+    )
+    log = redaction_log.parse_log(raw)
+    return log.agg(
+        F.count("*").alias("n"), F.sum("count").alias("total"), F.max("ts").cast("timestamp_ntz").alias("last_ts")
+    )
+
+
+@register(
+    "snk4_retain_newest_half",
+    "SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r, count(*) OVER () AS n FROM events) WHERE r > n // 2",
+)
+def snk4(spark, sf):
+    log = table(spark, sf, "events").select("event_id")
+    return redaction_log.retain_newest_half(log, 2 * redaction_log.LOG_LIMIT, pos="event_id")
+
+
+@register(
+    "snk5_size_gate",
+    "SELECT doc_id, strlen(text) > 4000 AS apart FROM documents",
+)
+def snk5(spark, sf):
+    keep, apart = documents.size_gate(table(spark, sf, "documents"), limit=4000)
+    return keep.select("doc_id", F.lit(False).alias("apart")).unionByName(
+        apart.select("doc_id", F.lit(True).alias("apart"))
+    )
+
+
+@register("snk6_valid_utf8_gate", "SELECT doc_id, strlen(text) AS bytes FROM documents WHERE doc_id % 5 <> 0")
+def snk6(spark, sf):
+    raw = table(spark, sf, "documents").select(
+        "doc_id",
+        F.expr("CASE WHEN doc_id % 5 = 0 THEN concat(cast(text as binary), X'FF') ELSE cast(text as binary) END").alias("raw"),
+    )
+    good, _ = documents.valid_utf8_gate(raw)
+    return good.select("doc_id", F.octet_length("text").alias("bytes"))
+
+
+# ---- rule selection, shown by what the chosen rules find ------------------
+
+_ALL = rule_rows()
+
+
+def _per_bucket_sql(chosen) -> str:
+    arms = " UNION ALL ".join(
+        f"SELECT {quote(r[1])} AS bucket, count(*) AS n FROM planted WHERE regexp_matches(text, {quote(r[5])})"
+        for r in chosen
+    )
+    return f"WITH {PLANTED_SQL} SELECT bucket, cast(sum(n) AS BIGINT) AS docs FROM ({arms}) GROUP BY 1 HAVING sum(n) > 0"
+
+
+def _per_bucket(spark, sf, catalog):
+    found = patterns.match_patterns(planted(spark, sf), catalog).select("doc_id", "ord").distinct()
+    counts = found.groupBy("ord").agg(F.count("*").alias("n"))
+    names = catalog.select("ord", "bucket")
+    return counts.join(F.broadcast(names), "ord").groupBy("bucket").agg(F.sum("n").alias("docs"))
+
+
+_OFF = ("legacy", "pii_geo", "networking")
+
+
+@register("sel1_filter_buckets", _per_bucket_sql([r for r in _ALL if r[1] not in _OFF]))
+def sel1(spark, sf):
+    return _per_bucket(spark, sf, select.filter_buckets(rules.load_catalog(spark), _OFF))
+
+
+_CUSTOM = [
+    ("Planted Word", "Team", "high", r"\b(?:card|phone) [0-9+]"),
+    ("Ticket", "Work", "low", r"(?i)ssn (?P<secret>\d{3})"),
+    ("Left Out", "Muted", "low", r"[a-z]"),
+]
+
+
+@register(
+    "sel3_custom_rules",
+    f"WITH {PLANTED_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT '{c[1]}' AS category, count(*) AS n FROM ({span_sql(c[3])})" for c in _CUSTOM[:2]
+    ),
+)
+def sel3(spark, sf):
+    good, _ = rules.validate_rules(spark.createDataFrame(_CUSTOM, "name string, category string, severity string, regex string"))
+    custom = select.filter_custom(good, ["Muted"])
+    merged = select.merge_rules(rules.load_catalog(spark), custom)
+    added = merged.filter(F.col("bucket") == rules.CUSTOM_BUCKET)
+    return patterns.match_patterns(planted(spark, sf), added).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@register("sel4_preset_minimal", _per_bucket_sql([r for r in _ALL if r[1] in fixed_values.MINIMAL]))
+def sel4(spark, sf):
+    return _per_bucket(spark, sf, select.apply_preset(rules.load_catalog(spark), "minimal"))
+
+
+@register(
+    "sel5_detect_preset",
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'minimal' WHEN 1 THEN 'balanced' WHEN 2 THEN 'full' END AS preset FROM orders",
+)
+def sel5(spark, sf):
+    def stems(name, order=1):
+        return F.array(*[F.lit(x) for x in list(select.disabled_for(name))[::order]]).cast("array<string>")
+
+    k = F.col("o_orderkey") % 4
+    chosen = (
+        F.when(k == 0, stems("minimal", -1)).when(k == 1, stems("balanced")).when(k == 2, stems("full"))
+        .otherwise(F.array(F.lit("legacy"), F.col("o_orderstatus")))
+    )
+    return table(spark, sf, "orders").select("o_orderkey", select.detect_preset(chosen).alias("preset"))
+
+
+@register(
+    "sel6_parse_severity",
+    "SELECT o_orderkey, CASE substring(o_orderpriority, 3) WHEN 'HIGH' THEN 'High' WHEN 'LOW' THEN 'Low' "
+    "WHEN 'URGENT' THEN 'Critical' ELSE 'Medium' END AS severity FROM orders",
+)
+def sel6(spark, sf):
+    word = F.replace(F.substring("o_orderpriority", 3, 20), F.lit("URGENT"), F.lit("Critical"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", rules.parse_severity(F.concat(F.lit("  "), word, F.lit(" "))).alias("severity")
+    )
+
+
+def _is_soft(r) -> bool:
+    import re
+
+    single = "\\n" not in r[5] and not re.search(r"\(\?[ixUuR-]*[ms]", r[5])
+    return single and (r[4] in ("Critical", "High") or r[6] is not None)
+
+
+@register("sel9_softwrap_rules", _per_bucket_sql([r for r in _ALL if _is_soft(r)]))
+def sel9(spark, sf):
+    return _per_bucket(spark, sf, select.softwrap_rules(rules.load_catalog(spark)))
+
+
+def _bucket_sql(columns: str) -> str:
+    arms = " UNION ALL ".join(
+        f"SELECT {quote(r[1])} AS bucket, {quote(r[4])} AS severity, {r[6] is not None} AS validated, "
+        f"(SELECT count(*) FROM planted WHERE regexp_matches(text, {quote(r[5])})) AS n"
+        for r in _ALL
+    )
+    return f"WITH {PLANTED_SQL} SELECT bucket, {columns} FROM ({arms}) GROUP BY 1"
+
+
+@register("sel11_catalog_counts", _bucket_sql("count(*) AS n, cast(sum(n) AS BIGINT) AS docs"))
+def sel11(spark, sf):
+    catalog = rules.load_catalog(spark)
+    return (
+        select.catalog_counts(catalog)
+        .join(_per_bucket(spark, sf, catalog), "bucket", "left")
+        .select("bucket", "n", F.coalesce("docs", F.lit(0)).alias("docs"))
+    )
+
+
+@register(
+    "sel12_catalog_profile",
+    _bucket_sql(
+        "count(*) AS rules, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (severity = 'High') AS high, "
+        "count(*) FILTER (severity = 'Medium') AS medium, count(*) FILTER (severity = 'Low') AS low, "
+        "count(*) FILTER (validated) AS validated, cast(sum(n) AS BIGINT) AS docs"
+    ),
+)
+def sel12(spark, sf):
+    catalog = rules.load_catalog(spark)
+    return (
+        select.catalog_profile(catalog)
+        .join(_per_bucket(spark, sf, catalog), "bucket", "left")
+        .withColumn("docs", F.coalesce("docs", F.lit(0)))
+    )
+
+
+# ---- detection -----------------------------------------------------------
+
+
+@register(
+    "det1_candidates_lossless",
+    f"WITH {PLANTED_SQL} SELECT ord, docs FROM ("
+    + " UNION ALL ".join(
+        f"SELECT {r[0]} AS ord, count(*) AS docs FROM planted WHERE regexp_matches(text, {quote(r[5])})" for r in _ALL
+    )
+    + ") WHERE docs > 0",
+)
+def det1(spark, sf):
+    """Documents per rule, reached only through the prefilter."""
+    catalog = rules.load_catalog(spark)
+    cand = patterns.candidates(planted(spark, sf), catalog)
+    found = patterns.match_patterns(planted(spark, sf), catalog).select("doc_id", "ord").distinct()
+    return found.join(cand, ["doc_id", "ord"], "left_semi").groupBy("ord").agg(F.count("*").alias("docs"))
+
+
+_SHOW = ["doc_id", "ord", "name", "category", "severity", "start", "end", "value"]
+_SHOW_SQL = 'doc_id, ord, name, category, severity, start, "end", value'
+
+
+@register("det2_match_patterns", f"WITH {PLANTED_SQL} {hits_sql(_ALL)}")
+def det2(spark, sf):
+    return patterns.match_patterns(planted(spark, sf), rules.load_catalog(spark)).select(*_SHOW)
+
+
+_GROUPED = [r for r in _ALL if "<secret>" in r[5]]
+
+
+@register("det3_secret_group", f"WITH {PLANTED_SQL} {hits_sql(_GROUPED)}")
+def det3(spark, sf):
+    return patterns.match_patterns(
+        planted(spark, sf), rules.load_catalog(spark).filter("has_secret_group")
+    ).select(*_SHOW)
+
+
+def gated_sql(chosen, source: str = "planted") -> str:
+    """Located matches that pass their rule's check."""
+    arms = []
+    for r in chosen:
+        one = hits_sql([r], source)
+        if r[6]:
+            one = f"SELECT {_SHOW_SQL} FROM (SELECT *, value AS v FROM ({one})) WHERE {CHECK_SQL[r[6]]}"
+        arms.append(f"SELECT {_SHOW_SQL} FROM ({one})")
+    return " UNION ALL ".join(arms)
+
+
+_CHECKED = [r for r in _ALL if r[6]]
+
+
+@register("det4_checksum_gate", f"WITH {PLANTED_SQL} {gated_sql(_CHECKED)}")
+def det4(spark, sf):
+    catalog = rules.load_catalog(spark).filter("validator is not null")
+    found = patterns.match_patterns(planted(spark, sf), catalog)
+    return patterns.checksum_gate(found, catalog).select(*_SHOW)
+
+
+@register(
+    "det5_dedupe",
+    f"WITH {PLANTED_SQL} SELECT DISTINCT doc_id, ord, start FROM ({hits_sql(_CHECKED)})",
+)
+def det5(spark, sf):
+    found = patterns.match_patterns(planted(spark, sf), rules.load_catalog(spark).filter("validator is not null"))
+    return patterns.dedupe(found.unionAll(found)).select("doc_id", "ord", "start")
+
+
+_SOME = base.named("AWS Access Key ID", "Email Address", "IPv4 Address", "Visa Card", "Phone Number (US)", "Social Security Number")
+_SOME_ROWS = [r for r in _ALL if r[0] in _SOME]
+ALLOW_SQL = " UNION ALL ".join(f'SELECT doc_id, start, "end" FROM ({span_sql(p)})' for p in fixed_values.ALLOWLIST)
+
+
+@register(
+    "det6_allowlist_suppress",
+    f"WITH {PLANTED_SQL}, hits AS ({gated_sql(_SOME_ROWS)}), allow AS ({ALLOW_SQL}) SELECT {_SHOW_SQL} FROM hits h "
+    'WHERE NOT EXISTS (SELECT 1 FROM allow a WHERE a.doc_id = h.doc_id AND a.start <= h.start AND h."end" <= a."end")',
+)
+def det6(spark, sf):
+    found = scan_plan.scan(planted(spark, sf), ScanConfig(), catalog=base.some_rules(spark, _SOME))
+    return found.filter("source = 'pattern'").select(*_SHOW)
+
+
+@register("jn1_containment_anti_join", base.ORACLE["det6_allowlist_suppress"])
+def jn1(spark, sf):
+    """The table form: a running maximum instead of pairs."""
+    docs = planted(spark, sf)
+    found = patterns.match_patterns(docs, base.some_rules(spark, _SOME), gate=True)
+    allow = spark.createDataFrame(
+        [(i, "custom", p, "allow", "Low", p, None) for i, p in enumerate(allowlist.allow_patterns())],
+        "ord int, bucket string, name string, category string, severity string, regex string, validator string",
+    )
+    allowed = patterns.match_patterns(docs, allow).select("doc_id", "start", "end")
+    return allowlist.allowlist_suppress(found, allowed).select(*_SHOW)
+
+
+_ENTROPY_SQL = (
+    "round(coalesce(-list_sum(list_transform(map_values(histogram_list), lambda c: (c / n) * log2(c / n))), 0), 9)"
+)
+
+
+def entropy_sql(text: str) -> str:
+    """Bits per character of a text expression."""
+    return (
+        f"(SELECT coalesce(list_sum(list_transform(list_distinct(cs), lambda c: -(len(list_filter(cs, lambda d: d = c)) / len(cs)) "
+        f"* log2(len(list_filter(cs, lambda d: d = c)) / len(cs)))), 0) FROM (SELECT string_split({text}, '') AS cs))"
+    )
+
+
+@register(
+    "det7_entropy_tokens",
+    f"WITH {PLANTED_SQL} SELECT doc_id, value, round(score, 9) AS score FROM (SELECT doc_id, value, {entropy_sql('value')} AS score "
+    "FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_.\\-]+')) AS value FROM planted) "
+    "WHERE strlen(value) BETWEEN 20 AND 256) WHERE score >= 3.8",
+)
+def det7(spark, sf):
+    tokens = entropy.entropy_tokens(planted(spark, sf), 20, 256, 3.8)
+    return tokens.withColumn("score", F.round("score", 9))
+
+
+@register("det8_dewrap")
+def det8(spark, sf):
+    docs = planted(spark, sf)
+    joined = docs.select("doc_id", softwrap.dewrap(F.col("text")).alias("joined"), "text")
+    return joined.filter("joined <> text").select(
+        "doc_id", (F.octet_length("text") - F.octet_length("joined")).alias("removed")
+    )
+
+
+_SOFT_CFG = ScanConfig(enable_entropy=True)
+
+
+def _soft(spark, sf, source):
+    catalog = base.some_rules(spark, base.named("GitHub Personal Access Token", "AWS Access Key ID", "Visa Card"))
+    found = scan_plan.scan(planted(spark, sf), _SOFT_CFG, catalog=catalog)
+    return found.filter(F.col("source") == source).select("doc_id", "name", "start", "end", "value")
+
+
+@register(
+    "det9_softwrap_matches",
+    f"WITH {PLANTED_SQL} SELECT doc_id, 'GitHub Personal Access Token' AS name, s AS start, s + 43 AS \"end\", "
+    "'ghp_' || md5(cast(doc_id AS VARCHAR)) || 'abcdef' AS value FROM (SELECT doc_id, "
+    "strlen(split_part(text, 'use ghp_', 1)) + 4 AS s FROM planted WHERE doc_id % 20 = 8)",
+)
+def det9(spark, sf):
+    return _soft(spark, sf, "softwrap")
+
+
+@register("det10_softwrap_entropy")
+def det10(spark, sf):
+    return _soft(spark, sf, "softwrap_entropy")
+
+
+@register(
+    "det11_has_findings",
+    f"WITH {PLANTED_SQL} SELECT doc_id FROM planted WHERE " + " OR ".join(f"regexp_matches(text, {quote(r[5])})" for r in _SOME_ROWS if not r[6]),
+)
+def det11(spark, sf):
+    docs = planted(spark, sf)
+    from veilspan.operators.reports import has_findings
+
+    plain = base.some_rules(spark, [r[0] for r in _SOME_ROWS if not r[6]])
+    return has_findings(docs, patterns.match_patterns(docs, plain)).select("doc_id")
+
+
+@register("det12_scan")
+def det12(spark, sf):
+    words = tuple(sorted({w for line in base.PLANTED_LINES for w in line.split() if w.isalpha() and len(w) > 2}))
+    cfg = ScanConfig(enable_deep_scan=True, enable_entropy=True, wordlist=words)
+    return scan_plan.scan(planted(spark, sf), cfg).withColumn("score", F.round("score", 9))
+
+
+@register(
+    "det13_lines",
+    "SELECT doc_id, line_no, lines[line_no + 1] AS line, "
+    "cast(coalesce(list_sum(list_transform(lines[1:line_no], lambda x: strlen(x) + 1)), 0) AS INT) AS start FROM ("
+    "SELECT doc_id, lines, unnest(range(0, len(lines))) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))",
+)
+def det13(spark, sf):
+    return text_tables.lines(table(spark, sf, "documents"))
+
+
+@register(
+    "det14_ws_tokens",
+    "SELECT conv_id, turn, count(*) AS tokens, cast(sum(strlen(value)) AS BIGINT) AS bytes, cast(sum(start) AS BIGINT) AS starts FROM ("
+    + span_sql("[^\\s]+", "conversations", "text", "conv_id, turn") + ") GROUP BY 1, 2",
+)
+def det14(spark, sf):
+    turns = table(spark, sf, "conversations").withColumn("doc_id", F.struct("conv_id", "turn"))
+    return (
+        text_tables.ws_tokens(turns)
+        .groupBy("doc_id.conv_id", "doc_id.turn")
+        .agg(
+            F.count("*").alias("tokens"),
+            F.sum(F.octet_length("token")).alias("bytes"),
+            F.sum("start").alias("starts"),
+        )
+    )
+
+
+# ---- deep heuristics, each over whole texts ------------------------------
+
+
+def _deep(spark, sf, *names, words=()):
+    cfg = ScanConfig(enable_deep_scan=True, wordlist=tuple(words))
+    none = rules.load_catalog(spark).filter("false")
+    found = scan_plan.scan(planted(spark, sf), cfg, catalog=none)
+    return found.filter(F.col("name").isin(*names)).select("doc_id", "name", "start", "end")
+
+
+_KEY_SQL = (
+    "regexp_matches(k, '(^|_)(" + "|".join(dict.fromkeys(X.SECRET_KEY_WORDS)) + ")(_|$)') AND NOT regexp_matches(k, '"
+    + "|".join(X.PUBLIC_KEY_PARTS) + "') AND k NOT IN ('state', 'nonce')"
+)
+
+
+def _keyed_sql(parts, flags: str, name: str) -> str:
+    lead, key, between, value, tail = [p.replace("*+", "*") for p in parts]
+    rx = f"{flags}({lead})({key})({between})({value})({tail})"
+    q = quote(rx)
+    return (
+        f"SELECT doc_id, '{name}' AS name, s + strlen(a) + strlen(k0) + strlen(b) AS start, "
+        f's + strlen(a) + strlen(k0) + strlen(b) + strlen(v) AS "end" FROM (SELECT doc_id, lower(k0) AS k, * FROM (SELECT doc_id, '
+        "unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda g: strlen(g))) + "
+        "coalesce(list_sum(list_transform(ms[1:i-1], lambda m: strlen(m))), 0))) AS s, unnest(p1) AS a, unnest(p2) AS k0, unnest(p3) AS b, unnest(p4) AS v "
+        f"FROM (SELECT doc_id, regexp_extract_all(text, {q}, 0) AS ms, string_split_regex(text, {q}) AS gs, "
+        + ", ".join(f"regexp_extract_all(text, {q}, {i}) AS p{i}" for i in (1, 2, 3, 4))
+        + f" FROM planted))) WHERE {_KEY_SQL}"
+    )
+
+
+_KV = "Secret Key-Value Pair"
+
+
+@register(
+    "deep1_kv_secrets",
+    f"WITH {PLANTED_SQL}, kv AS (" + " UNION ALL ".join(_keyed_sql(p, "", _KV) for p in fixed_deep.KEY_VALUE)
+    + f"), allow AS ({ALLOW_SQL}) SELECT * FROM kv h WHERE NOT EXISTS (SELECT 1 FROM allow a WHERE a.doc_id = h.doc_id "
+    'AND a.start <= h.start AND h."end" <= a."end")',
+)
+def deep1(spark, sf):
+    return _deep(spark, sf, _KV)
+
+
+_ENV = ("^\\s*", *fixed_deep.ENV_LINE[1:])
+
+
+@register(
+    "deep2_env_secrets",
+    f"WITH {PLANTED_SQL} " + _keyed_sql(_ENV, "(?m)", "Environment Variable Secret"),
+)
+def deep2(spark, sf):
+    return _deep(spark, sf, "Environment Variable Secret")
+
+
+@register(
+    "deep3_connection_strings",
+    f"WITH {PLANTED_SQL} " + " UNION ALL ".join(
+        f"SELECT doc_id, 'Connection String' AS name, NULL AS start, NULL AS \"end\" FROM planted WHERE regexp_matches(text, {quote(p)})"
+        for p in fixed_deep.CONNECTION
+    ),
+)
+def deep3(spark, sf):
+    return _deep(spark, sf, "Connection String")
+
+
+@register("deep4_base64_secrets")
+def deep4(spark, sf):
+    """The planted text encoded once and twice, so findings come from decoded text."""
+    docs = planted(spark, sf)
+    once = F.base64(F.encode(F.concat(F.lit("wrapped "), F.right("text", F.lit(160))), "UTF-8"))
+    text = F.concat(F.lit("blob "), F.regexp_replace(F.when(F.col("doc_id") % 2 == 0, once).otherwise(
+        F.base64(F.encode(F.regexp_replace(once, "[\r\n]", ""), "UTF-8"))), "[\r\n]", ""))
+    cfg = ScanConfig(enable_deep_scan=True)
+    none = rules.load_catalog(spark).filter("false")
+    found = scan_plan.scan(docs.select("doc_id", text.alias("text")), cfg, catalog=none)
+    return found.filter("start is null").groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
+@register(
+    "deep5_private_keys",
+    f"WITH {PLANTED_SQL} SELECT doc_id, 'Private Key' AS name, NULL AS start, NULL AS \"end\" FROM planted "
+    f"WHERE regexp_matches(text, {quote('(?s)' + fixed_deep.KEY_HEADER + '.*[^[:space:]].*' + fixed_deep.KEY_FOOTER)}) "
+    f"UNION ALL SELECT doc_id, 'SSH Public Key', NULL, NULL FROM planted WHERE regexp_matches(text, {quote(fixed_deep.SSH_PUBLIC)})",
+)
+def deep5(spark, sf):
+    return _deep(spark, sf, "Private Key", "Private Key (Incomplete)", "SSH Public Key")
+
+
+@register(
+    "deep6_credential_composites",
+    f"WITH {PLANTED_SQL} " + " UNION ALL ".join(
+        f"SELECT doc_id, {quote(n)} AS name, start, \"end\" FROM ({span_sql(p)})" for p, n in fixed_deep.CREDENTIALS
+    ),
+)
+def deep6(spark, sf):
+    return _deep(spark, sf, *[n for _, n in fixed_deep.CREDENTIALS])
+
+
+def _window_sql(hits: str) -> str:
+    """Hits with the text from their line's start to the end of the next line."""
+    return (
+        "SELECT h.*, array_to_string(ls[l1 + 1 : l2 + 2], chr(10)) AS win, "
+        "coalesce(list_sum(list_transform(ls[1:l1], lambda x: strlen(x) + 1)), 0) AS win_start FROM ("
+        "SELECT h.*, string_split(p.text, chr(10)) AS ls, "
+        "strlen(regexp_replace(decode(encode(p.text)[1:h.start]), '[^\\n]', '', 'g')) AS l1, "
+        "strlen(regexp_replace(decode(encode(p.text)[1:h.\"end\"]), '[^\\n]', '', 'g')) AS l2 "
+        f"FROM ({hits}) h JOIN planted p USING (doc_id)) h"
+    )
+
+
+@register(
+    "deep7_card_with_expiry",
+    f"WITH {PLANTED_SQL}, pan AS (SELECT * FROM (SELECT doc_id, start, \"end\", value, value AS v FROM ({span_sql(fixed_deep.CARD_NUMBER)})) WHERE {CHECK_SQL['luhn']}) "
+    f"SELECT doc_id, 'Card PAN with Expiry/CVV' AS name, start, \"end\" FROM ({_window_sql('SELECT * FROM pan')}) WHERE regexp_matches(win, {quote(fixed_deep.CARD_CONTEXT)})",
+)
+def deep7(spark, sf):
+    return _deep(spark, sf, "Card PAN with Expiry/CVV")
+
+
+@register(
+    "deep8_json_secrets",
+    # every nested block in these texts is planted on its own line
+    f"WITH {PLANTED_SQL} SELECT doc_id, 'JSON Secret' AS name, strlen(text) - 35 AS start, strlen(text) - 3 AS \"end\" FROM planted "
+    f"WHERE doc_id % 20 = 11 AND {entropy_sql('md5(cast(doc_id AS VARCHAR))')} > 3.5",
+)
+def deep8(spark, sf):
+    return _deep(spark, sf, "JSON Secret")
+
+
+_NEAR = "(?i)\\b(" + "|".join(X.PROXIMITY_WORDS) + ")\\b"
+
+
+@register(
+    "deep9_proximity_secrets",
+    f"WITH {PLANTED_SQL}, l AS (SELECT doc_id, n, ls[n] AS line, coalesce(list_sum(list_transform(ls[1:n-1], lambda x: strlen(x) + 1)), 0) AS start, "
+    f"regexp_matches(ls[n], {quote(_NEAR)}) AS kw FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM planted))), "
+    "near AS (SELECT b.doc_id, b.n, b.line, b.start FROM l a JOIN l b ON a.doc_id = b.doc_id AND abs(a.n - b.n) = 1 WHERE a.kw), "
+    "keyed AS (SELECT *, row_number() OVER () AS doc_key FROM near) "
+    "SELECT doc_id, 'Proximity Secret' AS name, line_start + start AS start, line_start + \"end\" AS \"end\" FROM ("
+    + span_sql("\\S+", "(SELECT doc_id, start AS line_start, doc_key, line AS text FROM keyed)", "text", "doc_id, line_start, doc_key")
+    + f") WHERE strlen(value) >= 16 AND regexp_full_match(value, '[\\p{{L}}\\p{{M}}\\p{{N}}_.\\-]+') AND {entropy_sql('value')} > 3.8",
+)
+def deep9(spark, sf):
+    return _deep(spark, sf, "Proximity Secret")
+
+
+def _host_sql(name: str, anchor: str, shape: str) -> str:
+    hits = span_sql(anchor)
+    shapes = span_sql(shape, "(SELECT doc_id, start AS a0, \"end\" AS a1, win_start, win AS text FROM (" + _window_sql(hits) + "))", "text", "doc_id, a0, a1, win_start")
+    return (
+        f"SELECT doc_id, {quote(name)} AS name, min(win_start + start) AS start, "
+        'arg_min(win_start + "end", start) AS "end" FROM (' + shapes
+        + ') WHERE NOT (win_start + start < a1 AND win_start + "end" > a0) GROUP BY doc_id, a0'
+    )
+
+
+_HOSTS = [h for h in fixed_deep.HOST_GATED if h[0].startswith(("Vultr", "Twilio", "Generic API", "Hex.pm"))]
+
+
+@register("deep10_vendor_host_tokens", f"WITH {PLANTED_SQL} " + " UNION ALL ".join(_host_sql(*h) for h in _HOSTS))
+def deep10(spark, sf):
+    return _deep(spark, sf, *[h[0] for h in _HOSTS])
+
+
+@register(
+    "deep11_mnemonic_runs",
+    # the list is every 3 to 8 letter word of the two shortest benchmark texts
+    "WITH list AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM benchmark) "
+    "WHERE strlen(w) BETWEEN 2 AND 8 AND lower(w) < 'o'), tok AS (SELECT doc_id, value, start, \"end\", row_number() OVER (PARTITION BY doc_id ORDER BY start) AS pos FROM ("
+    + span_sql("\\S+", "documents") + ")), marked AS (SELECT t.*, l.w IS NOT NULL AS hit FROM tok t LEFT JOIN list l ON l.w = "
+    "lower(regexp_replace(t.value, '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g'))), isl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM marked WHERE hit) "
+    "SELECT doc_id, min(start) AS start, max(\"end\") AS \"end\", count(*) AS words FROM isl GROUP BY doc_id, g HAVING count(*) >= 12",
+)
+def deep11(spark, sf):
+    """Long runs of listed words; the list comes from the benchmark texts."""
+    texts = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    listed = texts.select(F.lower("w").alias("word")).filter("length(word) between 2 and 8 and word < 'o'")
+    return deep.mnemonic_table(table(spark, sf, "documents"), listed.distinct())
+
+
+# ---- scalar expressions --------------------------------------------------
+
+
+@register(
+    "scl1_shannon_entropy",
+    f"SELECT conv_id, turn, round({entropy_sql('text')}, 9) AS bits FROM conversations",
+)
+def scl1(spark, sf):
+    return table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.round(X.shannon_entropy(F.col("text")), 9).alias("bits")
+    )
+
+
+@register(
+    "scl2_name_to_tag",
+    "SELECT p_partkey, coalesce('[' || upper(nullif(trim(regexp_replace(v, '[^A-Za-z0-9]+', '_', 'g'), '_'), '')) || ']', '[SECRET]') AS tag "
+    "FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN '--' ELSE ' ' || p_name || ' (' || p_brand || ')' END AS v FROM part)",
+)
+def scl2(spark, sf):
+    v = F.expr("CASE WHEN p_partkey % 9 = 0 THEN '--' ELSE concat(' ', p_name, ' (', p_brand, ')') END")
+    return table(spark, sf, "part").select("p_partkey", X.name_to_tag(v).alias("tag"))
+
+
+@register(
+    "scl3_printable_ratio",
+    "SELECT doc_id, round(length(regexp_replace(text, '[^\\x21-\\x7e \\t\\n\\f\\r]', '', 'g')) / greatest(strlen(text), 1), 9) AS ratio FROM documents",
+)
+def scl3(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.round(X.printable_ratio(F.col("text")), 9).alias("ratio"))
+
+
+@register(
+    "scl4_lenient_base64",
+    "SELECT o_orderkey, 'order ' || o_orderkey || ' ' || o_orderpriority AS decoded FROM orders",
+)
+def scl4(spark, sf):
+    """Encoded text without its padding decodes to itself."""
+    plain = F.expr("concat('order ', o_orderkey, ' ', o_orderpriority)")
+    stripped = F.rtrim(F.regexp_replace(F.base64(F.encode(plain, "UTF-8")), "[\r\n]", ""), F.lit("="))
+    return table(spark, sf, "orders").select("o_orderkey", X.lenient_base64(stripped).cast("string").alias("decoded"))
+
+
+@register(
+    "scl5_secret_keys",
+    f"SELECT k, n FROM (SELECT k, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z_]+')) AS k FROM (SELECT * FROM documents)) GROUP BY k) WHERE {_KEY_SQL}",
+)
+def scl5(spark, sf):
+    words = table(spark, sf, "documents").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z_]+"), F.lit(0))).alias("k")
+    )
+    keys = words.groupBy("k").agg(F.count("*").alias("n"))
+    return keys.filter(X.is_secret_key(F.col("k")) & ~X.is_public_key_name(F.col("k")))
+
+
+@register(
+    "scl13_coordinates",
+    "SELECT event_id, cast(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS a, -round(value, 2) AS b FROM events",
+)
+def scl13(spark, sf):
+    text = F.concat(F.col("props"), F.lit(" -"), F.round("value", 2).cast("string"))
+    c = V.coordinates(text)
+    return table(spark, sf, "events").select("event_id", F.get(c, 0).alias("a"), F.get(c, 1).alias("b"))
+
+
+__all__ = ["locate"]
