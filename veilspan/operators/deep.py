@@ -577,7 +577,7 @@ def _all_findings(text: str, loc: str, inner: str, p: Probes, words: tuple[str,
     )
 
 
-WORDLIST_LIMIT = 100_000
+WORDLIST_LIMIT = 4_096
 
 
 def mnemonic_table(docs: DataFrame, wordlist: DataFrame) -> DataFrame:
@@ -612,13 +612,12 @@ def _core(token: Column) -> Column:
 
 
 def _word_marks(text: Column, words: Sequence[str]) -> Column:
-    listed = F.expr("array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")")
     return F.transform(
         locate(text, "\\S+"),
         lambda t: F.struct(
             t["start"].alias("start"),
             t["end"].alias("end"),
-            F.array_contains(listed, _core(t["value"])).alias("hit"),
+            _core(t["value"]).isin(list(words)).alias("hit"),
         ),
     )
 

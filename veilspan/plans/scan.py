@@ -375,3 +375,30 @@ def redact_table(
         names_column().alias("names"),
         F.size("findings").alias("n"),
     )
+
+
+def collect_spans(
+    docs: DataFrame,
+    cfg: ScanConfig,
+    catalog: DataFrame | None = None,
+    custom: DataFrame | None = None,
+) -> DataFrame:
+    """(doc_id, seq, start, end, name): every span to redact before merging (RED1)."""
+    sc = compile_scanner(docs.sparkSession, cfg, catalog, custom)
+    df = add_scan(docs.select("doc_id", "text"), sc).select("doc_id", spans_column(sc).alias("_s"))
+    numbered = F.transform(F.col("_s"), lambda s, i: s.withField("seq", i))
+    return unnest(df.select("doc_id", numbered.alias("_s")), "_s", "seq").select(
+        "doc_id", "seq", "start", "end", "name"
+    )
+
+
+def merged_spans(
+    docs: DataFrame,
+    cfg: ScanConfig,
+    catalog: DataFrame | None = None,
+    custom: DataFrame | None = None,
+) -> DataFrame:
+    """(doc_id, start, end, name): the islands of a style (RED2)."""
+    sc = compile_scanner(docs.sparkSession, cfg, catalog, custom)
+    df = add_redaction(add_scan(docs.select("doc_id", "text"), sc), sc)
+    return unnest(df.select("doc_id", "islands"), "islands", "start")
