@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspan.config import ScanConfig
 from veilspan.functions.windows import BLOCK_ROWS, running_max, running_sum
+from veilspan.operators.patterns import settled
 from veilspan.plans.scan import add_redaction, add_scan, compile_scanner
 
 
@@ -81,8 +82,10 @@ def redaction_boxes(words: DataFrame, cfg: ScanConfig) -> tuple[DataFrame, DataF
     """(image_id, status) and the boxes (IMG2)."""
     texts = assemble(words)
     sc = compile_scanner(words.sparkSession, cfg)
-    scanned = add_redaction(add_scan(texts, sc), sc).select(
-        "image_id", F.size("findings").alias("n"), "islands"
+    scanned = settled(
+        add_redaction(add_scan(texts, sc), sc),
+        ["image_id"],
+        {"n": F.size("findings"), "islands": F.col("islands")},
     )
     spans = scanned.select("image_id", F.inline_outer("islands")).filter("start is not null")
     boxes = boxes_for_spans(word_ranges(words), spans)

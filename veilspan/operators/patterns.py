@@ -224,6 +224,17 @@ def unnest(df: DataFrame, column: str, required: str) -> DataFrame:
     return df.select(*keep, F.inline_outer(column)).filter(F.col(required).isNotNull())
 
 
+def settled(df: DataFrame, keep: list[str], made: dict[str, Column]) -> DataFrame:
+    """``keep`` and the ``made`` columns, as a finished step of the plan.
+
+    A later filter on a made column would otherwise be pushed below, with the
+    whole scan substituted into it once per reference.  A one-row generator
+    keeps the step as it is; it neither shuffles nor copies rows.
+    """
+    row = F.struct(*[c.alias(name) for name, c in made.items()])
+    return df.select(*keep, F.inline_outer(F.array(row)))
+
+
 @generated
 def lookup(rows: Sequence[Row], field: str, ord_: Column) -> Column:
     """A rule's attribute by its number."""

@@ -26,6 +26,7 @@ from veilspan.operators.patterns import (
     compile_rule,
     gate_spans,
     located_column,
+    settled,
     unnest,
 )
 from veilspan.operators.select import active_rules
@@ -310,7 +311,7 @@ def add_findings(
 ) -> DataFrame:
     """Documents with their findings as an array column."""
     sc = compile_scanner(docs.sparkSession, cfg, catalog, custom)
-    return add_scan(docs, sc).withColumn("findings", findings_column(sc)).drop(*STATE)
+    return settled(add_scan(docs, sc), docs.columns, {"findings": findings_column(sc)})
 
 
 @generated
@@ -369,12 +370,8 @@ def redact_table(
     """(doc_id, text, names, n): redacted documents, narrow from end to end (RED10)."""
     sc = compile_scanner(docs.sparkSession, cfg, catalog, custom)
     df = add_redaction(add_scan(docs.select("doc_id", "text"), sc), sc)
-    return df.select(
-        "doc_id",
-        F.col("redacted").alias("text"),
-        names_column().alias("names"),
-        F.size("findings").alias("n"),
-    )
+    made = {"text": F.col("redacted"), "names": names_column(), "n": F.size("findings")}
+    return settled(df, ["doc_id"], made)
 
 
 def collect_spans(
