@@ -186,7 +186,7 @@ def _softwrap_columns(sc: Scanner, text: str) -> dict[str, Column]:
     return parts
 
 
-STATE = ("_pat", "_allow", "_run", "_deep", "_tok", "_soft", "_softent")
+
 
 
 def _rule_names(rows: Sequence[Row], field: str) -> Column:
