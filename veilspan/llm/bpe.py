@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,36 +15,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilspan.llm.common import col, slices, strings
 
-CACHED_WORDS = 200_000
-WORDS_A_QUERY = 20_000
+CACHED_WORDS = 200_000  # in either of two generations
+WORDS_A_QUERY = 50_000
 LONG_WORD = 256  # bytes; longer ones would take as many rounds as they have merges
 POSITIONS = 1 << 12  # more than LONG_WORD
 IDS = 1 << 20
 
 #: Each round joins the pairs of neighbours to the merge table, picks per word the lowest rank, then the
-#: leftmost place, puts the merged token there and drops its right neighbour.  A word without a pair stops.
+#: leftmost place, puts the merged token there and drops its right neighbour.  A word without a pair is done.
 MERGE = f"""
 WITH RECURSIVE seq AS (
-  SELECT w, pos, tok, nxt, npos, 0 AS step FROM start
+  SELECT w, pos, tok, nxt, npos, false AS done FROM start
   UNION ALL (
-    WITH pair AS (
+    WITH open AS (SELECT * FROM seq WHERE NOT done),
+    pair AS (
       SELECT w, min(t::BIGINT * {POSITIONS} + pos) AS best
-      FROM seq JOIN merges ON lr = tok::BIGINT * {IDS} + nxt GROUP BY w),
+      FROM open JOIN merges ON lr = tok::BIGINT * {IDS} + nxt GROUP BY w),
     spot AS (
       SELECT s.w, s.pos AS spot_pos, (best // {POSITIONS})::INT AS merged, s.npos AS gone
-      FROM pair JOIN seq s ON s.w = pair.w AND s.pos = best % {POSITIONS}),
+      FROM pair JOIN open s ON s.w = pair.w AND s.pos = best % {POSITIONS}),
     cut AS (
       SELECT spot.*, s.nxt AS after, s.npos AS after_pos
-      FROM spot JOIN seq s ON s.w = spot.w AND s.pos = spot.gone)
+      FROM spot JOIN open s ON s.w = spot.w AND s.pos = spot.gone)
     SELECT s.w, s.pos,
       CASE WHEN s.pos = spot_pos THEN merged ELSE s.tok END,
       CASE WHEN s.pos = spot_pos THEN after WHEN s.npos = spot_pos THEN merged ELSE s.nxt END,
       CASE WHEN s.pos = spot_pos THEN after_pos ELSE s.npos END,
-      step + 1
-    FROM seq s JOIN cut ON s.w = cut.w WHERE s.pos <> gone))
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM seq JOIN (SELECT w, max(step) AS step FROM seq GROUP BY w) USING (w, step)
-GROUP BY w
+      cut.w IS NULL
+    FROM open s LEFT JOIN cut ON s.w = cut.w WHERE cut.w IS NULL OR s.pos <> gone))
+SELECT w, tok FROM seq WHERE done ORDER BY w, pos
 """
 
 DECODE = """
@@ -85,6 +86,10 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p]
 
 
+#: Ids as decimals joined by commas, ids packed, and the bytes they decode to.
+Code = tuple[str, bytes, bytes]
+
+
 class Codec:
     """One worker's DuckDB tables and the codes of words seen lately."""
 
@@ -114,14 +119,17 @@ class Codec:
                 "hex": pa.array([k.hex() for k in ranks], pa.string()),
             },
         )
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.decimals = {r: str(r) for r in ranks.values()}
+        self.known: dict[str, Code] = {}
+        self.older: dict[str, Code] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _merged(self, words: list[bytes]) -> dict[int, list[int]]:
+    def _merged(self, words: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Word numbers, their ids laid end to end, and where each word's ids begin and end."""
         size = np.array([len(w) for w in words], "int32")
         flat = np.frombuffer(b"".join(words), "uint8")
         first = np.cumsum(size) - size
@@ -132,42 +140,58 @@ class Codec:
         npos[first + size - 1] = -1
         w = np.repeat(np.arange(len(words), dtype="int32"), size)
         self.db.register("start", pa.table({"w": w, "pos": pos, "tok": tok, "nxt": nxt, "npos": npos}))
-        out = dict(self.db.execute(MERGE).fetchall())
+        found = self.db.sql(MERGE).to_arrow_table()
         self.db.unregister("start")
-        return out
-
-    def learn(self, words: list[str]) -> dict[str, tuple[str, bytes]]:
-        """Ids of new words, as decimals joined by commas and as packed integers."""
-        out, rest = {}, []
+        w, ids = found.column("w").to_numpy(), found.column("tok").to_numpy()
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        return w[first].tolist(), ids, np.append(first, len(ids))
+
+    def _codes(self, ids: np.ndarray, ends: np.ndarray) -> list[Code]:
+        decoded = self.decode(ids, np.repeat(np.arange(len(ends) - 1, dtype="int32"), np.diff(ends)), len(ends) - 1)
+        packed, text = ids.tobytes(), [self.decimals[i] for i in ids.tolist()]
+        cuts = ends.tolist()
+        return [(",".join(text[a:b]), packed[4 * a : 4 * b], d) for a, b, d in zip(cuts, cuts[1:], decoded)]
+
+    def learn(self, words: list[str]) -> dict[str, Code]:
+        """Codes of new words."""
+        out, rest, known, ids = {}, [], [], []
         for word in words:
             b = word.encode("utf-8", "replace")
-            rank = self.ranks.get(b)
-            if rank is not None:
-                out[word] = [rank]
-            elif len(b) > LONG_WORD:
-                out[word] = merge_long(b, self.ranks)
+            if b in self.ranks or len(b) > LONG_WORD:
+                known.append(word)
+                ids.append([self.ranks[b]] if b in self.ranks else merge_long(b, self.ranks))
             else:
                 rest.append((word, b))
+        if known:
+            ends = np.cumsum([0, *map(len, ids)])
+            out.update(zip(known, self._codes(np.array(list(chain.from_iterable(ids)), "int32"), ends)))
         for i in range(0, len(rest), WORDS_A_QUERY):
             some = rest[i : i + WORDS_A_QUERY]
-            merged = self._merged([b for _, b in some])
-            out.update((word, merged[n]) for n, (word, _) in enumerate(some))
-        return {w: (",".join(map(str, ids)), np.array(ids, "int32").tobytes()) for w, ids in out.items()}
-
-    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """For each text its ids as decimals joined by commas and as packed integers."""
-        split = [self.split(t) for t in texts]
-        new = dict.fromkeys(w for words in split for w in words if w not in self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = dict.fromkeys(w for words in split for w in words)
-        self.known.update(self.learn(list(new)))
-        out = []
-        for words in split:
-            codes = [self.known[w] for w in words]
-            out.append((",".join([c[0] for c in codes]), b"".join([c[1] for c in codes])))
+            at, flat, ends = self._merged([b for _, b in some])
+            out.update(zip([some[n][0] for n in at], self._codes(flat, ends)))
         return out
 
+    def encode(self, texts: list[str]) -> list[Code]:
+        """The code of each text: those of its words end to end."""
+        gc.disable()  # nothing here is in a cycle, and a collection would walk all the words
+        try:
+            split = [self.split(t) for t in texts]
+            words = set(chain.from_iterable(split))
+            if len(self.known) + len(words.difference(self.known)) > CACHED_WORDS:
+                self.older, self.known = self.known, {}
+            words.difference_update(self.known)
+            again = words.intersection(self.older)
+            self.known |= {w: self.older[w] for w in again}
+            self.known |= self.learn(list(words - again))
+            out = []
+            for found in split:
+                codes = [self.known[w] for w in found]
+                text, packed, decoded = zip(*codes) if codes else ((), (), ())
+                out.append((",".join(text), b"".join(packed), b"".join(decoded)))
+            return out
+        finally:
+            gc.enable()
+
     def decode(self, ids: np.ndarray, owner: np.ndarray, n: int) -> list[bytes]:
         """Bytes of ``n`` id sequences laid end to end, by an ordered aggregation."""
         out = [b""] * n
@@ -203,14 +227,8 @@ def _with_codec(spark: SparkSession, ranks_path: str, pattern: str, work: Callab
     return run
 
 
-def _flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([len(b) // 4 for b in packed], "int64")
-    owner = np.repeat(np.arange(len(packed), dtype="int32"), size)
-    return np.frombuffer(b"".join(packed), "int32"), owner
-
-
 def _lists(packed: list[bytes]) -> pa.Array:
-    flat, _ = _flat(packed)
+    flat = np.frombuffer(b"".join(packed), "int32")
     ends = np.cumsum([0, *(len(b) // 4 for b in packed)]).astype("int32")
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
@@ -227,7 +245,8 @@ def round_trip(
 
     Each match of ``pattern`` is encoded on its own; a match that is a token
     needs no merge.  Distinct new words of a slice of texts are contracted
-    together in DuckDB; words over ``LONG_WORD`` bytes by the same rule with a
+    together in DuckDB and decoded there from their ids, once as long as a
+    worker remembers them; words over ``LONG_WORD`` bytes by the same rule with a
     heap, as one contraction a round is quadratic.  Nothing is shuffled.
 
     Null and empty texts have no ids.  Each row gives one row: repeated rows,
@@ -236,13 +255,12 @@ def round_trip(
 
     def work(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         made = codec.encode(strings(batch.column("text")))
-        packed = [b for _, b in made]
-        back = codec.decode(*_flat(packed), len(packed))
+        packed = [b for _, b, _ in made]
         columns = {
             "doc_id": batch.column("doc_id"),
             "n_tokens": pa.array([len(b) // 4 for b in packed], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() for s, _ in made]),
-            "decoded_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in back]),
+            "ids_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() for s, _, _ in made]),
+            "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for _, _, d in made]),
         }
         if with_ids:
             columns["ids"] = _lists(packed)
@@ -260,7 +278,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """``doc_id, ids`` of every row (array of int, empty for null and empty texts), as in ``round_trip``."""
 
     def work(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [b for _, b in codec.encode(strings(batch.column("text")))]
+        packed = [b for _, b, _ in codec.encode(strings(batch.column("text")))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(packed)], ["doc_id", "ids"])
 
     run = _with_codec(docs.sparkSession, ranks_path, pattern, work)
