@@ -250,7 +250,9 @@ def test_marginals_equal_brute_force():
 
     rng = np.random.default_rng(0)
     words = {"a": 1, "b": 2, "c": 3}
-    m = toxicity.ToxicityModel(words, *(rng.normal(size=4) for _ in range(3)), rng.normal(size=(2, 2)))
+    m = toxicity.ToxicityModel(
+        words, np.array([0, 2, 2, 0]), *(rng.normal(size=4) for _ in range(4)), rng.normal(size=(2, 2))
+    )
     chains = toxicity.Chains(["a b c a x", "", "b. c b!"], words)
     got, pairs = chains.marginals(m, pairs=True)
     e = chains.scores(m)
@@ -284,7 +286,9 @@ def test_toxicity_on_held_out_rows(spark):
                 text.insert(rng.randrange(len(text)), w)
         rows.append((i, " ".join(text), int(bad)))
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    model = toxicity.fit(df.filter("doc_id % 2 = 0"), train_docs=200)
+    labels = df.select("doc_id", "label")
+    labels = labels.union(spark.createDataFrame([(None, 1), (1, None), (0, 0), (99999, 1)], labels.schema))
+    model = toxicity.fit(df.drop("label"), labels, F.col("doc_id") % 2 == 0, train_docs=160)
     odd = [(7001, None, 0), (7002, "", 0), (7003, "w1 " * 20000 + "vile foul", 1), (None, "vile. foul", 1)]
     rest = df.filter("doc_id % 2 = 1").union(spark.createDataFrame(odd, df.schema))
     got = toxicity.score(rest.withColumn("score", F.lit("clash")), model, keep=("label",)).collect()
@@ -292,7 +296,7 @@ def test_toxicity_on_held_out_rows(spark):
     found = {r.doc_id: r for r in got}
     assert [(s.start, s.end) for s in found[7003].spans] == [(60000, 60009)]
     assert [(s.start, s.end) for s in found[None].spans] == [(0, 4), (6, 10)]
-    nothing = toxicity.fit(df.limit(0))
+    nothing = toxicity.fit(df.limit(0), labels, F.lit(True))
     assert all(r.score < 0.5 for r in toxicity.score(rest, nothing).collect())
     assert toxicity.score(df.limit(0), model).count() == 0
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import block_pairs, checkpointed, labelled_sample
+from veilspan.llm.common import block_pairs, checkpointed, hash_sample
 from veilspan.llm.topk import nearest_first, one_vector_per_id
 
 HITS = "query_id long, vec_id long, score double"
@@ -77,7 +77,7 @@ def _centroids(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(rows: DataFrame, centroids: int = 32, sample_rows: int = 8192) -> dict[int, MultiIndex]:
     """An index for each dimension.  Centroids are fitted on ``sample_rows`` vectors by hash order; every row is counted in."""
-    sample = [np.array(r.v) for r in labelled_sample(rows, "vec_id", sample_rows).collect()]
+    sample = [np.array(r.v) for r in hash_sample(rows, "vec_id", sample_rows).collect()]
     out = {}
     for dim in sorted({len(v) for v in sample}):
         v = np.stack([x for x in sample if len(x) == dim])

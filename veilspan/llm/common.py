@@ -52,9 +52,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
             yield batch.slice(start, step)
 
 
-def labelled_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows with the smallest hash of ``key``: the same at every run."""
-    return df.orderBy(F.xxhash64(F.lit("sample"), F.col(key)), key).limit(rows)
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows with the smallest hash of ``key``: the same at every run.
+
+    Only hashes are ordered to find where the sample ends; the rows themselves
+    are then filtered, so that no task sends more than belongs to the sample.
+    """
+    h = F.xxhash64(F.lit("sample"), F.col(key))
+    last = df.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return df.limit(0)
+    return df.filter(h <= last).orderBy(h, key).limit(rows)
 
 
 def block_pairs(

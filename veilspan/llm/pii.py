@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import col, labelled_sample, slices, strings
+from veilspan.llm.common import col, hash_sample, slices, strings
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -273,7 +273,7 @@ def fit(
     )
     model = Field()
     examples: list[tuple[Lattice, dict[tuple[int, int], int]]] = []
-    for row in labelled_sample(rows, "doc_id", train_docs).collect():
+    for row in hash_sample(rows, "doc_id", train_docs).collect():
         gold = {(s, e): KINDS.index(kind) + 1 for s, e, kind in base_spans(row.text)}
         for region in regions(row.text):
             if len(examples) < train_regions and len(region) <= 32:

@@ -96,7 +96,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
-    return toxicity.fit(toxicity.labelled_rows(docs, labels, ~held_out()))
+    return toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")), ~held_out())
 
 
 @register

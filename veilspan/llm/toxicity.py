@@ -11,19 +11,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import col, labelled_sample, slices, strings
+from veilspan.llm.common import checkpointed, col, hash_sample, slices, strings
 
 TOKENS = re.compile(r"[^\W_]+|[.!?\n]")
 STOPS = frozenset(".!?\n")
+PREFIX = 4  # letters; what an inflected or unseen word is known by
 CHAIN = 64  # tokens of a chain at most; a longer sentence is several chains
 
 
 @dataclass
 class ToxicityModel:
-    """Weights of label 1 against label 0: own, previous and next word; transitions; document calibration."""
+    """Weights of label 1 against label 0: own word and prefix, previous and next word; transitions; document calibration.
 
-    words: dict[str, int] = field(default_factory=dict)  # 1.., 0 is any other word
+    ``words`` numbers known words and, after ``^``, known prefixes from 1; an
+    unknown word has the number of its prefix, or 0.
+    """
+
+    words: dict[str, int] = field(default_factory=dict)
+    prefix: np.ndarray = field(default_factory=lambda: np.zeros(1, "int64"))  # of each number
     own: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1))
     before: np.ndarray = field(default_factory=lambda: np.zeros(1))
     after: np.ndarray = field(default_factory=lambda: np.zeros(1))
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
@@ -46,7 +53,7 @@ class Chains:
                 if new or at == CHAIN:
                     first.append(len(ids))
                     at, new = 0, False
-                ids.append(get(token, 0))
+                ids.append(get(token) or get("^" + token[:PREFIX], 0))
                 at += 1
             owner.append(len(ids))
         self.ids = np.array(ids, "int64")
@@ -63,7 +70,7 @@ class Chains:
         self.has_after = np.append(inner[1:], False)[: len(ids)]
 
     def scores(self, m: ToxicityModel) -> np.ndarray:
-        e = m.own[self.ids].copy()
+        e = (m.own + m.start[m.prefix])[self.ids]
         e[1:] += np.where(self.has_before[1:], m.before[self.ids[:-1]], 0)
         e[:-1] += np.where(self.has_after[:-1], m.after[self.ids[1:]], 0)
         return np.clip(e, -40, 40)
@@ -109,75 +116,99 @@ def _document_features(p: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def toxic_words(labelled: DataFrame, most: int = 200, least_docs: int = 5, odds: float = 30.0) -> list[str]:
-    """Words that mark toxic documents: counted over all labelled rows, the ``most`` surest kept.
-
-    A word counts once a document.  It is chosen when its odds of label 1 are
-    ``odds`` times the base odds and at least 2 % of the toxic documents and
-    ``least_docs`` of them hold it.
+def marking_words(texts: list[set[str]], labels: np.ndarray, odds: float = 30.0, share: float = 0.02) -> set[str]:
+    """Words or prefixes that single out documents of label 1: ``odds`` times likelier there, and in ``share`` of them (5 at least)."""
+    n1 = int(labels.sum())
+    n0 = len(labels) - n1
+    counts: dict[str, list[int]] = {}
+    for words, y in zip(texts, labels.astype(int).tolist()):
+        for w in words:
+            counts.setdefault(w, [0, 0])[y] += 1
+    return {
+        w
+        for w, (c0, c1) in counts.items()
+        if c1 >= max(5, share * n1) and c1 / n1 >= odds * (c0 + 0.5) / (n0 + 1)
+    }
+
+
+def training_sample(
+    docs: DataFrame, labels: DataFrame, train: Column, train_docs: int, train_chars: int
+) -> tuple[DataFrame, dict[int, int]]:
+    """``text, label`` and how many documents have either label.
+
+    The sample is at most ``train_docs`` documents for which ``train`` (on
+    ``doc_id``) holds: half with label 1, half with 0, each by hash order of the
+    ids, of texts with 1 to ``train_chars`` characters.  A document with several labels has the largest;
+    null ids, labels and texts do not train.  Ids are chosen without moving a
+    text; the texts of the chosen ids are then filtered out in place.
     """
-    token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"))))
-    counts = (
-        labelled.select("label", token.alias("word"))
-        .groupBy("word")
-        .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-        .filter(F.col("toxic") >= least_docs)
+    known = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
+        .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & train)
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
     )
-    n = labelled.agg(F.sum("label").alias("toxic"), F.count("*").alias("all")).first()
-    if not n.toxic or n.toxic == n["all"]:
-        return []
-    clean = n["all"] - n.toxic
-    ratio = (F.col("toxic") / n.toxic) / ((F.col("clean") + 0.5) / (clean + 1))
-    rows = (
-        counts.filter((ratio >= odds) & (F.col("toxic") >= 0.02 * n.toxic))
-        .orderBy(F.desc("toxic"), "word")
-        .limit(most)
-        .select("word")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(
+        F.length("text").between(1, train_chars)
     )
-    return [r.word for r in rows.collect()]
+    usable = checkpointed(known.join(texts.select("doc_id"), "doc_id", "left_semi"))
+    counts = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
+    chosen = [hash_sample(usable.filter(F.col("label") == y), "doc_id", train_docs // 2) for y in (0, 1)]
+    ids = chosen[0].union(chosen[1])
+    one = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return one.select("text", "label"), counts
 
 
 def fit(
-    labelled: DataFrame,
-    train_docs: int = 1500,
+    docs: DataFrame,
+    labels: DataFrame,
+    train: Column,
+    train_docs: int = 2000,
     train_chars: int = 20_000,
-    vocabulary: int = 20_000,
+    vocabulary: int = 40_000,
     rounds: int = 60,
     l2: float = 1e-3,
 ) -> ToxicityModel:
-    """Fit on rows ``doc_id, text, label``.
+    """Fit on ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, label``) for which ``train`` holds.
 
-    Word counts cover all labelled rows.  The field itself is fitted on at most
-    ``train_docs`` of them (half of either label, texts of at most
-    ``train_chars`` characters, by hash order), whose tokens are labelled 1 in
-    toxic documents where the counts single the word out.  Without rows of both
-    labels the model knows nothing and scores low.
+    The classifier is fitted on a sample of at most ``train_docs`` documents of
+    at most ``train_chars`` characters (see ``training_sample``); their tokens
+    are labelled 1 in documents of label 1 where the word, or its first
+    ``PREFIX`` letters, single these out.
+    Without rows of both labels the model knows nothing and scores low.
     """
-    seeds = set(toxic_words(labelled))
-    short = labelled.filter(F.length("text") <= train_chars)
-    parts = [labelled_sample(short.filter(F.col("label") == y), "doc_id", train_docs // 2) for y in (0, 1)]
-    rows = parts[0].unionByName(parts[1]).select("text", "label").collect()
-    labels = np.array([r.label for r in rows], "float64")
-    if len(set(labels.tolist())) < 2:
+    sample, counts = training_sample(docs, labels, train, train_docs, train_chars)
+    rows = sample.collect()
+    y = np.array([r.label for r in rows], "float64")
+    if len(set(y.tolist())) < 2:
         return ToxicityModel()
     texts = [r.text for r in rows]
+    held = [set(TOKENS.findall(text.lower())) - STOPS for text in texts]
+    held = [words | {"^" + w[:PREFIX] for w in words} for words in held]
+    marks = marking_words(held, y)
     df: dict[str, int] = {}
-    for text in texts:
-        for w in set(TOKENS.findall(text.lower())) - STOPS:
+    for words in held:
+        for w in words:
             df[w] = df.get(w, 0) + 1
-    chosen = sorted((w for w in df if df[w] >= 3 or w in seeds), key=lambda w: (w not in seeds, -df[w], w))
+    chosen = sorted((w for w in df if df[w] >= 3), key=lambda w: (w not in marks, -df[w], w))
     words = {w: i + 1 for i, w in enumerate(chosen[:vocabulary])}
     n = len(words) + 1
-    model = ToxicityModel(words, np.zeros(n), np.zeros(n), np.zeros(n))
+    prefix = np.zeros(n, "int64")
+    for w, i in words.items():
+        prefix[i] = i if w[0] == "^" else words.get("^" + w[:PREFIX], 0)
+    model = ToxicityModel(words, prefix, *(np.zeros(n) for _ in range(4)))
     chains = Chains(texts, words)
     if not len(chains.ids):
         return model
-    seed_ids = np.zeros(n, bool)
-    seed_ids[[words[w] for w in seeds if w in words]] = True
-    of_doc = np.repeat(labels, np.diff(np.append(0, chains.doc_ends)))
-    gold = (seed_ids[chains.ids] & (of_doc > 0)).astype("float64")
+    marked = np.zeros(n, bool)
+    marked[[words[w] for w in marks if w in words]] = True
+    marked |= marked[prefix]
+    of_doc = np.repeat(y, np.diff(np.append(0, chains.doc_ends)))
+    gold = (marked[chains.ids] & (of_doc > 0)).astype("float64")
     _fit_field(model, chains, gold, rounds, l2)
-    model.document = _fit_document(_document_features(chains.marginals(model), chains.doc_ends), labels)
+    model.document = _fit_document(_document_features(chains.marginals(model), chains.doc_ends), y)
+    # the sample has as many documents of either label; all labelled ones do not
+    model.document[0] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum()))
     return model
 
 
@@ -187,18 +218,20 @@ def _fit_field(model: ToxicityModel, chains: Chains, gold: np.ndarray, rounds: i
     b, a = np.flatnonzero(chains.has_before), np.flatnonzero(chains.has_after)
     g0, g1 = gold[b - 1].astype(int), gold[b].astype(int)
     gold_pairs = np.bincount(2 * g0 + g1, minlength=4).reshape(2, 2).astype("float64")
-    memory = [np.full_like(x, 1e-6) for x in (model.own, model.before, model.after, model.trans)]
+    parts = (model.own, model.start, model.before, model.after, model.trans)
+    memory = [np.full_like(x, 1e-6) for x in parts]
     model.own[:] = -2.0
     for _ in range(rounds):
         p, pairs = chains.marginals(model, pairs=True)
         d = gold - p
         grads = [
             np.bincount(ids, d, n),
+            np.bincount(model.prefix[ids], d, n),
             np.bincount(ids[b - 1], d[b], n),
             np.bincount(ids[a + 1], d[a], n),
             gold_pairs - pairs,
         ]
-        for x, g, h in zip((model.own, model.before, model.after, model.trans), grads, memory):
+        for x, g, h in zip(parts, grads, memory):
             g = g - l2 * x
             h += g * g
             x += 0.5 * g / np.sqrt(h)
@@ -282,18 +315,3 @@ def score(
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-
-
-def labelled_rows(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic") -> DataFrame:
-    """``doc_id, text, label`` of documents with a label for which ``train`` (on ``doc_id``) holds.
-
-    A document with several labels has the largest; null ids, labels and texts do not train.
-    """
-    known = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), col(label_col).cast("int").alias("label"))
-        .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & train)
-        .groupBy("doc_id")
-        .agg(F.max("label").alias("label"))
-    )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    return rows.join(known, "doc_id")
