@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from veilspan.functions import windows
 from veilspan.functions.arrays import count_le, prefix_max, prefix_sum
 from veilspan.functions.regex import locating_regex
-from veilspan.operators import allowlist, redact, select, softwrap
+from veilspan.operators import allowlist, images, redact, reports, select, softwrap
 from veilspan.plans.guards import guard_for
 from veilspan.sources import redaction_log
 from veilspan.sources.corpus import parse_sections
 from veilspan.sources.fixed_rules import RULES
+from veilspan.sources.ocr import read_ocr_words
 from veilspan.sources.rules import load_catalog, load_custom_patterns, validate_rules
 from veilspan.streaming import reassembly
 
@@ -132,6 +133,78 @@ def test_reassembly_over_small_blocks(spark, monkeypatch):
     assert got == [(f"hello{s}x", False), ("é second", False), (None, True)]
 
 
+def test_no_byte_of_a_chunked_text_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(reassembly, "BLOCK_ROWS", 3)
+    s, e = reassembly.START, reassembly.END
+    rng, chunks, want = random.Random(5), [], {}
+    for session in range(6):
+        parts = [rng.choice(["out", s, e, "é", "ab" * 9, "", s[:3], "x" * 40]) for _ in range(40)]
+        stream, i, seq = "".join(parts) + f"{e}{s}rest" * (session % 2), 0, 0
+        want[session] = stream
+        while i < len(stream):
+            n = rng.choice([0, 1, 1, 2, 5, 30])
+            chunks.append((session, seq, stream[i : i + n]))
+            i, seq = i + n, seq + 1
+    df = spark.createDataFrame(chunks, "session long, seq long, chunk string").repartition(4)
+    for redact in (lambda c: c, F.upper):
+        rows = reassembly.redact_payloads(df, redact, limit=20).orderBy("session", "segment", "seq").collect()
+        got = {k: "".join(r["text"] for r in rows if r["session"] == k) for k in want}
+        assert {k: v.lower() for k, v in got.items()} == want
+    kinds = {r["kind"] for r in rows}
+    assert kinds == {"outside", "payload", "over", "open"}
+    assert all(r["text"] == r["text"].upper() for r in rows if r["kind"] == "payload")
+
+
+def test_stream_session_reads_in_order_and_lets_go():
+    s, e = reassembly.START, reassembly.END
+    whole = f"a{s}one{e}b{s}{'x' * 50}{e}c{s[:4]}{s}open"
+    rng = random.Random(2)
+    for size in (1, 3, 1000):
+        parts = [whole[i : i + size] for i in range(0, len(whole), size)]
+        rows = [(i + 7, p) for i, p in enumerate(parts)]
+        kept, out = None, []
+        half = max(1, len(rows) // 2)
+        for batch in (rows[:1], rows[1:half], rows[half:] if len(rows) > 1 else []):
+            rng.shuffle(batch)  # in any order within a batch
+            session = reassembly._Session(kept, 20, str.upper)
+            session.take(batch)
+            kept = session.kept()
+            out += session.out
+        session = reassembly._Session(kept, 20, str.upper)
+        session.flush()
+        out += session.out
+        assert "".join(t for _, _, t in out) == whole.replace("one", "ONE")
+        assert [t for _, k, t in out if k == "payload"] == ["ONE"]
+    gap = reassembly._Session(None, 20, str.upper)
+    gap.take([(0, f"{s}he"), (2, "lo" + "y" * 30)])  # chunk 1 is lost
+    gap.flush()
+    assert "".join(t for _, _, t in gap.out) == f"{s}helo" + "y" * 30
+
+
+def test_merged_rules_have_their_own_numbers(spark):
+    one = load_catalog(spark).limit(1)
+    user = spark.createDataFrame([("A", "c", "High", "a1"), ("B", "c", "High", "b1")], "name string, category string, severity string, regex string")
+    assert [r["ord"] for r in select.merge_rules(one, user).orderBy("ord").collect()] == [0, 1, 2]
+    assert [r["ord"] for r in select.merge_rules(one.limit(0), user).orderBy("ord").collect()] == [0, 1]
+
+
+def test_profile_keeps_groups_without_a_name(spark):
+    docs = spark.createDataFrame([(1, None), (2, None), (3, "en")], "doc_id long, lang string")
+    findings = spark.createDataFrame([(1, "PII"), (1, "PII"), (3, "PII")], "doc_id long, category string")
+    got = {(r["lang"], r["findings"], r["leaky_docs"], r["docs"]) for r in reports.leak_profile(findings, docs, "lang").collect()}
+    assert got == {(None, 2, 1, 2), ("en", 1, 1, 1)}
+
+
+def test_ocr_file_to_boxes(spark, tmp_path):
+    head = "level\tpage\tblock\tpar\tline\tword\tleft\ttop\twidth\theight\tconf\ttext\n"
+    rows = [f"5\t1\t1\t1\t1\t{i}\t{10 * i}\t5\t8\t6\t90\t{w}\n" for i, w in enumerate(["mail", "a@b.co", "now"])]
+    (tmp_path / "scan.tsv").write_text(head + "".join(rows))
+    words = read_ocr_words(spark, str(tmp_path))
+    assert [r["word_ix"] for r in words.orderBy("word_ix").collect()] == [0, 1, 2]
+    text = images.assemble(images.word_ranges(words)).first()["text"]
+    assert text == "mail a@b.co now"
+
+
 def test_running_sum_crosses_blocks(spark):
     df = spark.range(0, 50).withColumn("k", F.col("id") % 2)
     out = windows.running_sum(df, ["k"], F.floor(F.col("id") / 7), [F.col("id")], F.col("id"), "s")

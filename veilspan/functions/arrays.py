@@ -76,9 +76,3 @@ def count_lt(sorted_values: Column, x: Column) -> Column:
 def empty_array(ddl: str) -> Column:
     """A typed empty array, e.g. ``empty_array('struct<start:int,end:int>')``."""
     return F.expr(f"cast(array() as array<{ddl}>)")
-
-
-def concat_arrays(parts: list[Column], ddl: str) -> Column:
-    if not parts:
-        return empty_array(ddl)
-    return parts[0] if len(parts) == 1 else F.concat(*parts)

@@ -9,7 +9,7 @@ row.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -49,8 +49,9 @@ def compile_rule(ord_: int, pattern: str, validator: str | None = None) -> Compi
     return CompiledRule(ord_, java, replacement, guard_for(pattern), validator)
 
 
-def compile_rules(rows: Iterable[Row]) -> list[CompiledRule]:
-    return [compile_rule(r["ord"], r["regex"], r["validator"]) for r in rows]
+def compile_rules(rows: Iterable[Row], guarded: bool = True) -> list[CompiledRule]:
+    rules = [compile_rule(r["ord"], r["regex"], r["validator"]) for r in rows]
+    return rules if guarded else [replace(r, guard=Guard()) for r in rules]
 
 
 # ---- prefilter -----------------------------------------------------------
@@ -251,11 +252,16 @@ def candidates(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     return cand.select("doc_id", F.explode_outer("_cand").alias("ord")).filter("ord is not null")
 
 
-def match_patterns(docs: DataFrame, catalog: DataFrame, gate: bool = False) -> DataFrame:
-    """One row per match of each rule (DET2, DET3; with ``gate`` also DET4)."""
+def match_patterns(
+    docs: DataFrame, catalog: DataFrame, gate: bool = False, guarded: bool = True
+) -> DataFrame:
+    """One row per match of each rule (DET2, DET3; with ``gate`` also DET4).
+
+    Without ``guarded`` every rule runs on every text: the same rows, slower.
+    """
     rows = collect_rules(catalog)
     spans = add_pattern_spans(
-        docs.select("doc_id", "text"), "text", compile_rules(rows), "_spans", gate
+        docs.select("doc_id", "text"), "text", compile_rules(rows, guarded), "_spans", gate
     )
     found = unnest(spans.select("doc_id", "_spans"), "_spans", "ord")
     labels = [lookup(rows, f, F.col("ord")).alias(f) for f in ("name", "category", "severity")]

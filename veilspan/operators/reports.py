@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +58,13 @@ def leak_profile(findings: DataFrame, docs: DataFrame, *by: str) -> DataFrame:
         .groupBy(*by, "category")
         .agg(F.sum("_n").alias("findings"), F.count("*").alias("leaky_docs"))
     )
-    return found.join(totals, list(by)).withColumn("share", F.col("leaky_docs") / F.col("docs"))
+    groups = totals.select(*[F.col(c).alias(f"_{c}") for c in by], "docs")
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.lit(True))
+    return (
+        found.join(groups, same)
+        .select(*by, "category", "findings", "leaky_docs", "docs")
+        .withColumn("share", F.col("leaky_docs") / F.col("docs"))
+    )
 
 
 def top_documents(findings: DataFrame, k: int) -> DataFrame:

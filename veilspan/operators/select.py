@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from veilspan.functions.build import lit, literals
 from veilspan.config import ScanConfig
 from veilspan.sources import fixed_values
-from veilspan.sources.rules import CUSTOM_BUCKET, load_catalog, with_flags
+from veilspan.sources.rules import CUSTOM_BUCKET, MAX_RULES, bucket_table, load_catalog, with_flags
 
 PRESETS = ("minimal", "balanced", "full")
 
@@ -34,8 +35,11 @@ def filter_custom(custom: DataFrame, disabled: Iterable[str]) -> DataFrame:
 def merge_rules(builtin: DataFrame, custom: DataFrame) -> DataFrame:
     """Built-in rules first, then user rules, renumbered in that order (SEL3)."""
     spark = builtin.sparkSession
-    rows = custom.select("name", "category", "severity", "regex").collect()
-    base = (builtin.agg(F.max("ord")).first()[0] or -1) + 1
+    rows = custom.select("name", "category", "severity", "regex").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    last = builtin.agg(F.max("ord")).first()[0]
+    base = 0 if last is None else last + 1
     extra = spark.createDataFrame(
         [(base + i, CUSTOM_BUCKET, *r, None) for i, r in enumerate(rows)],
         "ord int, bucket string, name string, category string, severity string, "
@@ -49,7 +53,7 @@ def preset_buckets(spark: SparkSession, name: str) -> DataFrame:
     stems = {
         "minimal": fixed_values.MINIMAL,
         "balanced": fixed_values.BALANCED,
-        "full": [b for b, _ in fixed_values.BUCKETS],
+        "full": list(fixed_values.BUCKETS),
     }[name]
     return _names(spark, stems, "bucket")
 
@@ -57,7 +61,7 @@ def preset_buckets(spark: SparkSession, name: str) -> DataFrame:
 def disabled_for(name: str) -> tuple[str, ...]:
     """The complement a preset stores, in bucket order."""
     on = {"minimal": fixed_values.MINIMAL, "balanced": fixed_values.BALANCED}.get(name)
-    return tuple(b for b, _ in fixed_values.BUCKETS if on is not None and b not in on)
+    return tuple(b for b in fixed_values.BUCKETS if on is not None and b not in on)
 
 
 def apply_preset(catalog: DataFrame, name: str) -> DataFrame:
@@ -101,8 +105,15 @@ def active_rules(
     catalog: DataFrame | None = None,
     custom: DataFrame | None = None,
 ) -> DataFrame:
-    """The rule table a scan runs: SEL1 on built-ins, SEL2 on user rules, SEL3."""
+    """The rule table a scan runs: SEL1 on built-ins, SEL2 on user rules, SEL3.
+
+    Warns of enabled buckets for which the catalog has no rule.
+    """
     rules = load_catalog(spark) if catalog is None else catalog
+    empty = bucket_table(rules).filter("rules = 0").orderBy("bucket_ord").collect()
+    silent = [r["bucket"] for r in empty if r["bucket"] not in cfg.disabled_categories]
+    if silent:
+        warnings.warn(f"no rules are loaded for {len(silent)} enabled buckets: {', '.join(silent)}", stacklevel=2)
     if cfg.disabled_categories:
         rules = filter_buckets(rules, cfg.disabled_categories)
     if custom is not None:

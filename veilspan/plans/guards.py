@@ -12,6 +12,7 @@ A guard never changes results: it is a condition every match must meet.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import product
@@ -23,10 +24,11 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.build import lit
 from veilspan.functions.arrays import let
+from veilspan.functions.regex import UnsupportedPattern, to_java, walk
 
 MAX_ALTERNATIVES = 12
 MIN_LITERAL = 3
-WIDE = "\\x{660}-\\x{10FFFF}"  # holds every digit outside ASCII; may over-count
+WIDE = "\\x{130}\\x{131}\\x{17F}\\x{660}-\\x{10FFFF}"  # every digit and case partner outside ASCII; may over-count
 _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPACE = " \t\n\r\f\v"
@@ -61,8 +63,11 @@ class Guard:
     runs: dict[str, int] = field(default_factory=dict, hash=False)
 
 
-def _chars(op, arg) -> frozenset[str] | None:
-    """The characters of a one-character element, or None if not enumerable."""
+def _chars(op, arg, digits: bool = True) -> frozenset[str] | None:
+    """The characters of a one-character element, or None if not enumerable.
+
+    ``digits``: a digit class counts as its ASCII members, where others are measured along.
+    """
     if op is C.LITERAL:
         return frozenset(chr(arg))
     if op is not C.IN:
@@ -73,7 +78,7 @@ def _chars(op, arg) -> frozenset[str] | None:
             out.add(chr(value))
         elif kind is C.RANGE and value[1] - value[0] <= 64:
             out.update(chr(x) for x in range(value[0], value[1] + 1))
-        elif kind is C.CATEGORY and value is C.CATEGORY_DIGIT:
+        elif kind is C.CATEGORY and value is C.CATEGORY_DIGIT and digits:
             out.update(_DIGITS)
         elif kind is C.CATEGORY and value is C.CATEGORY_SPACE:
             out.update(_SPACE)
@@ -96,7 +101,7 @@ def _literals(seq) -> list[tuple[str, ...]]:
     for op, arg in seq:
         if op is C.AT:
             continue
-        chars = _chars(op, arg)
+        chars = _chars(op, arg, digits=False)
         if chars and all(32 < ord(c) < 127 for c in chars):
             options = sorted({c.lower() for c in chars})
             if len(options) * len(run) <= MAX_ALTERNATIVES:
@@ -165,20 +170,44 @@ def _run(seq, cls: RunClass, fold: bool) -> tuple[bool, int, int]:
     return inside, current, max(best, current)
 
 
+def _as_python(pattern: str) -> str | None:
+    """The translated pattern as this parser reads it, or None where the two dialects may part."""
+    try:
+        java = to_java(pattern)
+    except UnsupportedPattern:
+        return None
+    open_set, last = False, ""
+    for _, token, _, in_class in walk(java):
+        if in_class and not open_set:
+            open_set = True
+        elif open_set:
+            if token == "[" or token == last == "&":
+                return None  # nested sets and set operations
+            open_set = token != "]"
+        last = token
+    if re.search(r"\\[vhHVRXGNkQEec0-9]|\\x\{|\(\?[a-zA-Z]*x|\(\?\(", java):
+        return None
+    java = java.replace("(?<secret>", "(?P<secret>").replace("\\z", "\\Z")
+    return re.sub(r"\\[pP](?:\{\w+\}|\w)", r"\\w", java)
+
+
 def guard_for(pattern: str) -> Guard:
     """Derive the guard of a rule pattern; an empty guard lets every text in."""
-    plain = re.sub(r"\(\?P?<(\w+)>", r"(?P<\1>", pattern)
-    plain = re.sub(r"\\[pP](?:\{\w+\}|\w)", r"\\w", plain)
+    plain = _as_python(pattern)
     try:
-        tree = _parser.parse(plain)
-    except (re.error, OverflowError, RecursionError):
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            tree = _parser.parse(plain) if plain is not None else None
+    except (re.error, Warning, OverflowError, RecursionError):
+        tree = None
+    if tree is None:
         return Guard()
     literal = _best(_literals(tree))
     if literal and min(map(len, literal)) < MIN_LITERAL and not (
         len(literal) == 1 and not literal[0].isalnum()
     ):
         literal = ()
-    fold = bool(tree.state.flags & re.IGNORECASE) or "(?i" in plain
+    fold = bool(tree.state.flags & re.IGNORECASE or re.search(r"\(\?[a-zA-Z]*i", plain))
     runs = {name: _run(tree, cls, fold)[2] for name, cls in RUN_CLASSES.items()}
     runs = {k: n for k, n in runs.items() if n >= RUN_CLASSES[k].minimum}
     if literal or runs.get("digit", 0) >= 8:
@@ -193,7 +222,8 @@ def is_rare(guard: Guard) -> bool:
 
 def lowered(text: Column) -> Column:
     """Lower case under which a case-insensitive ASCII literal must occur."""
-    return F.replace(F.lower(text), lit("ſ"), lit("s"))
+    low = F.lower(F.replace(text, lit("İ"), lit("i")))
+    return F.replace(F.replace(low, lit("ſ"), lit("s")), lit("ı"), lit("i"))
 
 
 def longest_run(text: Column, name: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.functions.windows import BLOCK_ROWS, running_sum
+
 
 def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
     """Words of every file under ``path``, numbered in file order."""
@@ -18,7 +20,7 @@ def read_ocr_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_ocr_lines(lines: DataFrame) -> DataFrame:
-    """Words from lines (image_id, block_start, line_no, line).
+    """Words from lines (image_id, block_start, line_no, line), with their number in reading order.
 
     The header row has no numeric level, so it drops out with other rows.
     Only level-5 rows with a confidence, a box and some text are words; the
@@ -46,4 +48,8 @@ def parse_ocr_lines(lines: DataFrame) -> DataFrame:
         "level = '5' and conf >= 0 and text <> '' and x is not null and y is not null "
         "and w is not null and h is not null"
     )
-    return words.drop("level")
+    block = F.floor(F.col("line_no") / BLOCK_ROWS)
+    numbered = running_sum(
+        words.drop("level"), ["image_id"], block, [F.col("line_no")], F.lit(1), "word_ix"
+    )
+    return numbered.withColumn("word_ix", (F.col("word_ix") - 1).cast("int"))

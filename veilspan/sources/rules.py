@@ -34,10 +34,14 @@ def load_catalog(spark: SparkSession, path: str | None = None, fmt: str = "json"
     return with_flags(spark.createDataFrame(rows, schemas.CATALOG))
 
 
-def bucket_table(spark: SparkSession) -> DataFrame:
-    """Bucket dimension in precedence order."""
-    rows = [(i, stem, text) for i, (stem, text) in enumerate(fixed_values.BUCKETS)]
-    return spark.createDataFrame(rows, "bucket_ord int, bucket string, description string")
+def bucket_table(catalog: DataFrame) -> DataFrame:
+    """Buckets in precedence order with how many rules ``catalog`` has for each; 0 means that nothing is looked for."""
+    rows = [(i, stem) for i, stem in enumerate(fixed_values.BUCKETS)]
+    buckets = catalog.sparkSession.createDataFrame(rows, "bucket_ord int, bucket string")
+    counts = catalog.groupBy("bucket").agg(F.count("*").alias("rules"))
+    return buckets.join(counts, "bucket", "left").select(
+        "bucket_ord", "bucket", F.coalesce("rules", lit(0)).cast("bigint").alias("rules")
+    )
 
 
 def is_single_line(regex: Column) -> Column:
@@ -84,10 +88,10 @@ def _compile_error(spark: SparkSession, pattern: str) -> str | None:
             F.regexp_replace(lit(""), lit(java), lit(replacement)).alias("r"),
         )
         if probe.first()["empty_hits"]:
-            return "regex matches the empty string"
+            return "pattern matches the empty string"
     except Exception as e:  # the engine's own message, first line only
         lines = [x.strip() for x in str(e).splitlines() if x.strip()]
-        return lines[0] if lines else "invalid regex"
+        return lines[0] if lines else "pattern does not compile"
     return None
 
 
@@ -106,11 +110,13 @@ def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
         if r["name"] is None or r["category"] is None or r["severity"] is None or pattern is None:
             reason = "missing field"
         elif pattern == "":
-            reason = "regex is empty"
+            reason = "pattern is empty"
         elif len(pattern.encode()) > MAX_REGEX_BYTES:
-            reason = f"regex too long (max {MAX_REGEX_BYTES} chars)"
+            reason = f"pattern has over {MAX_REGEX_BYTES} bytes"
         elif any(int(n) > MAX_REPEAT for n in rx.re.findall(r"\{(\d+)", pattern)):
             reason = "repetition count too large"
+        elif rx.nests_repeats(pattern):
+            reason = "a repeated group repeats again over the same characters: its time has no bound"
         else:
             reason = _compile_error(spark, pattern)
         checked.append((*r, reason))
@@ -121,7 +127,7 @@ def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejected = table.filter("reason is not null").select(
         "name",
         F.concat(
-            lit('skipped custom pattern "'), F.col("name"), lit('": invalid regex: '), "reason"
+            lit("rule left out, "), F.coalesce("name", lit("no name")), lit(": "), "reason"
         ).alias("error"),
     )
     return good.withColumn("severity", parse_severity(F.col("severity"))), rejected

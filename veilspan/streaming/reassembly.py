@@ -1,12 +1,14 @@
 """Payloads between a start and an end marker, delivered in chunks (STR2, STR3).
 
-Text outside the markers passes through; a payload above the limit is not
-assembled: it passes through as it is and is flagged.
+Every byte goes on: text outside the markers, the markers, and payloads that
+are open or above the limit pass through as they are; the other payloads go
+through a redactor first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from veilspan.functions.spans import locate
-from veilspan.functions.windows import BLOCK_ROWS, running_sum
+from veilspan.functions.windows import BLOCK_ROWS, running_max, running_sum
 
 # The markers and the largest payload in bytes.
 START, END = "\x1b[200~", "\x1b[201~"
@@ -109,50 +111,101 @@ def payload_ranges(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(placed: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(session, segment, seq, piece): each chunk cut where payloads begin and end.
+
+    Segment 0 is the text before the first payload; payload n is segment
+    2n - 1 and the text after it, from its end marker on, is segment 2n.
+    Chunks and cuts are laid along the bytes of the session, so that a running
+    count tells each cut its chunk and each chunk its segment; chunks and
+    payloads are never paired.
+    """
+    cuts = ranges.select("session", F.explode(F.array("start", "end")).alias("at")).filter("at is not null")
+    along = placed.select(
+        "session", F.col("_from").alias("at"), F.col("seq"), F.lit(1).alias("_chunk")
+    ).unionByName(
+        cuts.withColumns({"seq": F.lit(None).cast("bigint"), "_chunk": F.lit(0)})
+    )
+    block = F.floor(F.col("at") / (BLOCK_ROWS * 100))
+    # a cut goes before the chunk that begins with it; empty chunks share their place
+    order = [F.col("at"), F.col("_chunk"), F.col("seq")]
+    cut_no = running_sum(along, ["session"], block, order, 1 - F.col("_chunk"), "_cut_no")
+    counted = running_max(cut_no, ["session"], block, order, F.col("seq"), "_in_chunk")
+    inside = (
+        counted.filter("_chunk = 0")
+        .groupBy("session", F.col("_in_chunk").alias("seq"))
+        .agg(F.array_sort(F.collect_list("at")).alias("_cuts"))
+    )
+    begins = counted.filter("_chunk = 1").select("session", "seq", F.col("_cut_no").alias("_segment"))
+    cut = placed.join(begins, ["session", "seq"]).join(inside, ["session", "seq"], "left")
+    bounds = F.concat(F.array("_from"), F.coalesce("_cuts", F.expr("cast(array() as array<bigint>)")), F.array("_stop"))
+    each = cut.withColumn("_b", bounds).select(
+        "session", "seq", "chunk", "_from", "_segment", "_b", F.posexplode(F.slice("_b", 1, F.size("_b") - 1)).alias("_i", "_a")
+    )
+    size = (F.element_at("_b", F.col("_i") + 2) - F.col("_a")).cast("int")
+    piece = F.substring(F.col("chunk").cast("binary"), (F.col("_a") - F.col("_from")).cast("int") + 1, size)
+    return each.filter(size > 0).select(
+        "session", (F.col("_segment") + F.col("_i")).alias("segment"), "seq", piece.cast("string").alias("piece")
+    )
+
+
+def redact_payloads(
+    chunks: DataFrame, redact: Callable[[Column], Column], limit: int = LIMIT
+) -> DataFrame:
+    """(session, segment, seq, kind, text): the whole stream again, its payloads redacted (STR2, STR3, UDF5).
+
+    ``redact`` maps the column of payload texts, and may be any redaction.
+    ``kind`` is ``payload`` for a redacted one, one row each; ``outside`` for
+    text between payloads with the markers; ``over`` for a payload above
+    ``limit`` bytes and ``open`` for one without an end, both as they came, one
+    row a chunk.  The texts of a session by (segment, seq) are its bytes, but
+    for what ``redact`` changed; nothing is held back or cut.
+    """
+    placed = _bounds(chunks)
+    ranges = payload_ranges(placed)
+    size = F.col("end") - F.col("start")
+    kinds = ranges.select(
+        "session",
+        (2 * F.col("payload_no") - 1).alias("segment"),
+        F.when(size <= limit, "payload").when(size > limit, "over").otherwise("open").alias("kind"),
+    )
+    pieces = _pieces(placed, ranges).join(kinds, ["session", "segment"], "left")
+    whole = (
+        pieces.filter("kind = 'payload'")
+        .groupBy("session", "segment")
+        .agg(F.min("seq").alias("seq"), F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("p"))
+        .withColumn("text", F.array_join(F.transform("p", lambda r: r["piece"]), ""))
+        .select("session", "segment", "seq", F.lit("payload").alias("kind"), redact(F.col("text")).alias("text"))
+    )
+    rest = pieces.filter("kind is null or kind <> 'payload'").select(
+        "session", "segment", "seq", F.coalesce("kind", F.lit("outside")).alias("kind"), F.col("piece").alias("text")
+    )
+    return whole.unionByName(rest)
+
+
 def reassemble(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(session, payload_no, n_bytes, overflowed, payload) of finished payloads.
 
-    Only payloads within the limit are put together; of a larger one only the
-    size is known and its payload is NULL.
+    Only payloads within the limit are put together in one value; the text of a
+    larger one is in ``redact_payloads``, chunk by chunk, and NULL here.
     """
     placed = _bounds(chunks)
-    ranges = payload_ranges(placed).filter("end is not null").withColumn(
-        "n_bytes", F.col("end") - F.col("start")
-    )
-    small = ranges.filter(F.col("n_bytes") <= limit)
-    # each range names the fixed-size cells of the session it touches, so the
-    # join is on (session, cell) and never forms all pairs of a session
-    cell = limit
-    range_cells = small.withColumn(
-        "_cell",
-        F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("end") / cell))),
-    )
-    chunk_cells = placed.withColumn(
-        "_cell",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("_from") / cell),
-                F.floor(F.greatest(F.col("_stop") - 1, F.col("_from")) / cell),
-            )
-        ),
-    )
-    pieces = (
-        range_cells.join(chunk_cells, ["session", "_cell"])
-        .filter((F.col("_from") < F.col("end")) & (F.col("start") < F.col("_stop")))
-        .dropDuplicates(["session", "payload_no", "seq"])
-        .withColumn("_a", F.greatest(F.col("start") - F.col("_from"), F.lit(0)).cast("int"))
-        .withColumn("_z", F.least(F.col("end"), F.col("_stop")) - F.col("_from"))
-        .withColumn(
-            "_piece",
-            F.substring(F.col("chunk").cast("binary"), F.col("_a") + 1, (F.col("_z") - F.col("_a")).cast("int")).cast("string"),
-        )
+    ranges = payload_ranges(placed)
+    found = ranges.filter("end is not null").select(
+        "session",
+        "payload_no",
+        (2 * F.col("payload_no") - 1).alias("segment"),
+        (F.col("end") - F.col("start")).alias("n_bytes"),
     )
-    joined = pieces.groupBy("session", "payload_no").agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("seq", "_piece"))), lambda r: r["_piece"]), ""
-        ).alias("payload")
+    small = found.filter(F.col("n_bytes") <= limit).select("session", "segment")
+    joined = (
+        _pieces(placed, ranges)
+        .join(small, ["session", "segment"], "left_semi")
+        .groupBy("session", "segment")
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("p"))
+        .select("session", "segment", F.array_join(F.transform("p", lambda r: r["piece"]), "").alias("payload"))
     )
-    return ranges.join(joined, ["session", "payload_no"], "left").select(
+    return found.join(joined, ["session", "segment"], "left").select(
         "session",
         "payload_no",
         "n_bytes",
@@ -161,52 +214,135 @@ def reassemble(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
-def reassemble_stream(stream: DataFrame, limit: int = LIMIT, idle: str = "10 minutes") -> DataFrame:
-    """The same on a stream of keyed chunks, with at most one payload of state per session.
+class _Session:
+    """What a session holds between micro-batches: an unfinished payload or part of a marker, and chunks come early."""
+
+    def __init__(self, kept: tuple | None, limit: int, redact: Callable[[str], str]):
+        self.inside, self.number, self.over, self.held, self.next_seq, waiting = kept or (
+            False, 0, False, "", -1, "[]"
+        )
+        self.waiting: dict[int, str] = {int(k): v for k, v in json.loads(waiting)}
+        self.limit, self.redact = limit, redact
+        self.out: list[tuple[int, str, str]] = []
+
+    def kept(self) -> tuple:
+        waiting = json.dumps(sorted(self.waiting.items()))
+        return self.inside, self.number, self.over, self.held, self.next_seq, waiting
+
+    def _send(self, kind: str, text: str) -> None:
+        if text:
+            self.out.append((self.number, kind, text))
+
+    def take(self, rows: list[tuple[int, str]]) -> None:
+        """Read chunks in the order of ``seq``; those after a gap wait for it, or until they exceed the limit."""
+        late = ""
+        for seq, chunk in sorted(rows):
+            if 0 <= seq < self.next_seq:
+                late += chunk  # its place has passed: it goes on by itself
+            else:
+                self.waiting[seq] = self.waiting.get(seq, "") + chunk
+        self._send("late", late)
+        if self.next_seq < 0 and self.waiting:
+            self.next_seq = min(self.waiting)
+        ready = []
+        while self.next_seq in self.waiting:
+            ready.append(self.waiting.pop(self.next_seq))
+            self.next_seq += 1
+        if sum(map(len, self.waiting.values())) > self.limit:
+            ready += self._skip_gaps()
+        self._read("".join(ready))
+
+    def _skip_gaps(self) -> list[str]:
+        rest = [chunk for _, chunk in sorted(self.waiting.items())]
+        if rest:
+            self.next_seq = max(self.waiting) + 1
+            self.waiting = {}
+        return rest
+
+    def _read(self, new: str) -> None:
+        text, at = self.held + new, 0
+        while True:
+            mark = END if self.inside else START
+            found = text.find(mark, at)
+            if found < 0:
+                break
+            body = text[at:found]
+            if not self.inside:
+                self._send("outside", body + START)
+                self.number += 1
+            else:
+                if self.over or len(body.encode()) > self.limit:
+                    self._send("over", body)
+                else:
+                    self._send("payload", self.redact(body))
+                self._send("outside", END)
+            self.inside, self.over, at = not self.inside, False, found + len(mark)
+        rest = text[at:]
+        if self.inside and not self.over and len(rest.encode()) > self.limit + _KEEP:
+            self.over = True
+        if self.inside and not self.over:
+            self.held = rest
+            return
+        # what could be the beginning of a marker waits for its end
+        mark = END if self.inside else START
+        keep = max((n for n in range(1, len(mark)) if rest.endswith(mark[:n])), default=0)
+        cut = len(rest) - keep
+        self._send("over" if self.inside else "outside", rest[:cut])
+        self.held = rest[cut:]
+
+    def flush(self) -> None:
+        """Nothing more is coming: everything held goes on as it is."""
+        self._read("".join(self._skip_gaps()))
+        self._send("open" if self.inside else "outside", self.held)
+        self.held = ""
+
 
-    Output rows are (session, payload_no, overflowed, payload); an idle
-    session is dropped after the watermark passes.
+def redact_payload_stream(
+    stream: DataFrame,
+    redact: Callable[[str], str],
+    limit: int = LIMIT,
+    idle: str = "10 minutes",
+) -> DataFrame:
+    """``redact_payloads`` on a stream of ``session, seq, ts, chunk``: (session, payload_no, piece_no, kind, text).
+
+    Chunks are read in the order of ``seq`` from the first one seen; a session
+    keeps one payload within ``limit`` and the chunks after a gap.  A session
+    idle for ``idle`` of event time sends on all that it holds, as do chunks
+    whose gap is not filled before they exceed the limit; a chunk that comes
+    after its place has passed goes on as ``late``.  ``redact`` maps one text.
     """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        session = _Session(state.get if state.exists else None, limit, redact)
         if state.hasTimedOut:
+            session.flush()
             state.remove()
-            return
-        inside, number, over, held = state.get if state.exists else (False, 0, False, "")
-        rows, last = [], None
-        data = pd.concat(list(batches)).sort_values("seq")
-        for chunk, ts in zip(data["chunk"], data["ts"]):
-            held += chunk
-            last = ts if last is None or ts > last else last
-            while True:
-                at = held.find(END if inside else START)
-                if at < 0:
-                    break
-                body, held = held[:at], held[at + len(START) :]
-                if inside:
-                    big = over or len(body.encode()) > limit
-                    rows.append((key[0], number, big, None if big else body))
-                else:
-                    number += 1
-                inside, over = not inside, False
-            if not inside:
-                held = held[-_KEEP:]
-            elif over or len(held.encode()) > limit + _KEEP:
-                over, held = True, held[-_KEEP:]
-        state.update((inside, number, over, held))
-        if last is not None:
-            floor = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), floor) + 600_000)
-        yield pd.DataFrame(rows, columns=["session", "payload_no", "overflowed", "payload"])
+        else:
+            data = pd.concat(list(batches))
+            session.take([(int(q), c) for q, c in zip(data["seq"], data["chunk"]) if c])
+            state.update(session.kept())
+            last = int(data["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        rows = [(key[0], n, i, kind, text) for i, (n, kind, text) in enumerate(session.out)]
+        yield pd.DataFrame(rows, columns=["session", "payload_no", "piece_no", "kind", "text"])
 
     return (
         stream.withWatermark("ts", idle)
         .groupBy("session")
         .applyInPandasWithState(
             update,
-            "session bigint, payload_no bigint, overflowed boolean, payload string",
-            "inside boolean, number bigint, over boolean, held string",
+            "session bigint, payload_no bigint, piece_no bigint, kind string, text string",
+            "inside boolean, number bigint, over boolean, held string, next_seq bigint, waiting string",
             "append",
             GroupStateTimeout.EventTimeTimeout,
         )
     )
+
+
+def reassemble_stream(stream: DataFrame, limit: int = LIMIT, idle: str = "10 minutes") -> DataFrame:
+    """(session, payload_no, overflowed, payload) of finished payloads on a stream, and pieces of those above the limit."""
+    out = redact_payload_stream(stream, lambda text: text, limit, idle)
+    return out.filter("kind in ('payload', 'over')").select(
+        "session", "payload_no", (F.col("kind") == "over").alias("overflowed"), F.col("text").alias("payload")
+    )

@@ -62,7 +62,7 @@ _OCR_LINE = (
 
 @register(
     "src5_ocr_words",
-    "SELECT o_orderkey AS line_no, 'w' || o_orderkey || chr(9) || 'tail' AS text, cast(o_orderkey % 100 AS INT) AS x, "
+    "SELECT o_orderkey AS line_no, cast(row_number() OVER (ORDER BY o_orderkey) - 1 AS INT) AS word_ix, 'w' || o_orderkey || chr(9) || 'tail' AS text, cast(o_orderkey % 100 AS INT) AS x, "
     "cast(o_orderkey % 50 - 5 AS FLOAT) AS conf, cast(o_orderkey % 3 AS INT) AS block, cast(o_orderkey % 5 AS INT) AS line "
     "FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 11 <> 0 AND o_orderkey % 50 >= 5",
 )
@@ -74,7 +74,7 @@ def src5(spark, sf):
         F.col("o_orderkey").alias("line_no"),
         line.alias("line"),
     )
-    return ocr.parse_ocr_lines(rows).select("line_no", "text", "x", "conf", "block", "line")
+    return ocr.parse_ocr_lines(rows).select("line_no", "word_ix", "text", "x", "conf", "block", "line")
 
 
 _CORPUS_LINE = (
@@ -737,3 +737,61 @@ def scl13(spark, sf):
 
 
 __all__ = ["locate"]
+
+
+# ---- the prefilter against rules that could trip it ----------------------
+
+# (rule, the same for DuckDB, a tail that holds a match), by doc_id
+_TRICKY = [
+    ("key[[:digit:]]{4}", "key[0-9]{4}", "key1234"),
+    ("v[0-9&&[^4]]7zz", "v[0-35-9]7zz", "v57zz"),
+    ("(?i)zq[a-z]{20}", "(?i)zq[a-z]{20}", "ZQabcdefghi\u017fklmnopqrst"),
+    ("ab\\d-x", "ab\\p{Nd}-x", "ab\u0664-x"),
+    ("(?i)secretkey=\\w+", "(?i)secretkey=[\\pL\\pN_]+", "\u017fecretKey=q1"),
+    ("(?i)milk[0-9]{3}", "(?i)milk[0-9]{3}", "MIL\u212a123"),
+    ("id:\\s?\\d{9}", "id:[ \\t]?\\p{Nd}{9}", "id: \u0661\u0662\u0663456789"),
+    ("[[:upper:]]{3}_[0-9]{6}", "[A-Z]{3}_[0-9]{6}", "ABC_123456"),
+    ("(?:foo|bar)baz(?:-[0-9a-f]{8})+", "(?:foo|bar)baz(?:-[0-9a-f]{8})+", "barbaz-0123abcd-89abcdef"),
+    ("x{2,}y?z", "x{2,}y?z", "xxxz"),
+    ("tok[^a-z]{5}", "tok[^a-z]{5}", "tok\u00c912_4"),
+    ("\\p{Lu}{2}-(?<secret>[0-9]{5})", "\\p{Lu}{2}-[0-9]{5}", "\u00c9A-12345"),
+    ("q(?:\\.[a-z]{2,3}){2}", "q(?:\\.[a-z]{2,3}){2}", "q.ab.cde"),
+    ("(?i)stra\u00dfe [0-9]+", "(?i)stra\u00dfe [0-9]+", "STRA\u00dfE 12"),
+    ("a[b-d]{0,3}e#[0-9]{2}", "a[b-d]{0,3}e#[0-9]{2}", "abde#42"),
+    ("no_such_literal_here", "no_such_literal_here", "no_such_literal"),
+    ("(?i)kelvin_[a-z]{4}", "(?i)kelvin_[a-z]{4}", "\u212aelvin_abcd"),
+    ("=[A-Za-z0-9+/]{24}=", "=[A-Za-z0-9+/]{24}=", "=QUJDREVGR0hJSktMTU5PUFFS="),
+    ("\\bpw:\\S{6}", "pw:[^\\s]{6}", "pw:h\u00fcnter"),
+    ("n\\d{4}(?=!)", "n\\p{Nd}{4}!", "n12\u06634!"),
+]
+
+
+def _tricky_tail(doc_id: str) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{tail}'" for i, (_, _, tail) in enumerate(_TRICKY))
+    return f"concat(text, ' ', CASE {doc_id} % {len(_TRICKY)} {arms} END, ' ')"
+
+
+_TRICKY_SQL = "WITH t AS (SELECT doc_id, " + _tricky_tail("doc_id") + " AS text FROM documents) " + " UNION ALL ".join(
+    f"SELECT {i} AS ord, doc_id FROM t WHERE regexp_matches(text, '{sql}')" for i, (_, sql, _) in enumerate(_TRICKY)
+)
+
+
+def _tricky(spark, sf, guarded: bool):
+    rules = spark.createDataFrame(
+        [(i, "custom", f"tricky {i}", "Test", "High", rule, None) for i, (rule, _, _) in enumerate(_TRICKY)],
+        "ord int, bucket string, name string, category string, severity string, regex string, validator string",
+    )
+    docs = table(spark, sf, "documents").select("doc_id", F.expr(_tricky_tail("doc_id")).alias("text"))
+    return patterns.match_patterns(docs, rules, guarded=guarded).select("ord", "doc_id").distinct()
+
+
+@register("det1_tricky_rules", _TRICKY_SQL)
+def det1_tricky(spark, sf):
+    """Rules whose syntax or case partners could trip the prefilter, with it."""
+    return _tricky(spark, sf, True)
+
+
+@register("det1_tricky_rules_unguarded", _TRICKY_SQL)
+def det1_tricky_unguarded(spark, sf):
+    """The same without it."""
+    return _tricky(spark, sf, False)

@@ -288,7 +288,7 @@ def img2s(spark, sf):
     return images.redaction_boxes(_words(spark, sf), ScanConfig(disabled_categories=_NO_CONTACT))[0]
 
 
-_NO_CONTACT = tuple(b for b, _ in fixed_values.BUCKETS if b != "pii_contact")
+_NO_CONTACT = tuple(b for b in fixed_values.BUCKETS if b != "pii_contact")
 
 
 @register(
@@ -334,6 +334,44 @@ def str2(spark, sf):
     return reassembly.reassemble(chunks, limit=300)
 
 
+@register(
+    "str3_pass_through",
+    f"SELECT conv_id AS session, md5(string_agg({_CHUNK.replace('{esc}', 'chr(27)')}, '' ORDER BY turn)) AS bytes, "
+    f"cast(sum(strlen({_CHUNK.replace('{esc}', 'chr(27)')})) AS BIGINT) AS n_bytes FROM conversations GROUP BY 1",
+)
+def str3(spark, sf):
+    """Nothing is lost: with a redactor that changes nothing, every session comes out byte for byte."""
+    chunks = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.expr(_CHUNK.replace("{esc}", "char(27)")).alias("chunk")
+    )
+    parts = reassembly.redact_payloads(chunks, lambda text: text, limit=300)
+    ordered = F.sort_array(F.collect_list(F.struct("segment", "seq", "text")))
+    whole = F.array_join(F.transform(ordered, lambda p: p["text"]), "")
+    return parts.groupBy("session").agg(
+        F.md5(whole).alias("bytes"), F.sum(F.octet_length("text")).alias("n_bytes")
+    )
+
+
+@register(
+    "udf5_payload_redactor",
+    "SELECT session, payload_no, length(payload) AS n_chars, md5(replace(payload, 'e', '*')) AS redacted FROM ("
+    "SELECT session, unnest(range(1, len(ps) + 1)) AS payload_no, unnest(ps) AS payload FROM (SELECT session, regexp_extract_all(s, '(?s)' || chr(27) || '\\[200~(.*?)' || chr(27) || '\\[201~', 1) AS ps FROM ("
+    f"SELECT conv_id AS session, string_agg({_CHUNK.replace('{esc}', 'chr(27)')}, '' ORDER BY turn) AS s FROM conversations GROUP BY 1))) "
+    "WHERE payload <> ''",
+)
+def udf5(spark, sf):
+    """A redactor of the caller's own on every payload."""
+    chunks = table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.expr(_CHUNK.replace("{esc}", "char(27)")).alias("chunk")
+    )
+    return reassembly.redact_payloads(chunks, lambda text: F.replace(text, F.lit("e"), F.lit("*"))).filter("kind = 'payload'").select(
+        "session",
+        F.expr("(segment + 1) div 2").alias("payload_no"),
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.md5("text").alias("redacted"),
+    )
+
+
 @register(
     "str4_redaction_counts",
     "SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, cast(sum(c) AS BIGINT) AS count FROM ("
@@ -384,7 +422,7 @@ def eval1(spark, sf):
     return evaluate.recall(_sections(spark, sf), ScanConfig(disabled_categories=_FEW))
 
 
-_FEW = tuple(b for b, _ in fixed_values.BUCKETS if b not in ("legacy", "pii_contact", "pii_financial"))
+_FEW = tuple(b for b in fixed_values.BUCKETS if b not in ("legacy", "pii_contact", "pii_financial"))
 
 
 @register("eval2_round_trip")
