@@ -205,6 +205,29 @@ def test_ocr_file_to_boxes(spark, tmp_path):
     assert text == "mail a@b.co now"
 
 
+def test_a_leading_run_is_tried_once(spark):
+    import time
+
+    from veilspan.functions.regex import FLAGS, to_java
+    from veilspan.functions.spans import locate
+
+    email = next(r[4] for r in RULES if r[1] == "Email Address")
+    login = r"\b[A-Za-z0-9._%+-]+:[A-Za-z0-9!@#$%^&*()_+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+    rng = random.Random(8)
+    parts = ["a", "é", ".", "-", "%", "@", "b.co", ":", "x@y.org", " ", "_", "a.a@", "ß."]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    for pattern in (email, login):
+        assert "\\G" in locating_regex(pattern)[0]
+        plain = F.regexp_extract_all("text", F.lit(FLAGS + to_java(pattern)), F.lit(0))
+        got = F.transform(locate(F.col("text"), pattern), lambda s: s["value"])
+        assert df.select(plain.alias("want"), got.alias("got"), "text").filter("want <> got").collect() == []
+    long = spark.createDataFrame([("@ " + "a." * 200_000,)], "text string")
+    start = time.time()
+    assert long.select(F.size(locate(F.col("text"), email)).alias("n")).first()["n"] == 0
+    assert time.time() - start < 10  # from every boundary it would take hours
+
+
 def test_running_sum_crosses_blocks(spark):
     df = spark.range(0, 50).withColumn("k", F.col("id") % 2)
     out = windows.running_sum(df, ["k"], F.floor(F.col("id") / 7), [F.col("id")], F.col("id"), "s")

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from veilspan import ScanConfig
 from veilspan.plans.scan import redact_table, scan
+from veilspan.sources.rules import load_catalog
 
 WORDS = tuple(
     "abandon ability able about above absent absorb abstract absurd abuse access accident account".split()
@@ -95,3 +97,41 @@ def test_placeholder_is_a_fixed_point(docs):
     once = redact_table(docs, cfg).select("doc_id", "text").cache()
     again = {r["doc_id"]: r["text"] for r in redact_table(once, cfg).collect()}
     assert again == {r["doc_id"]: r["text"] for r in once.collect()}
+
+
+def test_large_texts_come_back_whole(spark):
+    from veilspan.plans.scan import redact_within, scan_within
+
+    docs = spark.createDataFrame([(1, "mail a@b.co"), (2, "mail a@b.co " + "x" * 50), (3, None)], "doc_id long, text string")
+    cfg, catalog = ScanConfig(size_limit=40), load_catalog(spark).filter("name = 'Email Address'")
+    redacted, apart = redact_within(docs, cfg, catalog)
+    assert {r["doc_id"]: r["text"] for r in redacted.collect()} == {1: "mail [REDACTED]", 3: None}
+    assert [tuple(r)[:2] for r in apart.collect()] == [(2, "mail a@b.co " + "x" * 50)]
+    findings, apart = scan_within(docs, cfg, catalog)
+    assert [r["doc_id"] for r in findings.collect()] == [1] and apart.count() == 1
+
+
+def test_values_keep_framing_characters(spark):
+    from veilspan.functions.spans import locate
+
+    df = spark.createDataFrame([("a k=\x01v\x02w k=plain",)], "text string")
+    found = df.select(F.inline(locate(F.col("text"), r"k=\S+"))).collect()
+    assert [(r["start"], r["end"], r["value"]) for r in found] == [(2, 8, "k=\x01v\x02w"), (9, 16, "k=plain")]
+
+
+def test_nested_repeats_are_rejected(spark):
+    from veilspan.sources.rules import validate_rules
+
+    rows = [(str(i), "c", "High", r) for i, r in enumerate(["(x+x+)+y", "(a*)*b", r"(?:\w+\s?)+!", r"(\.[a-z]+)+", "ab+c{2,}"])]
+    good, bad = validate_rules(spark.createDataFrame(rows, "name string, category string, severity string, regex string"))
+    assert sorted(r["name"] for r in good.collect()) == ["3", "4"]
+    assert sorted(r["name"] for r in bad.collect()) == ["0", "1", "2"]
+
+
+def test_buckets_without_rules_are_named(spark):
+    import pytest
+
+    from veilspan.operators.select import active_rules
+
+    with pytest.warns(UserWarning, match="cloud_aws"):
+        active_rules(spark, ScanConfig())

@@ -100,6 +100,25 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
+_LEADING_RUN = re.compile(r"((?:\(\?[a-z]+\))*)\\b(\[(?:[^\[\]\\&]|\\[^pPdDwWsS])+\])\+(@|:)(?![*+?{|])")
+
+
+def _run_tried_once(java: str) -> str | None:
+    """``\\b[run]+@rest`` so that a run of n characters is scanned once and not from each of its boundaries.
+
+    If a match begins in a run, one begins at the run's first word boundary
+    (after the match before, if that ended in the run): both reach the same
+    end of the run.  What comes before the boundary is not part of the value.
+    """
+    m = _LEADING_RUN.match(java)
+    if m is None or "|" in re.sub(r"\[(?:[^\]\\]|\\.)*\]|\([^()]*\)|\\.", "", java):
+        return None
+    flags, run, mark = m.groups()
+    if re.fullmatch(run, mark):
+        return None
+    return f"{flags}(?:(?<!{run})|\\G)(?>(?<pre>{run}*?)\\b)(?<secret>{run}++{mark}{java[m.end() :]})"
+
+
 def has_secret_group(pattern: str) -> bool:
     return bool(re.search(r"\(\?P?<secret>", pattern))
 
@@ -112,6 +131,9 @@ def locating_regex(pattern: str) -> tuple[str, str]:
     """
     java = to_java(pattern)
     if "(?<secret>" not in java:
+        once = _run_tried_once(java)
+        if once is not None:
+            return FLAGS + once, "\x01\x02${pre}\x02${secret}\x02"
         return FLAGS + java, "\x01\x02\x02$0\x02"
     flags, body = leading_flags(java)
     open_at = close_at = None

@@ -19,7 +19,10 @@ SPAN = "struct<start:int,end:int,value:string,aux:string>"
 
 
 def clean(text: Column) -> Column:
-    """The text without the two framing characters, at equal byte length."""
+    """The text without the two framing characters, at equal byte length.
+
+    A pattern sees U+0003 for either; ``restored`` puts the values right again.
+    """
     return F.when(
         F.contains(text, lit(RECORD)) | F.contains(text, lit(FIELD)),
         F.translate(text, RECORD + FIELD, "\x03\x03"),
@@ -60,6 +63,20 @@ def locate_marked(marked: Column) -> Column:
     return let(F.split(marked, RECORD), with_parts)
 
 
+def restored(spans: Column, text: Column) -> Column:
+    """Spans with their values as they are in the text, where ``clean`` had to change it."""
+    framing = F.contains(text, lit(RECORD)) | F.contains(text, lit(FIELD))
+    return F.when(
+        framing,
+        let(
+            text.cast("binary"),
+            lambda raw: F.transform(
+                spans, lambda s: s.withField("value", byte_slice(raw, s["start"], s["end"]))
+            ),
+        ),
+    ).otherwise(spans)
+
+
 def mark(text: Column, java: str, replacement: str) -> Column:
     """Frame the matches of a Java regex in a text free of control characters."""
     return F.regexp_replace(text, lit(java), lit(replacement))
@@ -68,7 +85,7 @@ def mark(text: Column, java: str, replacement: str) -> Column:
 def locate(text: Column, pattern: str) -> Column:
     """All non-overlapping leftmost matches of one rule pattern."""
     java, replacement = locating_regex(pattern)
-    return locate_marked(mark(clean(text), java, replacement))
+    return restored(locate_marked(mark(clean(text), java, replacement)), text)
 
 
 def locate_literal(text: Column, literal: Column) -> Column:

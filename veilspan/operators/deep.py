@@ -218,6 +218,9 @@ def card_with_expiry(text: Column, loc: Column, p: Probes) -> Column:
     return let(numbers, check)
 
 
+PAGE = 256
+
+
 def json_blocks(text: Column) -> Column:
     """array<struct<start,end>>: outermost brace blocks outside strings (byte offsets).
 
@@ -228,7 +231,8 @@ def json_blocks(text: Column) -> Column:
     pieces = F.regexp_extract_all(text, lit('[{}"\\\\]|[^{}"\\\\]+'), lit(0))
     zero = F.expr(
         "named_struct('at', 0, 'depth', 0, 'quoted', false, 'escaped', false, 'open', 0, "
-        "'braces', 0, 'blocks', cast(array() as array<struct<start:int,end:int>>))"
+        "'braces', 0, 'blocks', cast(array() as array<struct<start:int,end:int>>), "
+        "'full', cast(array() as array<array<struct<start:int,end:int>>>))"
     )
 
     def step(a: Column, piece: Column) -> Column:
@@ -239,6 +243,9 @@ def json_blocks(text: Column) -> Column:
         depth = a["depth"] + opens.cast("int") - closes.cast("int")
         seen = a["braces"] + (opens | closes).cast("int")
         block = F.array(F.struct(a["open"].alias("start"), after.alias("end")))
+        # copying a list for each block would be quadratic: they are put away by the page
+        turn = F.size(a["blocks"]) >= PAGE
+        page = F.when(turn, F.expr("cast(array() as array<struct<start:int,end:int>>)")).otherwise(a["blocks"])
         return F.struct(
             after.alias("at"),
             depth.alias("depth"),
@@ -246,12 +253,13 @@ def json_blocks(text: Column) -> Column:
             ((piece == "\\") & a["quoted"] & ~a["escaped"]).alias("escaped"),
             F.when(opens & (a["depth"] == 0), a["at"]).otherwise(a["open"]).alias("open"),
             F.when(ends, lit(0)).otherwise(seen).alias("braces"),
-            F.when(ends & (seen > 2), F.concat(a["blocks"], block))
-            .otherwise(a["blocks"])
-            .alias("blocks"),
+            F.when(ends & (seen > 2), F.concat(page, block)).otherwise(page).alias("blocks"),
+            F.when(turn, F.concat(a["full"], F.array(a["blocks"]))).otherwise(a["full"]).alias("full"),
         )
 
-    return F.aggregate(pieces, zero, step, lambda a: a["blocks"])
+    return F.aggregate(
+        pieces, zero, step, lambda a: F.concat(F.flatten(a["full"]), a["blocks"])
+    )
 
 
 def json_secrets(text: Column) -> Column:
@@ -578,6 +586,7 @@ def _all_findings(text: str, loc: str, inner: str, p: Probes, words: tuple[str,
 
 
 WORDLIST_LIMIT = 4_096
+SALTS = 32
 
 
 def mnemonic_table(docs: DataFrame, wordlist: DataFrame) -> DataFrame:
@@ -627,8 +636,11 @@ def _joined_marks(docs: DataFrame, wordlist: DataFrame) -> DataFrame:
         "start is not null"
     )
     keyed = tokens.select("doc_id", "start", "end", _core(F.col("value")).alias("word"))
-    known = wordlist.select("word", lit(True).alias("hit")).distinct()
-    hits = keyed.join(known, "word", "left").select(
+    # one word may be a third of all tokens: each word has SALTS keys, by document
+    salt = F.explode(F.sequence(lit(0), lit(SALTS - 1))).alias("salt")
+    known = wordlist.select("word", lit(True).alias("hit")).distinct().select("word", "hit", salt)
+    salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), lit(SALTS)).cast("int"))
+    hits = salted.join(known, ["word", "salt"], "left").select(
         "doc_id", F.struct("start", "end", F.coalesce("hit", lit(False)).alias("hit")).alias("t")
     )
     return hits.groupBy("doc_id").agg(F.sort_array(F.collect_list("t")).alias("t"))

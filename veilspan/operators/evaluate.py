@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from veilspan.config import ScanConfig
 from veilspan.operators.entropy import entropy_tokens
-from veilspan.plans.scan import add_findings, redact_table
+from veilspan.operators.patterns import settled
+from veilspan.plans.scan import add_findings, add_redaction, add_scan, compile_scanner, redact_table
 
 NAMED = ("pattern", "softwrap", "deep")
 
@@ -46,10 +47,13 @@ def false_positives(docs: DataFrame, cfg: ScanConfig) -> DataFrame:
 
 
 def fixed_point(docs: DataFrame, cfg: ScanConfig) -> DataFrame:
-    """Documents that change when redacted a second time (EVAL4)."""
-    once = redact_table(docs, cfg).select("doc_id", "text")
-    twice = redact_table(once, cfg).select("doc_id", F.col("text").alias("again"))
-    return once.join(twice, "doc_id").filter("text <> again").select("doc_id")
+    """Documents that change when redacted a second time (EVAL4); both passes stay on the document's row."""
+    sc = compile_scanner(docs.sparkSession, cfg)
+    first = add_redaction(add_scan(docs.select("doc_id", "text"), sc), sc)
+    once = settled(first, ["doc_id"], {"text": F.col("redacted")})
+    second = add_redaction(add_scan(once, sc), sc)
+    twice = settled(second, ["doc_id"], {"same": F.col("text").eqNullSafe(F.col("redacted"))})
+    return twice.filter("not same").select("doc_id")
 
 
 def monotone(docs: DataFrame, low: float, high: float, min_len: int, max_len: int) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import regex as rx
 from veilspan.functions.arrays import empty_array, let
 from veilspan.functions.build import generated, lit, literal_map, literals, reused
-from veilspan.functions.spans import clean, locate_marked, mark
+from veilspan.functions.spans import clean, locate_marked, mark, restored
 from veilspan.functions.validators import VALIDATORS
 from veilspan.plans.guards import (
     RARE_RUNS,
@@ -177,7 +177,9 @@ def locate_candidates(text: Column, cand: Column, rules: Sequence[CompiledRule])
         )
 
     return F.when(F.size(cand) == 0, empty_array(LOCATED)).otherwise(
-        let(clean(text), lambda c: F.flatten(F.transform(cand, lambda o: matches(o, c))))
+        restored(
+            let(clean(text), lambda c: F.flatten(F.transform(cand, lambda o: matches(o, c)))), text
+        )
     )
 
 

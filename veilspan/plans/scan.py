@@ -32,6 +32,7 @@ from veilspan.operators.patterns import (
 from veilspan.operators.select import active_rules
 from veilspan.plans.guards import Guard
 from veilspan.schemas import FINDING
+from veilspan.sources.documents import size_gate
 from veilspan.sources.rules import collect_rules
 
 SPAN = "struct<start:int,end:int,name:string>"
@@ -374,6 +375,36 @@ def redact_table(
     return settled(df, ["doc_id"], made)
 
 
+def scan_within(
+    docs: DataFrame,
+    cfg: ScanConfig,
+    catalog: DataFrame | None = None,
+    custom: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(findings, quarantined): texts above ``cfg.size_limit`` bytes are not scanned but come back whole (SNK5)."""
+    within, quarantined = size_gate(docs, cfg.size_limit)
+    return scan(within, cfg, catalog, custom), quarantined
+
+
+def redact_within(
+    docs: DataFrame,
+    cfg: ScanConfig,
+    catalog: DataFrame | None = None,
+    custom: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(redacted, quarantined), as ``scan_within``; no text is cut or lost."""
+    within, quarantined = size_gate(docs, cfg.size_limit)
+    return redact_table(within, cfg, catalog, custom), quarantined
+
+
+def register_views(
+    spark: SparkSession, findings: DataFrame, catalog: DataFrame, prefix: str = ""
+) -> None:
+    """SQL surface: temp views ``findings`` and ``catalog`` (UDF6)."""
+    findings.createOrReplaceTempView(f"{prefix}findings")
+    catalog.createOrReplaceTempView(f"{prefix}catalog")
+
+
 def collect_spans(
     docs: DataFrame,
     cfg: ScanConfig,

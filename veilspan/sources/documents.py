@@ -59,7 +59,7 @@ def size_gate(
     ``quarantine`` keeps large texts apart, ``pass`` returns them unredacted in
     the second output with ``passed`` set, ``scan`` scans everything.
     """
-    large = F.octet_length(text) > limit
+    large = F.coalesce(F.octet_length(text) > limit, F.lit(False))
     if policy == "scan":
         return docs, docs.filter(F.lit(False)).withColumn("passed", F.lit(False))
     apart = docs.filter(large).withColumn("passed", F.lit(policy == "pass"))

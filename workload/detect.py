@@ -672,6 +672,23 @@ def deep11(spark, sf):
     return deep.mnemonic_table(table(spark, sf, "documents"), listed.distinct())
 
 
+_LONG_LIST = (
+    "WITH list AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) "
+    "WHERE strlen(w) BETWEEN 2 AND 9), tok AS (SELECT doc_id, value, start, \"end\", row_number() OVER (PARTITION BY doc_id ORDER BY start) AS pos FROM ("
+    + span_sql("\\S+", "documents") + ")), marked AS (SELECT t.*, l.w IS NOT NULL AS hit FROM tok t LEFT JOIN list l ON l.w = "
+    "lower(regexp_replace(t.value, '^[^A-Za-z]+|[^A-Za-z]+$', '', 'g'))), isl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM marked WHERE hit) "
+    "SELECT doc_id, min(start) AS start, max(\"end\") AS \"end\", count(*) AS words FROM isl GROUP BY doc_id, g HAVING count(*) >= 12"
+)
+
+
+@register("jn6_long_word_list", _LONG_LIST)
+def jn6_long(spark, sf):
+    """A word list too long for the plan is joined by word; the list is every short word of the texts."""
+    docs = table(spark, sf, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return deep.mnemonic_table(docs, words.filter("length(word) between 2 and 9").distinct())
+
+
 # ---- scalar expressions --------------------------------------------------
 
 

@@ -183,6 +183,19 @@ def agg3r(spark, sf):
     return reports.rollup_by_category(_found(spark, sf))
 
 
+@register(
+    "udf6_sql_views",
+    f"{_HITS} SELECT severity, name, count(DISTINCT doc_id) AS docs FROM hits GROUP BY ALL",
+)
+def udf6(spark, sf):
+    """Findings and rules from SQL."""
+    scan_plan.register_views(spark, _found(spark, sf), base.some_rules(spark, _SOME), "udf6_")
+    return spark.sql(
+        "SELECT c.severity, c.name, count(DISTINCT f.doc_id) AS docs "
+        "FROM udf6_findings f JOIN udf6_catalog c ON f.ord = c.ord GROUP BY ALL"
+    )
+
+
 _NOW = "2024-01-31 00:00:00"
 
 
