@@ -24,6 +24,15 @@ def read_documents(
     return table.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def spread(docs: DataFrame, partitions: int) -> DataFrame:
+    """The same rows dealt out to ``partitions`` tasks.
+
+    For inputs whose files hold fewer row groups than there are cores; a table
+    of many files needs none of it, and scans never shuffle by themselves.
+    """
+    return docs.repartition(partitions)
+
+
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
     """Chat turns, one document per turn (SRC2)."""
     turns = spark.read.parquet(path)
