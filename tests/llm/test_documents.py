@@ -184,19 +184,36 @@ def test_simhash_chains_of_near_prints(spark):
             x ^= 1 << rng.randrange(64)
         if i % 40 == 39:
             x = rng.getrandbits(64)
-    signed = [(x - (1 << 64) if x >> 63 else x,) for _, x in prints]
+    of = {}
+    for i, x in prints:
+        of.setdefault(x, i)
+    rows = [(i, [x - (1 << 64) if x >> 63 else x]) for x, i in of.items()]
     for chunk in (2048, 3):
-        found = simhash.links(spark.createDataFrame(signed, "fp long").distinct(), chunk)
-        of = {}
-        for i, x in prints:
-            of.setdefault(x, i)
-        edges = [(of[r.a % 2**64], of[r.b % 2**64]) for r in found.collect()]
-        labels = simhash.components(spark.createDataFrame(edges, "a long, b long"))
-        got = {r.node: r.label for r in labels.collect()}
+        found = simhash.links(spark.createDataFrame(rows, "node long, fps array<long>"), chunk)
+        got = {r.node: r.label for r in simhash.components(found).collect()}
         want = classes_brute([(i, x) for x, i in of.items()])
         assert {i: got.get(i, i) for i in want} == want
 
 
+def test_more_fingerprints_link_more_near_copies(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):
+        text = [rng.choice(words) for _ in range(300)]
+        rows.append((2 * i, " ".join(text)))
+        for at in rng.sample(range(300), 5):
+            text[at] = rng.choice(words)
+        rows.append((2 * i + 1, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = []
+    for seeds in (1, 16):
+        out = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, seeds=seeds).collect()}
+        assert all(c // 2 == d // 2 for d, c in out.items())  # never another text's
+        linked.append(sum(out[2 * i + 1] == 2 * i for i in range(60)))
+    assert linked[0] < linked[1] and linked[1] >= 45
+
+
 # ---- mixing ----------------------------------------------------------------
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veilspan.llm.common import col, slices, strings
 
-CACHED_WORDS = 200_000  # in either of two generations
-WORDS_A_QUERY = 50_000
+CACHED_WORDS = 240_000  # in either of two generations
+WORDS_A_QUERY = 25_000
 LONG_WORD = 256  # bytes; longer ones would take as many rounds as they have merges
 POSITIONS = 1 << 12  # more than LONG_WORD
 IDS = 1 << 20
@@ -86,8 +86,8 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p]
 
 
-#: Ids as decimals joined by commas, ids packed, and the bytes they decode to.
-Code = tuple[str, bytes, bytes]
+#: Ids as packed integers, and the bytes they decode to.
+Code = tuple[bytes, bytes]
 
 
 class Codec:
@@ -119,7 +119,7 @@ class Codec:
                 "hex": pa.array([k.hex() for k in ranks], pa.string()),
             },
         )
-        self.decimals = {r: str(r) for r in ranks.values()}
+        self.names = [str(i) for i in range(max(ranks.values()) + 1)]
         self.known: dict[str, Code] = {}
         self.older: dict[str, Code] = {}
 
@@ -148,9 +148,12 @@ class Codec:
 
     def _codes(self, ids: np.ndarray, ends: np.ndarray) -> list[Code]:
         decoded = self.decode(ids, np.repeat(np.arange(len(ends) - 1, dtype="int32"), np.diff(ends)), len(ends) - 1)
-        packed, text = ids.tobytes(), [self.decimals[i] for i in ids.tolist()]
-        cuts = ends.tolist()
-        return [(",".join(text[a:b]), packed[4 * a : 4 * b], d) for a, b, d in zip(cuts, cuts[1:], decoded)]
+        packed, cuts = ids.tobytes(), ends.tolist()
+        return [(packed[4 * a : 4 * b], d) for a, b, d in zip(cuts, cuts[1:], decoded)]
+
+    def decimals(self, packed: bytes) -> str:
+        names = self.names
+        return ",".join([names[i] for i in np.frombuffer(packed, "int32").tolist()])
 
     def learn(self, words: list[str]) -> dict[str, Code]:
         """Codes of new words."""
@@ -186,8 +189,8 @@ class Codec:
             out = []
             for found in split:
                 codes = [self.known[w] for w in found]
-                text, packed, decoded = zip(*codes) if codes else ((), (), ())
-                out.append((",".join(text), b"".join(packed), b"".join(decoded)))
+                packed, decoded = zip(*codes) if codes else ((), ())
+                out.append((b"".join(packed), b"".join(decoded)))
             return out
         finally:
             gc.enable()
@@ -255,12 +258,12 @@ def round_trip(
 
     def work(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         made = codec.encode(strings(batch.column("text")))
-        packed = [b for _, b, _ in made]
+        packed = [b for b, _ in made]
         columns = {
             "doc_id": batch.column("doc_id"),
             "n_tokens": pa.array([len(b) // 4 for b in packed], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(s.encode()).hexdigest() for s, _, _ in made]),
-            "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for _, _, d in made]),
+            "ids_sha256": pa.array([hashlib.sha256(codec.decimals(b).encode()).hexdigest() for b in packed]),
+            "decoded_sha256": pa.array([hashlib.sha256(d).hexdigest() for _, d in made]),
         }
         if with_ids:
             columns["ids"] = _lists(packed)
@@ -270,7 +273,7 @@ def round_trip(
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
     return rows.mapInArrow(
-        lambda batches: run(slices(batches, "text", 4 << 20)), schema + ", ids array<int>" * with_ids
+        lambda batches: run(slices(batches, "text", 2 << 20)), schema + ", ids array<int>" * with_ids
     )
 
 
@@ -278,12 +281,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """``doc_id, ids`` of every row (array of int, empty for null and empty texts), as in ``round_trip``."""
 
     def work(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [b for _, b, _ in codec.encode(strings(batch.column("text")))]
+        packed = [b for b, _ in codec.encode(strings(batch.column("text")))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(packed)], ["doc_id", "ids"])
 
     run = _with_codec(docs.sparkSession, ranks_path, pattern, work)
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: run(slices(batches, "text", 4 << 20)), "doc_id long, ids array<int>")
+    return rows.mapInArrow(lambda batches: run(slices(batches, "text", 2 << 20)), "doc_id long, ids array<int>")
 
 
 def decode(
@@ -305,7 +308,7 @@ def decode(
 
     run = _with_codec(tokens.sparkSession, ranks_path, pattern, work)
     rows = tokens.select(col(id_col).cast("long").alias("doc_id"), col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(lambda batches: run(slices(batches, "ids", 4 << 20)), "doc_id long, text string")
+    return rows.mapInArrow(lambda batches: run(slices(batches, "ids", 2 << 20)), "doc_id long, text string")
 
 
 

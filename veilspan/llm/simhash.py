@@ -12,35 +12,54 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import byte_strings, checkpointed, col, slices
 
-RADIUS = 3
+SLICE = 1 << 16  # shingles whose bits are laid out at once
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The signed 64-bit SimHash of the words of a text."""
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another hash of each shingle from its first one (the finishing steps of splitmix64); seed 0 keeps it."""
+    if not seed:
+        return h
+    z = h + np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: bytes, width: int = 3, seeds: int = 1) -> list[int]:
+    """Signed 64-bit SimHashes of the words of a text; the first is that of the shingles' own hashes."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * seeds
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, 42) for s in shingles], ">u8")
-    ones = np.unpackbits(h.view("uint8").reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
-    return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
+    h = np.array([digest(s, 42) for s in shingles], "u8")
+    out = []
+    for seed in range(seeds):
+        ones = np.zeros(64, "int64")
+        for at in range(0, len(h), SLICE):
+            mixed = _mixed(h[at : at + SLICE], seed).astype(">u8")
+            ones += np.unpackbits(mixed.view("uint8").reshape(-1, 8), axis=1).sum(axis=0, dtype="int64")
+        out.append(int(np.packbits(2 * ones > len(h)).view(">i8")[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id, fp`` (signed long) of every whole text; no words (null, empty, blank) give 0."""
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seeds: int = 1
+) -> DataFrame:
+    """``doc_id, fps`` (array of ``seeds`` longs) of every whole text; no words (null, empty, blank) give 0."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps = [fingerprint(t, width) for t in byte_strings(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint(t, width, seeds) for t in byte_strings(batch.column("text"))]
+            column = pa.array(fps, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column], ["doc_id", "fps"])
 
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"))
-    return rows.mapInArrow(hashed, "doc_id long, fp long")
+    return rows.mapInArrow(hashed, "doc_id long, fps array<long>")
 
 
 def _later(planes: np.ndarray, by: int) -> np.ndarray:
@@ -90,7 +109,7 @@ def _within_radius(planes: np.ndarray, by: int, valid: np.ndarray) -> np.ndarray
 
 
 def link_groups(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked fingerprints of equal ``group`` (sorted runs): each with its group's representative.
+    """Places of linked fingerprints of equal ``group`` (sorted runs): each with its class's representative.
 
     All runs are compared at once, one distance of places after the other; runs
     are laid out by falling size, so later distances touch fewer places.  Only
@@ -124,19 +143,21 @@ def link_groups(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 root = flat
             hit = hit[new]
     child = np.flatnonzero(root != np.arange(len(root)))
-    return fp[child], fp[root[child]]
+    return at[child], at[root[child]]
 
 
-def links(fps: DataFrame, chunk: int = 2048) -> DataFrame:
-    """``a, b``: fingerprints of the table ``fp`` (distinct) at most three bits apart, enough to span each class.
+def links(nodes: DataFrame, chunk: int = 2048) -> DataFrame:
+    """``a, b``: nodes with a fingerprint at most three bits apart, enough to span each class.
 
-    If two differ in at most three bits, one of their four quarters is equal,
-    and one of four parts of the remaining 48 bits too: 16 keys of 28 bits find
-    every pair.  Keys held by one fingerprint go at once.  A key held by more
-    than ``chunk`` is split by hash into chunks, and each pair of chunks is a
-    group of its own: none is dropped, none exceeds a task.
+    ``nodes`` has ``node`` (distinct) and ``fps``; the n-th fingerprints are
+    compared with each other.  If two differ in at most three bits, one of
+    their four quarters is equal, and one of four parts of the remaining 48
+    bits too: 16 keys of 28 bits find every pair.  Keys of one node go at once.
+    A key of more than ``chunk`` nodes is split by hash into chunks, and each
+    pair of chunks is a group of its own: none is dropped, none exceeds a task.
     """
     fp = F.col("fp")
+    each = nodes.select("node", F.posexplode("fps").alias("s", "fp"))
     keys = []
     for i in range(4):
         quarter = F.shiftrightunsigned(fp, 16 * i).bitwiseAND(F.lit(0xFFFF))
@@ -151,32 +172,35 @@ def links(fps: DataFrame, chunk: int = 2048) -> DataFrame:
                 part = part.bitwiseOR(F.shiftleft(piece, done))
                 done += hi - lo
             keys.append(
-                F.lit((4 * i + j) << 28).bitwiseOR(F.shiftleft(quarter, 12)).bitwiseOR(part)
+                F.shiftleft(F.col("s").cast("long"), 32)
+                .bitwiseOR(F.lit((4 * i + j) << 28))
+                .bitwiseOR(F.shiftleft(quarter, 12))
+                .bitwiseOR(part)
             )
-    rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+    rows = each.select("node", "fp", F.explode(F.array(*keys)).alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     parts = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
     dealt = (
         rows.join(shared, "key")
-        .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp")
+        .select("key", "fp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fp", "node")
         .repartition("key", "x", "y")
-        .sortWithinPartitions("key", "x", "y", "fp")
+        .sortWithinPartitions("key", "x", "y", "fp", "node")
     )
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, fp in _whole_groups(batches):
+        for group, fp, node in _whole_groups(batches):
             a, b = link_groups(group, fp)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     return dealt.mapInArrow(linked, "a long, b long").distinct()
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Group numbers and fingerprints of sorted batches; a group is never cut between two of them."""
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Group numbers, fingerprints and nodes of sorted batches; a group is never cut between two of them."""
     held: list[np.ndarray] = []
-    names = ("key", "x", "y", "fp")
+    names = ("key", "x", "y", "fp", "node")
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -186,12 +210,12 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
         new = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
         cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
         if cut:
-            yield np.append(0, np.cumsum(new))[:cut], rows[3, :cut]
+            yield np.append(0, np.cumsum(new))[:cut], rows[3, :cut], rows[4, :cut]
         held = [rows[:, cut:]]
     if held and held[0].shape[1]:
         rows = held[0]
         new = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
-        yield np.append(0, np.cumsum(new)), rows[3]
+        yield np.append(0, np.cumsum(new)), rows[3], rows[4]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,32 +247,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, chunk: int = 2048
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 3,
+    chunk: int = 2048,
+    seeds: int = 1,
 ) -> DataFrame:
     """``doc_id, fp, component_id`` of every row: the smallest id reachable over links of at most three bits.
 
+    With ``seeds`` above 1, documents also link where one of as many
+    independent fingerprints is that near, which finds pairs that one
+    fingerprint puts four to some twelve bits apart.
+
     Texts are read once; from then on only ids and fingerprints move, and
-    copies of a fingerprint are one node.  Rows with a null id get a
+    documents of equal fingerprints are one node.  Rows with a null id get a
     fingerprint and a null component and link nothing; repeated rows get equal
     results.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col, width))
-    nodes = prints.filter(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first"))
+    prints = checkpointed(fingerprints(docs, id_col, text_col, width, seeds))
+    nodes = prints.filter(F.col("doc_id").isNotNull()).groupBy("fps").agg(F.min("doc_id").alias("node"))
+    # an id with several texts is the head of several nodes, which are one then
     nodes = checkpointed(nodes)
-    found = links(nodes.select("fp"), chunk)
-    ids = nodes.select(F.col("fp").alias("f"), "first")
-    edges = (
-        found.join(ids, F.col("a") == F.col("f"))
-        .select(F.col("first").alias("a"), "b")
-        .join(ids, F.col("b") == F.col("f"))
-        .select("a", F.col("first").alias("b"))
-    )
-    labels = components(edges)
-    of_fp = nodes.join(labels, F.col("first") == F.col("node"), "left").select(
-        "fp", F.coalesce("label", "first").alias("component")
+    labels = components(links(nodes, chunk)).withColumnRenamed("node", "n")
+    of_fps = nodes.join(labels, F.col("node") == F.col("n"), "left").select(
+        "fps", F.coalesce("label", "node").alias("component")
     )
-    return prints.join(of_fp, "fp", "left").select(
+    return prints.join(of_fps, "fps", "left").select(
         "doc_id",
-        "fp",
+        F.get("fps", F.lit(0)).alias("fp"),
         F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
     )
