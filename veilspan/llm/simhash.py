@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilspan.llm.common import byte_strings, checkpointed, col, slices
 
@@ -108,12 +109,12 @@ def _within_radius(planes: np.ndarray, by: int, valid: np.ndarray) -> np.ndarray
     return ~out
 
 
-def link_groups(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked fingerprints of equal ``group`` (sorted runs): each with its class's representative.
+def link_groups(group: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """For each place of equal ``group`` (sorted runs), one place that stands for its class of linked fingerprints.
 
     All runs are compared at once, one distance of places after the other; runs
-    are laid out by falling size, so later distances touch fewer places.  Only
-    one link for each fingerprint and class comes back, whatever the pairs are.
+    are laid out by falling size, so later distances touch fewer places.  Pairs
+    are merged as they are found and never listed.
     """
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(starts, len(group)))
@@ -142,8 +143,9 @@ def link_groups(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarr
             while not np.array_equal(flat := root[root], root):
                 root = flat
             hit = hit[new]
-    child = np.flatnonzero(root != np.arange(len(root)))
-    return at[child], at[root[child]]
+    out = np.empty(len(at), "int64")
+    out[at] = at[root]
+    return out
 
 
 def links(nodes: DataFrame, chunk: int = 2048) -> DataFrame:
@@ -191,8 +193,14 @@ def links(nodes: DataFrame, chunk: int = 2048) -> DataFrame:
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, fp, node in _whole_groups(batches):
-            a, b = link_groups(group, fp)
-            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+            classes = link_groups(group, fp)
+            # the smallest node of each class: groups that share it then share their links too
+            least = node.copy()
+            np.minimum.at(least, classes, node)
+            head = least[classes]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[head != node]), pa.array(head[head != node])], ["a", "b"]
+            )
 
     return dealt.mapInArrow(linked, "a long, b long").distinct()
 
@@ -219,31 +227,27 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node reachable over ``a, b``, for nodes with a link.
+    """``node, label``: the smallest node reachable over ``a, b``, for every node but the smallest ones themselves.
 
-    Labels spread to neighbours and jump to their label's label, so the rounds
-    are logarithmic in a chain's length; each ends in a checkpoint.  A round
-    moves one row for each link and node and pre-aggregates before it shuffles.
+    Each node hands its larger neighbours below it to its smallest one, until
+    every node has one; what is left is a forest, in which nodes jump to their
+    parent's parent.  Links that become equal are merged in each round, so a
+    dense class shrinks at once; each round ends in a checkpoint.
     """
-    both = checkpointed(edges.union(edges.select("b", "a")).toDF("a", "b").filter("a <> b").distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label"))
-    labels = checkpointed(labels)
+    up = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("head"))
+    up = checkpointed(up.filter("node <> head").distinct())
+    while up.groupBy("node").count().filter("count > 1").limit(1).count():
+        least = F.min("head").over(Window.partitionBy("node"))
+        seen = up.withColumn("least", least)
+        handed = seen.filter("head <> least").select(F.col("head").alias("node"), F.col("least").alias("head"))
+        up = checkpointed(seen.select("node", F.col("least").alias("head")).union(handed).distinct())
     while True:
-        near = (
-            both.join(labels, both.b == labels.node)
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        spread = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        up = labels.select(F.col("node").alias("parent"), F.col("label").alias("top"))
-        moved = spread.join(up, F.col("new") == F.col("parent"), "left").select(
-            "node", "label", F.least("new", F.coalesce("top", "new")).alias("new")
-        )
-        moved = checkpointed(moved)
-        changed = moved.filter("label <> new").limit(1).count()
-        labels = moved.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
+        above = up.select(F.col("node").alias("parent"), F.col("head").alias("top"))
+        moved = up.join(above, F.col("head") == F.col("parent"), "left")
+        moved = checkpointed(moved.select("node", "head", F.coalesce("top", "head").alias("new")))
+        up = moved.select("node", F.col("new").alias("head"))
+        if not moved.filter("head <> new").limit(1).count():
+            return up.withColumnRenamed("head", "label")
 
 
 def near_duplicates(
