@@ -1,12 +1,17 @@
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
+from veilspan import ScanConfig
 from veilspan.functions import windows
 from veilspan.functions.arrays import count_le, prefix_max, prefix_sum
 from veilspan.functions.regex import locating_regex
-from veilspan.operators import allowlist, images, redact, reports, select, softwrap
+from veilspan.functions.spans import locate
+from veilspan.operators import allowlist, entropy, images, redact, reports, select, softwrap
 from veilspan.plans.guards import guard_for
+from veilspan.plans.scan import redact_table
 from veilspan.sources import redaction_log
 from veilspan.sources.corpus import parse_sections
 from veilspan.sources.fixed_rules import RULES
@@ -206,10 +211,8 @@ def test_ocr_file_to_boxes(spark, tmp_path):
 
 
 def test_a_leading_run_is_tried_once(spark):
-    import time
 
     from veilspan.functions.regex import FLAGS, to_java
-    from veilspan.functions.spans import locate
 
     email = next(r[4] for r in RULES if r[1] == "Email Address")
     login = r"\b[A-Za-z0-9._%+-]+:[A-Za-z0-9!@#$%^&*()_+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -236,7 +239,6 @@ def test_running_sum_crosses_blocks(spark):
 
 
 def test_stream_redacts_and_reassembles(spark, tmp_path):
-    from veilspan import ScanConfig
     from veilspan.streaming.redaction import redact_stream
 
     src = tmp_path / "in"
@@ -263,3 +265,40 @@ def test_stream_redacts_and_reassembles(spark, tmp_path):
     )
     query.awaitTermination(120)
     assert [r["payload"] for r in spark.sql("SELECT * FROM payloads_out").collect()] == ["hello"]
+
+
+def test_occurrences_of_tokens_inside_longer_runs(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(60):
+        base = ["".join(rng.choices("abé1", k=rng.randint(3, 5))) for _ in range(6)]
+        words = [rng.choice(base) + rng.choice(["", "", *base]) for _ in range(12)]
+        texts.append((" ".join(words), rng.sample(words, 3) + rng.sample(base, 2)))
+    rows = spark.createDataFrame([(i, t, w) for i, (t, w) in enumerate(texts)], "id int, text string, tokens array<string>")
+    runs = locate(F.col("text"), "[a-zé0-9]+")
+    found = rows.select("id", entropy.occurrences(runs, F.col("tokens")).alias("o")).collect()
+    for row in found:
+        text, tokens = texts[row["id"]]
+        raw, want = text.encode(), set()
+        for run in re.finditer(rb"[^ ]+", raw):
+            for token in {t.encode() for t in tokens}:
+                for m in re.finditer(re.escape(token), run.group()):
+                    want.add((run.start() + m.start(), run.start() + m.end(), token.decode()))
+        assert [(s["start"], s["end"], s["value"]) for s in row["o"]] == sorted(want)
+
+
+def test_many_distinct_tokens_take_linear_time(spark):
+    cfg = ScanConfig(enable_entropy=True)
+
+    def seconds(n):
+        rng = random.Random(n)
+        words = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyz0123456789", 25 + i % 10)) for i in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string")
+        start = time.monotonic()
+        out = redact_table(docs, cfg).select("n", "text").first()
+        assert out["n"] == n and words[7] not in out["text"]
+        return time.monotonic() - start
+
+    seconds(100)
+    small, large = seconds(5000), seconds(10000)
+    assert large < 2.5 * small + 2

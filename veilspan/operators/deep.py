@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.arrays import count_lt, let
+from veilspan.functions.arrays import count_le, count_lt, let
 from veilspan.functions.build import generated, lit, literals, reused
 from veilspan.functions.regex import FLAGS, java_regex
 from veilspan.functions.spans import byte_slice, line_of, line_starts, locate
@@ -540,7 +540,9 @@ def add_base64_types(
 
         def add(level: str, lower: str) -> Column:
             def of(node: Column, i: Column, c: Column) -> Column:
-                mine = F.filter(c["lower"], lambda x: x["parent"] == i)
+                # the lower level is in the order of its parents
+                first = count_lt(c["parents"], i)
+                mine = F.slice(c["lower"], first + lit(1), count_le(c["parents"], i) - first)
                 inner = F.flatten(F.transform(mine, lambda x: x["names"]))
                 parts = F.get(c["own"], c["offset"] + i)
                 total = F.concat(parts["before"], inner, parts["after"])
@@ -556,7 +558,10 @@ def add_base64_types(
                 )
 
             c = F.struct(
-                F.col(lower).alias("lower"), F.col(own).alias("own"), offsets[level].alias("offset")
+                F.col(lower).alias("lower"),
+                F.transform(F.col(lower), lambda x: x["parent"]).alias("parents"),
+                F.col(own).alias("own"),
+                offsets[level].alias("offset"),
             )
             return let(c, lambda cc: F.transform(F.col(level), lambda n, i: of(n, i, cc)))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.config import ScanConfig
+from veilspan.functions.arrays import count_le, count_lt, let
 from veilspan.functions.windows import BLOCK_ROWS, running_max, running_sum
 from veilspan.operators.patterns import settled
 from veilspan.plans.scan import add_redaction, add_scan, compile_scanner
@@ -78,30 +79,50 @@ def boxes_for_spans(ranges: DataFrame, spans: DataFrame) -> DataFrame:
     return hit.select("image_id", "x", "y", "w", "h").distinct()
 
 
-def redaction_boxes(words: DataFrame, cfg: ScanConfig) -> tuple[DataFrame, DataFrame]:
-    """(image_id, status) and the boxes (IMG2)."""
-    texts = assemble(words)
+def image_boxes(words: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """(image_id, status, boxes): one row per image, scanned once (IMG2).
+
+    The words of an image stay on its row with their byte ranges; islands are
+    sorted and disjoint, so two binary searches tell whether a word meets one.
+    """
+    word = F.struct("word_ix", F.concat("sep", "text").alias("p"), "start", "end", "x", "y", "w", "h")
+    texts = (
+        word_ranges(words)
+        .groupBy("image_id")
+        .agg(F.sort_array(F.collect_list(word)).alias("words"))
+        .withColumn("text", F.array_join(F.transform("words", lambda r: r["p"]), ""))
+    )
     sc = compile_scanner(words.sparkSession, cfg)
+
+    def covered(islands: Column) -> Column:
+        starts, ends = F.transform(islands, lambda s: s["start"]), F.transform(islands, lambda s: s["end"])
+        hit = let(
+            F.struct(starts.alias("starts"), ends.alias("ends")),
+            lambda c: F.filter(
+                "words",
+                lambda r: (r["start"] < r["end"])
+                & (count_lt(c["starts"], r["end"]) > count_le(c["ends"], r["start"])),
+            ),
+        )
+        return F.array_distinct(F.transform(hit, lambda r: F.struct(r["x"], r["y"], r["w"], r["h"])))
+
     scanned = settled(
         add_redaction(add_scan(texts, sc), sc),
-        ["image_id"],
+        ["image_id", "words"],
         {"n": F.size("findings"), "islands": F.col("islands")},
     )
-    spans = scanned.select("image_id", F.inline_outer("islands")).filter("start is not null")
-    boxes = boxes_for_spans(word_ranges(words), spans)
-    counted = boxes.groupBy("image_id").agg(F.count("*").alias("boxes"))
+    boxed = scanned.select("image_id", "n", covered(F.col("islands")).alias("boxes"))
     status = (
-        scanned.select("image_id", "n")
-        .join(counted, "image_id", "left")
-        .select(
-            "image_id",
-            F.when(F.col("n") == 0, "no_secrets")
-            .when(F.col("boxes").isNull(), "unmappable")
-            .otherwise("boxes")
-            .alias("status"),
-        )
+        F.when(F.col("n") == 0, "no_secrets").when(F.size("boxes") == 0, "unmappable").otherwise("boxes")
     )
-    return status, boxes
+    return boxed.select("image_id", status.alias("status"), "boxes")
+
+
+def redaction_boxes(words: DataFrame, cfg: ScanConfig) -> tuple[DataFrame, DataFrame]:
+    """(image_id, status) and the distinct boxes, as two views of ``image_boxes`` (IMG2)."""
+    out = image_boxes(words, cfg)
+    boxes = out.select("image_id", F.explode("boxes").alias("b"))
+    return out.select("image_id", "status"), boxes.select("image_id", "b.x", "b.y", "b.w", "b.h")
 
 
 def clip_boxes(boxes: DataFrame, width: str = "width", height: str = "height") -> DataFrame:

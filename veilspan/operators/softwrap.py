@@ -6,10 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspan.functions.build import lit
-from veilspan.functions.arrays import count_le, let, prefix_sum
-from veilspan.functions.spans import byte_slice, locate_literal, locate_marked, mark
+from veilspan.functions.arrays import count_le, empty_array, let, prefix_sum
+from veilspan.functions.spans import byte_slice, locate_marked, mark
+from veilspan.functions.text import shannon_entropy
 from veilspan.operators.allowlist import is_allowed
+from veilspan.operators.entropy import occurrences
 
+WRAPPED = "struct<ord:int,start:int,end:int,value:string,fresh:boolean>"
 _BODY = "[A-Za-z0-9+/=_.\\-]"
 # six body characters before the break, two after it, and the next line is not
 # a new "name=value" or "Header: value"
@@ -78,13 +81,18 @@ def softwrap_spans(
     not found before.
     """
 
+    def key(s: Column) -> Column:
+        return F.call_function("shiftleft", s["ord"].cast("long"), lit(32)) + s["start"]
+
     def label(spans: Column) -> Column:
-        return F.transform(
-            spans,
-            lambda s: s.withField(
-                "fresh",
-                ~F.exists(seen, lambda p: (p["ord"] == s["ord"]) & (p["start"] == s["start"])),
-            ),
+        def against(known: Column) -> Column:
+            def fresh(k: Column) -> Column:
+                return ~F.coalesce(F.get(known, count_le(known, k) - lit(1)) == k, lit(False))
+
+            return F.transform(spans, lambda s: s.withField("fresh", fresh(key(s))))
+
+        return F.when(F.size(spans) == 0, empty_array(WRAPPED)).otherwise(
+            let(F.array_sort(F.transform(seen, key)), against).cast(f"array<{WRAPPED}>")
         )
 
     return let(
@@ -104,23 +112,15 @@ def softwrap_entropy(
     """
     ddl = "struct<start:int,end:int,value:string,score:double,fresh:boolean>"
 
-    def places(token: Column, c: Column) -> Column:
-        held = F.filter(runs, lambda r: F.contains(r["value"], token["value"]))
-        inside = F.flatten(
-            F.transform(
-                held,
-                lambda r: F.transform(
-                    locate_literal(r["value"], token["value"]),
-                    lambda s: F.struct(
-                        lit(0).alias("ord"),
-                        (r["start"] + s["start"]).alias("start"),
-                        (r["start"] + s["end"]).alias("end"),
-                        s["value"].alias("value"),
-                    ),
-                ),
-            )
+    def places(values: Column, c: Column) -> Column:
+        """Occurrences of the tokens that hold a line break in the original."""
+        found = F.transform(
+            occurrences(runs, values),
+            lambda s: F.struct(
+                lit(0).alias("ord"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")
+            ),
         )
-        return _mapped(inside, c["cut"], c["raw"], c["allow"])
+        return _mapped(found, c["cut"], c["raw"], c["allow"])
 
     def step(acc: Column, item: Column, c: Column) -> Column:
         known = F.concat(before, F.transform(acc, lambda a: a["value"]))
@@ -148,21 +148,20 @@ def softwrap_entropy(
         )
 
     def run(c: Column) -> Column:
-        new = F.filter(
-            tokens,
-            lambda t: ~F.array_contains(before, t["value"]),
-        )
         # one entry per distinct token, in first-seen order
-        distinct = F.array_distinct(
-            F.transform(new, lambda t: F.struct(t["value"].alias("value"), t["score"].alias("score")))
-        )
-        located = F.filter(
-            F.transform(
-                distinct,
-                lambda t: F.struct(t["score"].alias("score"), places(t, c).alias("places")),
-            ),
-            lambda x: F.size(x["places"]) > 0,
-        )
+        new = F.array_except(F.transform(tokens, lambda t: t["value"]), before)
+
+        def of_places(found: Column, values: Column) -> Column:
+            split = F.array_intersect(values, F.transform(found, lambda s: s["value"]))
+            return F.transform(
+                split,
+                lambda v: F.struct(
+                    shannon_entropy(v).alias("score"),
+                    F.filter(found, lambda s: s["value"] == v).alias("places"),
+                ),
+            )
+
+        located = let(new, lambda values: let(places(values, c), lambda found: of_places(found, values)))
         return F.aggregate(
             located, F.expr(f"cast(array() as array<{ddl}>)"), lambda acc, x: step(acc, x, c)
         )

@@ -411,7 +411,18 @@ def det7(spark, sf):
     return tokens.withColumn("score", F.round("score", 9))
 
 
-@register("det8_dewrap")
+_NEXT_NAME = "^[A-Za-z0-9_-]*[=:]=*(?:[^\\r\\n= \\t]|[ \\t]+[^\\r\\n \\t])"
+
+
+@register(
+    "det8_dewrap",
+    f"WITH {PLANTED_SQL}, pairs AS (SELECT doc_id, unnest(lines[:-2]) AS a, unnest(lines[2:]) AS b "
+    "FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM planted)), "
+    "bare AS (SELECT doc_id, regexp_replace(a, '\\r$', '') AS x, regexp_replace(b, '^\\r', '') AS y, "
+    "1 + a.ends_with(chr(13))::INT + b.starts_with(chr(13))::INT AS cut FROM pairs) "
+    "SELECT doc_id, cast(sum(cut) AS INT) AS removed FROM bare WHERE regexp_matches(x, '[A-Za-z0-9+/=_.-]{6}$') "
+    f"AND regexp_matches(y, '^[A-Za-z0-9+/=_.-]{{2}}') AND NOT regexp_matches(y, {quote(_NEXT_NAME)}) GROUP BY 1",
+)
 def det8(spark, sf):
     docs = planted(spark, sf)
     joined = docs.select("doc_id", softwrap.dewrap(F.col("text")).alias("joined"), "text")
