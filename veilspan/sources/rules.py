@@ -15,6 +15,7 @@ from veilspan.sources.fixed_rules import RULES
 MAX_REGEX_BYTES = 2000
 MAX_RULES = 10_000  # a catalog is compiled into the plan, so its size is checked
 MAX_REPEAT = 65_536
+MATCHES_EMPTY = "pattern matches the empty string"
 
 CUSTOM_BUCKET = "custom"
 
@@ -76,7 +77,7 @@ def parse_severity(text: Column) -> Column:
     )
 
 
-def _compile_error(spark: SparkSession, pattern: str) -> str | None:
+def compile_error(spark: SparkSession, pattern: str) -> str | None:
     """One-line reason a pattern cannot be used, or None."""
     try:
         java, replacement = rx.locating_regex(pattern)
@@ -88,7 +89,7 @@ def _compile_error(spark: SparkSession, pattern: str) -> str | None:
             F.regexp_replace(lit(""), lit(java), lit(replacement)).alias("r"),
         )
         if probe.first()["empty_hits"]:
-            return "pattern matches the empty string"
+            return MATCHES_EMPTY
     except Exception as e:  # the engine's own message, first line only
         lines = [x.strip() for x in str(e).splitlines() if x.strip()]
         return lines[0] if lines else "pattern does not compile"
@@ -118,7 +119,7 @@ def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
         elif rx.nests_repeats(pattern):
             reason = "a repeated group repeats again over the same characters: its time has no bound"
         else:
-            reason = _compile_error(spark, pattern)
+            reason = compile_error(spark, pattern)
         checked.append((*r, reason))
     table = spark.createDataFrame(
         checked, "name string, category string, severity string, regex string, reason string"

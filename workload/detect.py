@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilspan import ScanConfig
@@ -572,7 +575,7 @@ def deep3(spark, sf):
 def deep4(spark, sf):
     """The planted text encoded once and twice, so findings come from decoded text."""
     docs = planted(spark, sf)
-    once = F.base64(F.encode(F.concat(F.lit("wrapped "), F.right("text", F.lit(160))), "UTF-8"))
+    once = F.base64(F.encode(F.concat(F.lit("wrapped "), F.col("text")), "UTF-8"))
     text = F.concat(F.lit("blob "), F.regexp_replace(F.when(F.col("doc_id") % 2 == 0, once).otherwise(
         F.base64(F.encode(F.regexp_replace(once, "[\r\n]", ""), "UTF-8"))), "[\r\n]", ""))
     cfg = ScanConfig(enable_deep_scan=True)
@@ -764,6 +767,95 @@ def scl13(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get(c, 0).alias("a"), F.get(c, 1).alias("b"))
 
 
+# ---- settings and user parts ----------------------------------------------
+
+_LEVELS = [ScanConfig(sensitivity=n, enable_entropy=True) for n in range(1, 6)] + [
+    ScanConfig(entropy_threshold=1.0, entropy_min_len=12, enable_entropy=True),
+    ScanConfig(entropy_threshold=3.5, enable_entropy=True),
+]
+_LIMITS = [(5.0, 32), (4.5, 24), (3.8, 20), (3.2, 14), (2.5, 8), (2.0, 12), (3.5, 20)]
+
+
+@register(
+    "sel10_sensitivity",
+    f"WITH {PLANTED_SQL}, scored AS (SELECT doc_id, strlen(value) AS n, {entropy_sql('value')} AS score FROM (SELECT doc_id, "
+    "unnest(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_.\\-]+')) AS value FROM planted) WHERE strlen(value) BETWEEN 8 AND 256) "
+    + " UNION ALL ".join(
+        f"SELECT {i} AS setting, doc_id, count(*) AS tokens FROM scored WHERE n >= {least} AND score >= {bar} GROUP BY doc_id"
+        for i, (bar, least) in enumerate(_LIMITS)
+    ),
+)
+def sel10(spark, sf):
+    """Five levels of the dial, then two overrides: one below the floor, one below the dial."""
+    docs = planted(spark, sf)
+    limits = [cfg.entropy_limits for cfg in _LEVELS]
+    least = (min(m for _, m, _ in limits), max(x for _, _, x in limits), min(t for t, _, _ in limits))
+    tokens = entropy.entropy_tokens(docs, *least).withColumn("size", F.octet_length("value"))
+    passed = F.array(
+        *[
+            F.when(F.col("size").between(low, high) & (F.col("score") >= bar), F.lit(i))
+            for i, (bar, low, high) in enumerate(limits)
+        ]
+    )
+    return (
+        tokens.select("doc_id", F.explode(F.array_compact(passed)).alias("setting"))
+        .groupBy("setting", "doc_id")
+        .agg(F.count("*").alias("tokens"))
+    )
+
+
+_MAILBOX = "u[0-9]+@corp\\.example\\.com"
+
+
+@register(
+    "udf2_user_allowlist",
+    f"WITH {PLANTED_SQL}, hits AS ({gated_sql(_SOME_ROWS)}), allow AS ({ALLOW_SQL} UNION ALL "
+    f'SELECT doc_id, start, "end" FROM ({span_sql(_MAILBOX)})) SELECT {_SHOW_SQL} FROM hits h '
+    'WHERE NOT EXISTS (SELECT 1 FROM allow a WHERE a.doc_id = h.doc_id AND a.start <= h.start AND h."end" <= a."end")',
+)
+def udf2(spark, sf):
+    """A user's pattern silences the planted mailboxes; an unusable one is left out."""
+    cfg = ScanConfig(allowlist_regex=(_MAILBOX, "(broken"))
+    found = scan_plan.scan(planted(spark, sf), cfg, catalog=base.some_rules(spark, _SOME))
+    return found.filter("source = 'pattern'").select(*_SHOW)
+
+
+@register(
+    "udf3_user_validator",
+    f"WITH {PLANTED_SQL} SELECT doc_id, start, \"end\", value FROM ({span_sql('u[0-9]+@corp')}) "
+    "WHERE cast(regexp_extract(value, '[0-9]+') AS BIGINT) % 3 = 0",
+)
+def udf3(spark, sf):
+    """A user's own check, named by a user's rule."""
+    V.register_validator("threefold number", lambda v: F.regexp_extract(v, "[0-9]+", 0).cast("bigint") % 3 == 0)
+    rule = spark.createDataFrame(
+        [(0, "custom", "Threefold Mailbox", "custom", "Low", "u[0-9]+@corp", "threefold number")],
+        "ord int, bucket string, name string, category string, severity string, regex string, validator string",
+    )
+    found = patterns.match_patterns(planted(spark, sf), rule, gate=True)
+    return found.select("doc_id", "start", "end", "value")
+
+
+@register(
+    "snk1_write_findings",
+    f"WITH {PLANTED_SQL}, hits AS ({gated_sql(_SOME_ROWS)}) SELECT category, doc_id, count(*) AS n FROM hits GROUP BY 1, 2",
+)
+def snk1(spark, sf):
+    """Written by category in the shared folder and read again."""
+    found = patterns.match_patterns(planted(spark, sf), base.some_rules(spark, _SOME), gate=True)
+    path = _folder(spark, "findings")
+    documents.write_findings(found.withColumn("source", F.lit("pattern")), path)
+    back = spark.read.parquet(path)
+    if "value" in back.columns:
+        raise AssertionError("found text was written")
+    return back.groupBy("category", "doc_id").agg(F.count("*").alias("n"))
+
+
+def _folder(spark, name: str) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sinks-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 __all__ = ["locate"]
 
 
