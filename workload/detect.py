@@ -573,10 +573,10 @@ def deep3(spark, sf):
 
 @register("deep4_base64_secrets")
 def deep4(spark, sf):
-    """The planted text encoded once and twice, so findings come from decoded text."""
+    """Whole texts, each with its planted end encoded once or twice behind it."""
     docs = planted(spark, sf)
-    once = F.base64(F.encode(F.concat(F.lit("wrapped "), F.col("text")), "UTF-8"))
-    text = F.concat(F.lit("blob "), F.regexp_replace(F.when(F.col("doc_id") % 2 == 0, once).otherwise(
+    once = F.base64(F.encode(F.concat(F.lit("wrapped "), F.right("text", F.lit(160))), "UTF-8"))
+    text = F.concat("text", F.lit("\nblob "), F.regexp_replace(F.when(F.col("doc_id") % 2 == 0, once).otherwise(
         F.base64(F.encode(F.regexp_replace(once, "[\r\n]", ""), "UTF-8"))), "[\r\n]", ""))
     cfg = ScanConfig(enable_deep_scan=True)
     none = rules.load_catalog(spark).filter("false")
