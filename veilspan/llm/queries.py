@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import ann, bpe, chat, line_dedup, mixing, pii, simhash, token_counts, topk, toxicity
+from veilspan.llm import ann, bpe, chat, content_sort, line_dedup, mixing, pii, simhash, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,3 +177,18 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.approximate_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@register
+def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_copies(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_content_sort"] = """
+WITH texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM texts
+"""
