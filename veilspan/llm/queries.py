@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import ann, bpe, chat, content_sort, line_dedup, mixing, phrases, pii, simhash, token_counts, topk, toxicity
+from veilspan.llm import ann, bpe, chat, content_sort, line_dedup, mixing, phrases, pii, runs, simhash, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,6 +179,46 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.approximate_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Of every tenth document by crc32 of its id, words from a place on become repeats of the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        place = F.sequence(F.lit(0).cast("long"), n - 1)
+        at = F.transform(place, lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))
+        return F.when(n > 0, F.array_join(F.transform(at, lambda i: F.get(w, i.cast("int"))), " ")).otherwise("")
+
+    # one element, so that the words are split once
+    tail = F.get(F.transform(F.array(words), repeated), F.lit(0))
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, tail).otherwise(F.col("text")).alias("text"))
+
+
+@register
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = runs.periodic_runs(with_periodic_tails(_table(spark, sf_dir, "documents")))
+
+    def stronger(best: Column, r: Column) -> Column:
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.withColumn("best", F.aggregate("runs", none, stronger)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 @register
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
