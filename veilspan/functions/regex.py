@@ -162,23 +162,28 @@ def java_regex(pattern: str) -> str:
 
 
 
-_PROBE = [chr(c) for c in range(1, 0x180)] + ["\u0660", "\u4e2d", "\u2028"]
+#: Characters by which classes are compared.
+PROBE = [chr(c) for c in range(1, 0x180)] + ["\u0660", "\u4e2d", "\u2028"]
 
 
-def _members(op, arg) -> frozenset[str] | None:
+def members(op, arg) -> frozenset[str] | None:
     """Probe characters a one-character element takes; None for any other element."""
     if op is C.LITERAL:
         return frozenset(chr(arg))
     if op is C.NOT_LITERAL:
-        return frozenset(_PROBE) - {chr(arg)}
+        return frozenset(PROBE) - {chr(arg)}
     if op is C.ANY:
-        return frozenset(_PROBE)
+        return frozenset(PROBE)
     if op is not C.IN:
         return None
     tests = {
         C.CATEGORY_DIGIT: str.isdecimal, C.CATEGORY_SPACE: str.isspace,
         C.CATEGORY_WORD: lambda c: c.isalnum() or c == "_",
     }
+    tests |= {
+        C.CATEGORY_NOT_DIGIT: lambda c: not c.isdecimal(), C.CATEGORY_NOT_SPACE: lambda c: not c.isspace(),
+        C.CATEGORY_NOT_WORD: lambda c: not (c.isalnum() or c == "_"),
+    }
     out: set[str] = set()
     negated = False
     for kind, value in arg:
@@ -187,67 +192,8 @@ def _members(op, arg) -> frozenset[str] | None:
         elif kind is C.LITERAL:
             out.add(chr(value))
         elif kind is C.RANGE:
-            out |= {c for c in _PROBE if value[0] <= ord(c) <= value[1]}
+            out |= {c for c in PROBE if value[0] <= ord(c) <= value[1]}
         else:
             test = tests.get(value)
-            out |= set(filter(test, _PROBE)) if test else set(_PROBE)
-    return frozenset(_PROBE) - out if negated else frozenset(out)
-
-
-def _reach(seq) -> tuple[frozenset[str], frozenset[str], bool]:
-    """Characters a match can begin with, those an unbounded repeat at its end takes, and whether it can be empty."""
-    first: frozenset[str] = frozenset()
-    tail: frozenset[str] = frozenset()
-    empty = True
-    for op, arg in seq:
-        if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
-            continue
-        here = _members(op, arg)
-        if here is not None:
-            f, t, e = here, frozenset(), False
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-            f, t, e = _reach(arg[2])
-            if arg[1] is C.MAXREPEAT:
-                t = t | f
-            e = e or arg[0] == 0
-        elif op is C.SUBPATTERN:
-            f, t, e = _reach(arg[3])
-        elif op is C.BRANCH:
-            parts = [_reach(b) for b in arg[1]]
-            f, t = (frozenset().union(*(p[i] for p in parts)) for i in (0, 1))
-            e = any(p[2] for p in parts)
-        else:  # atomic and possessive elements do not give back
-            f, t, e = frozenset(), frozenset(), True
-        if empty:
-            first |= f
-        tail = t | tail if e else t
-        empty = empty and e
-    return first, tail, empty
-
-
-def nests_repeats(pattern: str) -> bool:
-    """An unbounded repeat of a group that ends in an unbounded repeat over characters it can begin with.
-
-    Each such character can go to either repeat, so a backtracking engine tries
-    exponentially many ways: ``(x+x+)+y``, ``(a*)*b``, ``(\\w+\\s?)+!``.
-    """
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = _parser.parse(re.sub(r"\\[pP](?:\{\w+\}|\w)", r"\\w", to_java(pattern).replace("(?<secret>", "(?P<secret>")))
-    except (UnsupportedPattern, re.error, OverflowError, RecursionError):
-        return False  # other checks speak about these
-
-    def search(seq) -> bool:
-        for op, arg in seq:
-            if op in (C.MAX_REPEAT, C.MIN_REPEAT):
-                first, tail, _ = _reach(arg[2])
-                if arg[1] is C.MAXREPEAT and first & tail or search(arg[2]):
-                    return True
-            elif op is C.SUBPATTERN and search(arg[3]):
-                return True
-            elif op is C.BRANCH and any(map(search, arg[1])):
-                return True
-        return False
-
-    return search(tree)
+            out |= set(filter(test, PROBE)) if test else set(PROBE)
+    return frozenset(PROBE) - out if negated else frozenset(out)

@@ -33,11 +33,18 @@ def filter_custom(custom: DataFrame, disabled: Iterable[str]) -> DataFrame:
 
 
 def merge_rules(builtin: DataFrame, custom: DataFrame) -> DataFrame:
-    """Built-in rules first, then user rules, renumbered in that order (SEL3)."""
+    """Built-in rules first, then user rules, renumbered in that order (SEL3).
+
+    User rules are in the order of ``pos`` (file and line); a table without it
+    has no order of its own, and its rules are then ordered by their fields.
+    """
     spark = builtin.sparkSession
-    rows = custom.select("name", "category", "severity", "regex").limit(MAX_RULES + 1).collect()
+    fields = ["name", "category", "severity", "regex"]
+    order = ["pos"] if "pos" in custom.columns else fields
+    rows = custom.select(*fields, *[c for c in order if c not in fields]).limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
+    rows = [r[:4] for r in sorted(rows, key=lambda r: tuple(r[c] or 0 if c == "pos" else r[c] or "" for c in order))]
     last = builtin.agg(F.max("ord")).first()[0]
     base = 0 if last is None else last + 1
     extra = spark.createDataFrame(

@@ -33,7 +33,7 @@ from veilspan.operators.select import active_rules
 from veilspan.plans.guards import Guard
 from veilspan.schemas import FINDING
 from veilspan.sources.documents import size_gate
-from veilspan.sources.rules import MATCHES_EMPTY, collect_rules, compile_error
+from veilspan.sources.rules import MATCHES_EMPTY, collect_rules, compile_errors
 
 SPAN = "struct<start:int,end:int,name:string>"
 TOKENS = "struct<start:int,end:int,value:string,score:double>"
@@ -67,7 +67,8 @@ def compile_scanner(
     rules = tuple(compile_rule(i, r["regex"], r["validator"]) for i, r in enumerate(rows))
     n = len(rules)
     # a user's allow-list pattern that does not compile is left out
-    usable = tuple(p for p in cfg.allowlist_regex if compile_error(spark, p) in (None, MATCHES_EMPTY))
+    errors = compile_errors(spark, cfg.allowlist_regex)
+    usable = tuple(p for p in cfg.allowlist_regex if errors[p] in (None, MATCHES_EMPTY))
     allow = tuple(
         compile_rule(n + i, p) for i, p in enumerate(allowlist.allow_patterns(usable))
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan import schemas
@@ -25,12 +28,24 @@ def read_redaction_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_log(raw)
 
 
-def append_redaction_log(counts: DataFrame, path: str) -> None:
-    """Append (ts, count) rows with a non-zero count (SNK3)."""
-    rows = counts.filter("count > 0").select(
+def _lines(counts: DataFrame) -> DataFrame:
+    return counts.filter("count > 0").select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("ts"), "count"
     )
-    rows.write.mode("append").json(path)
+
+
+def append_redaction_log(counts: DataFrame, path: str) -> None:
+    """Append (ts, count) rows with a non-zero count (SNK3)."""
+    _lines(counts).write.mode("append").json(path)
+
+
+def write_epoch(counts: DataFrame, path: str, query: str, epoch: int) -> None:
+    """The log rows of one micro-batch of a stream, exactly once (SNK3, STR5).
+
+    Each (query, epoch) has a folder of its own, which a repeated batch writes
+    again; ``read_redaction_log(path)`` reads all of them.
+    """
+    _lines(counts).write.mode("overwrite").json(f"{path}/query={query}/epoch={epoch}")
 
 
 def retain_newest_half(log: DataFrame, size: Column | int, pos: str = "pos", limit: int = LOG_LIMIT) -> DataFrame:
@@ -49,6 +64,77 @@ def retain_newest_half(log: DataFrame, size: Column | int, pos: str = "pos", lim
     return kept.select(*log.columns)
 
 
+# ---- a log that is rewritten when it gets large --------------------------
+
+MANIFEST = "_manifest"
+_ENTRY = "version bigint, folder string"
+
+
+def current_folder(spark: SparkSession, path: str) -> str:
+    """The folder that the newest entry of the manifest names; a log without a manifest has its first folder."""
+    try:
+        entries = spark.read.schema(_ENTRY).json(f"{path}/{MANIFEST}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return f"{path}/log-0"
+    newest = entries.agg(F.max(F.struct("version", "folder")).alias("m")).first()["m"]
+    return f"{path}/{newest['folder'] if newest else 'log-0'}"
+
+
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    """All lines of a log as text, with the number of their split and their place in it.
+
+    Splits are in the order of their files (time of writing, then name) and of
+    their first byte; there are as many of them as there are input splits.
+    """
+    raw = spark.read.text(folder).select(
+        "value",
+        F.struct(
+            F.col("_metadata.file_modification_time").alias("at"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("byte"),
+        ).alias("split"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    splits = raw.select("split").distinct()
+    numbered = splits.select("split", F.row_number().over(Window.orderBy("split")).alias("split_no"))
+    return raw.join(numbered, "split").select("value", "split_no", "line")
+
+
+def rewrite_log(spark: SparkSession, path: str, limit: int = LOG_LIMIT) -> str:
+    """Drop the oldest half of a written log, by position, once its files hold over ``limit`` bytes (SNK4).
+
+    Sizes come from the files' metadata.  The newer half is written to a new
+    folder, and an entry in the manifest makes it the log: readers see the old
+    one or the new one.  Lines stay as they are.  Returns the current folder;
+    the old one is left for the readers that are in it.
+    """
+    folder = current_folder(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if (files.load(folder).agg(F.sum("length")).first()[0] or 0) <= limit:
+        return folder
+    lines = _placed(spark, folder)
+    ranked = running_sum(lines, [], F.col("split_no"), [F.col("line")], F.lit(1).cast("bigint"), "rank")
+    drop = lines.count() // 2
+    new = f"log-{uuid.uuid4().hex}"
+    kept = ranked.filter(F.col("rank") > drop)
+    # the order of lines is that of the files' names
+    kept.repartitionByRange("rank").sortWithinPartitions("rank").select("value").write.option(
+        "compression", "none"
+    ).text(f"{path}/{new}")
+    entries = spark.createDataFrame([(_next_version(spark, path), new)], _ENTRY)
+    entries.write.mode("append").json(f"{path}/{MANIFEST}")
+    return f"{path}/{new}"
+
+
+def _next_version(spark: SparkSession, path: str) -> int:
+    if current_folder(spark, path).endswith("/log-0"):
+        return 1
+    newest = spark.read.schema(_ENTRY).json(f"{path}/{MANIFEST}").agg(F.max("version")).first()[0]
+    return newest + 1
+
+
 def age_buckets(log: DataFrame, now: str) -> DataFrame:
     """Counts by age with exclusive bounds; future rows only in the total (AGG4)."""
     at = F.to_timestamp(F.lit(now))

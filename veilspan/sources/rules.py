@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
 from veilspan.functions.build import lit
 from veilspan import schemas
 from veilspan.functions import regex as rx
+from veilspan.functions.ambiguity import pattern_problem
 from veilspan.sources import fixed_values
 from veilspan.sources.fixed_rules import RULES
 
 MAX_REGEX_BYTES = 2000
 MAX_RULES = 10_000  # a catalog is compiled into the plan, so its size is checked
 MAX_REPEAT = 65_536
+NOT_COMPILED = "pattern does not compile"
 MATCHES_EMPTY = "pattern matches the empty string"
 
 CUSTOM_BUCKET = "custom"
@@ -77,53 +84,91 @@ def parse_severity(text: Column) -> Column:
     )
 
 
-def compile_error(spark: SparkSession, pattern: str) -> str | None:
-    """One-line reason a pattern cannot be used, or None."""
-    try:
-        java, replacement = rx.locating_regex(pattern)
-    except rx.UnsupportedPattern as e:
-        return str(e)
-    try:
-        probe = spark.range(1).select(
-            F.regexp_count(lit(""), lit(java)).alias("empty_hits"),
-            F.regexp_replace(lit(""), lit(java), lit(replacement)).alias("r"),
+def compile_errors(spark: SparkSession, patterns: Iterable[str]) -> dict[str, str | None]:
+    """For each pattern a one-line reason why it cannot be used, or None.
+
+    All patterns are compiled by one job; only where one of them fails, halves
+    are tried until it is found.
+    """
+    out: dict[str, str | None] = {}
+    ready: list[tuple[str, str, str]] = []
+    for pattern in dict.fromkeys(patterns):
+        try:
+            ready.append((pattern, *rx.locating_regex(pattern)))
+        except rx.UnsupportedPattern as e:
+            out[pattern] = str(e)
+
+    def probe(rows: list[tuple[str, str, str]]) -> None:
+        table = spark.createDataFrame(rows, "pattern string, java string, replacement string")
+        tried = table.select(
+            "pattern",
+            F.regexp_count(lit(""), F.col("java")).alias("empty_hits"),
+            # the framing must refer to groups that are there; what it makes of an empty text does not matter
+            F.length(F.regexp_replace(lit(""), F.col("java"), F.col("replacement"))).alias("framed"),
         )
-        if probe.first()["empty_hits"]:
-            return MATCHES_EMPTY
-    except Exception as e:  # the engine's own message, first line only
-        lines = [x.strip() for x in str(e).splitlines() if x.strip()]
-        return lines[0] if lines else "pattern does not compile"
-    return None
+        try:
+            for r in tried.collect():
+                out[r["pattern"]] = MATCHES_EMPTY if r["empty_hits"] else None
+        except Exception as e:
+            if len(rows) > 1:
+                half = len(rows) // 2
+                probe(rows[:half])
+                probe(rows[half:])
+                return
+            lines = [x.strip() for x in str(e).splitlines() if x.strip()]
+            out[rows[0][0]] = ": ".join([NOT_COMPILED, *lines[:1]])
+
+    if ready:
+        probe(ready)
+    return out
+
+
+def _problems(rules: DataFrame) -> DataFrame:
+    """Add ``reason``: what the text of a rule's pattern tells, found in the tasks that hold the rules."""
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for p in batch.column("regex").to_pylist():
+                if p is None:
+                    found.append(None)  # a field is missing
+                elif p == "":
+                    found.append("pattern is empty")
+                elif len(p.encode()) > MAX_REGEX_BYTES:
+                    found.append(f"pattern has over {MAX_REGEX_BYTES} bytes")
+                elif any(int(n) > MAX_REPEAT for n in re.findall(r"\{(\d+)", p)):
+                    found.append("repetition count too large")
+                else:
+                    found.append(pattern_problem(p))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "reason"]
+            )
+
+    schema = T.StructType([*rules.schema.fields, T.StructField("reason", T.StringType())])
+    missing = F.greatest(*[F.col(c).isNull() for c in ("name", "category", "severity", "regex")])
+    return rules.mapInArrow(checked, schema).withColumn(
+        "reason", F.when(missing, "missing field").otherwise(F.col("reason"))
+    )
 
 
 def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a small rule table into (good, rejected with reason) (SEL7).
 
-    Length limits are column expressions; only compiling needs the driver.
+    The size and the ambiguity of each pattern are read off its automaton in
+    one job, and all patterns that are left are compiled in a second one.  A
+    column ``pos`` that tells the rules' order is kept.
     """
     spark = rules.sparkSession
-    rows = rules.select("name", "category", "severity", "regex").limit(MAX_RULES + 1).collect()
+    columns = ["name", "category", "severity", "regex", *(["pos"] if "pos" in rules.columns else [])]
+    rows = _problems(rules.select(*columns)).limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
-    checked = []
-    for r in rows:
-        pattern = r["regex"]
-        if r["name"] is None or r["category"] is None or r["severity"] is None or pattern is None:
-            reason = "missing field"
-        elif pattern == "":
-            reason = "pattern is empty"
-        elif len(pattern.encode()) > MAX_REGEX_BYTES:
-            reason = f"pattern has over {MAX_REGEX_BYTES} bytes"
-        elif any(int(n) > MAX_REPEAT for n in rx.re.findall(r"\{(\d+)", pattern)):
-            reason = "repetition count too large"
-        elif rx.nests_repeats(pattern):
-            reason = "a repeated group repeats again over the same characters: its time has no bound"
-        else:
-            reason = compile_error(spark, pattern)
-        checked.append((*r, reason))
-    table = spark.createDataFrame(
-        checked, "name string, category string, severity string, regex string, reason string"
-    )
+    errors = compile_errors(spark, [r["regex"] for r in rows if r["reason"] is None])
+    checked = [(*(r[c] for c in columns), r["reason"] or errors[r["regex"]]) for r in rows]
+    schema = T.StructType([*rules.select(*columns).schema.fields, T.StructField("reason", T.StringType())])
+    for f in schema.fields:
+        f.nullable = True
+    table = spark.createDataFrame(checked, schema)
     good = table.filter("reason is null").drop("reason")
     rejected = table.filter("reason is not null").select(
         "name",
@@ -137,31 +182,48 @@ def validate_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
 def load_custom_patterns(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Read user rules from JSON lines: (good rules, errors) (SRC4).
 
-    A missing file gives no rules and no error; a file with a line that does
-    not parse gives no rules and one error.
+    Good rules carry ``pos``, their order by file and line.  A missing file
+    gives no rules and no error; a file with a line that does not parse gives
+    no rules and one error.  Any other failure to read is raised.
     """
-    empty = spark.createDataFrame([], schemas.CUSTOM_RULE)
+    numbered = T.StructType([*schemas.CUSTOM_RULE.fields, T.StructField("pos", T.LongType(), True)])
+    empty = spark.createDataFrame([], numbered)
     no_errors = spark.createDataFrame([], "name string, error string")
-    schema = schemas.CUSTOM_RULE.add("_corrupt_record", "string")
+    schema = T.StructType([*schemas.CUSTOM_RULE.fields, T.StructField("_corrupt_record", T.StringType(), True)])
     try:
         raw = (
             spark.read.schema(schema)
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .json(path)
         )
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty, no_errors
-    rows = raw.limit(MAX_RULES + 1).collect()
+    # lines of a file follow each other within a block, blocks by where they start
+    placed = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    rows = placed.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     if any(r["_corrupt_record"] is not None for r in rows):
         error = [(None, f"{path} parse error")]
         return empty, spark.createDataFrame(error, "name string, error string")
     if not rows:
         return empty, no_errors
-    table = spark.createDataFrame([tuple(r)[:4] for r in rows], schemas.CUSTOM_RULE)
-    return validate_rules(table)
+    rows.sort(key=lambda r: (r["_file"], r["_block"], r["_line"]))
+    fields = schemas.CUSTOM_RULE.names
+    return validate_rules(spark.createDataFrame([(*(r[c] for c in fields), i) for i, r in enumerate(rows)], numbered))
 
 
 def save_custom_patterns(rules: DataFrame, path: str) -> None:
+    """Write rules as JSON lines, in the order of ``pos`` where they have one."""
+    if "pos" in rules.columns:
+        rules = rules.orderBy("pos").coalesce(1)
     rules.select("name", "category", "severity", "regex").write.mode("overwrite").json(path)
 
 

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from veilspan import ScanConfig
 from veilspan.functions import text as X
 from veilspan.functions import validators as V
-from veilspan.functions.spans import locate
 from veilspan.operators import allowlist, deep, entropy, patterns, select, softwrap, text_tables
 from veilspan.plans import scan as scan_plan
 from veilspan.sources import corpus, documents, fixed_deep, fixed_values, ocr, redaction_log, rules
 from workload import base
-from workload.base import PLANTED_SQL, hits_sql, planted, quote, register, rule_rows, span_sql, table
+from workload.base import PLANTED_SQL, hits_sql, planted, quote, register, rule_rows, shared_folder, span_sql, table
 from workload.checks import CHECK_SQL
 
 # ---- sources and gates ---------------------------------------------------
@@ -843,7 +839,7 @@ def udf3(spark, sf):
 def snk1(spark, sf):
     """Written by category in the shared folder and read again."""
     found = patterns.match_patterns(planted(spark, sf), base.some_rules(spark, _SOME), gate=True)
-    path = _folder(spark, "findings")
+    path = shared_folder(spark, "findings")
     documents.write_findings(found.withColumn("source", F.lit("pattern")), path)
     back = spark.read.parquet(path)
     if "value" in back.columns:
@@ -851,14 +847,6 @@ def snk1(spark, sf):
     return back.groupBy("category", "doc_id").agg(F.count("*").alias("n"))
 
 
-def _folder(spark, name: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sinks-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-__all__ = ["locate"]
-
-
 # ---- the prefilter against rules that could trip it ----------------------
 
 # (rule, the same for DuckDB, a tail that holds a match), by doc_id
