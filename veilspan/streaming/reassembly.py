@@ -1,19 +1,21 @@
 """Payloads between a start and an end marker, delivered in chunks (STR2, STR3).
 
-Every byte goes on: text outside the markers, the markers, and payloads that
-are open or above the limit pass through as they are; the other payloads go
-through a redactor first.
+Every byte goes on: text outside the markers, the markers (unless unframed),
+and payloads that are open or above the limit pass through as they are; the
+other payloads go through a redactor first.  A chunk that is delivered twice
+counts once.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from veilspan.functions.spans import locate
 from veilspan.functions.windows import BLOCK_ROWS, running_max, running_sum
@@ -25,6 +27,11 @@ _MARK = "\x1b\\[20[01]~"
 _KEEP = len(START) - 1
 
 
+def _once(chunks: DataFrame) -> DataFrame:
+    """Each (session, seq) once; sources that deliver at least once repeat chunks."""
+    return chunks.groupBy("session", "seq").agg(F.min(F.coalesce("chunk", F.lit(""))).alias("chunk"))
+
+
 def _bounds(chunks: DataFrame) -> DataFrame:
     """Chunks with the byte offset of their first byte in the session."""
     block = F.floor(F.col("seq") / BLOCK_ROWS)
@@ -111,16 +118,20 @@ def payload_ranges(chunks: DataFrame) -> DataFrame:
     )
 
 
-def _pieces(placed: DataFrame, ranges: DataFrame) -> DataFrame:
+def _pieces(placed: DataFrame, ranges: DataFrame, framed: bool = True) -> DataFrame:
     """(session, segment, seq, piece): each chunk cut where payloads begin and end.
 
     Segment 0 is the text before the first payload; payload n is segment
     2n - 1 and the text after it, from its end marker on, is segment 2n.
+    Unframed, the markers are cut out as well and left away.
     Chunks and cuts are laid along the bytes of the session, so that a running
     count tells each cut its chunk and each chunk its segment; chunks and
     payloads are never paired.
     """
-    cuts = ranges.select("session", F.explode(F.array("start", "end")).alias("at")).filter("at is not null")
+    bounds = [F.col("start"), F.col("end")]
+    if not framed:
+        bounds = [bounds[0] - len(START), *bounds, bounds[1] + len(END)]
+    cuts = ranges.select("session", F.explode(F.array(*bounds)).alias("at")).filter("at is not null")
     along = placed.select(
         "session", F.col("_from").alias("at"), F.col("seq"), F.lit(1).alias("_chunk")
     ).unionByName(
@@ -144,13 +155,19 @@ def _pieces(placed: DataFrame, ranges: DataFrame) -> DataFrame:
     )
     size = (F.element_at("_b", F.col("_i") + 2) - F.col("_a")).cast("int")
     piece = F.substring(F.col("chunk").cast("binary"), (F.col("_a") - F.col("_from")).cast("int") + 1, size)
-    return each.filter(size > 0).select(
-        "session", (F.col("_segment") + F.col("_i")).alias("segment"), "seq", piece.cast("string").alias("piece")
+    segment = F.col("_segment") + F.col("_i")
+    cut_up = each.filter(size > 0)
+    if not framed:
+        # text, start marker, payload, end marker
+        cut_up = cut_up.filter(segment % 2 == 0)
+        segment = segment.cast("bigint") / 2
+    return cut_up.select(
+        "session", segment.cast("bigint").alias("segment"), "seq", piece.cast("string").alias("piece")
     )
 
 
 def redact_payloads(
-    chunks: DataFrame, redact: Callable[[Column], Column], limit: int = LIMIT
+    chunks: DataFrame, redact: Callable[[Column], Column], limit: int = LIMIT, framed: bool = True
 ) -> DataFrame:
     """(session, segment, seq, kind, text): the whole stream again, its payloads redacted (STR2, STR3, UDF5).
 
@@ -161,7 +178,7 @@ def redact_payloads(
     row a chunk.  The texts of a session by (segment, seq) are its bytes, but
     for what ``redact`` changed; nothing is held back or cut.
     """
-    placed = _bounds(chunks)
+    placed = _bounds(_once(chunks))
     ranges = payload_ranges(placed)
     size = F.col("end") - F.col("start")
     kinds = ranges.select(
@@ -169,7 +186,7 @@ def redact_payloads(
         (2 * F.col("payload_no") - 1).alias("segment"),
         F.when(size <= limit, "payload").when(size > limit, "over").otherwise("open").alias("kind"),
     )
-    pieces = _pieces(placed, ranges).join(kinds, ["session", "segment"], "left")
+    pieces = _pieces(placed, ranges, framed).join(kinds, ["session", "segment"], "left")
     whole = (
         pieces.filter("kind = 'payload'")
         .groupBy("session", "segment")
@@ -189,7 +206,7 @@ def reassemble(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     Only payloads within the limit are put together in one value; the text of a
     larger one is in ``redact_payloads``, chunk by chunk, and NULL here.
     """
-    placed = _bounds(chunks)
+    placed = _bounds(_once(chunks))
     ranges = payload_ranges(placed)
     found = ranges.filter("end is not null").select(
         "session",
@@ -214,135 +231,285 @@ def reassemble(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
+def overflows(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(session, payload_no, n_bytes) of payloads above ``limit``, finished or not: what the flag of a stream reports (STR3)."""
+    placed = _bounds(_once(chunks))
+    ends = placed.groupBy("session").agg(F.max("_stop").alias("_all"))
+    ranges = payload_ranges(placed).join(ends, "session")
+    size = F.coalesce("end", "_all") - F.col("start")
+    return ranges.select("session", "payload_no", size.alias("n_bytes")).filter(F.col("n_bytes") > limit)
+
+
 class _Session:
-    """What a session holds between micro-batches: an unfinished payload or part of a marker, and chunks come early."""
+    """What a session holds between micro-batches: an unfinished payload or part of a marker, and chunks come early.
 
-    def __init__(self, kept: tuple | None, limit: int, redact: Callable[[str], str]):
-        self.inside, self.number, self.over, self.held, self.next_seq, waiting = kept or (
-            False, 0, False, "", -1, "[]"
+    ``unsure`` says what becomes of text whose place between the markers cannot
+    be known because a chunk before it is missing, and of chunks that come
+    after their place was given up: ``pass`` or ``withhold``.
+    """
+
+    def __init__(
+        self,
+        kept: tuple | None,
+        limit: int,
+        redact: Callable[[str], str],
+        first_seq: int = 0,
+        unsure: str = "pass",
+        framed: bool = True,
+        early_limit: int | None = None,
+    ):
+        self.inside, self.number, self.over, self.held, self.next_seq, self.torn, waiting, gaps = kept or (
+            False, 0, False, "", first_seq, False, "[]", "[]"
         )
         self.waiting: dict[int, str] = {int(k): v for k, v in json.loads(waiting)}
-        self.limit, self.redact = limit, redact
+        self.gaps: list[list[int]] = json.loads(gaps)
+        self.limit, self.redact, self.framed = limit, redact, framed
+        self.early_limit = limit if early_limit is None else early_limit
+        self.withhold = unsure == "withhold"
+        self.overflowed: list[int] = []
         self.out: list[tuple[int, str, str]] = []
 
     def kept(self) -> tuple:
-        waiting = json.dumps(sorted(self.waiting.items()))
-        return self.inside, self.number, self.over, self.held, self.next_seq, waiting
+        waiting, gaps = json.dumps(sorted(self.waiting.items())), json.dumps(self.gaps)
+        return self.inside, self.number, self.over, self.held, self.next_seq, self.torn, waiting, gaps
 
     def _send(self, kind: str, text: str) -> None:
         if text:
             self.out.append((self.number, kind, text))
 
+    def take_overflow(self) -> list[int]:
+        """Payloads that went above the limit since the last call; each is told once."""
+        told, self.overflowed = self.overflowed, []
+        return told
+
+    def _is_late(self, seq: int) -> bool:
+        """Whether the place of a chunk was given up; asked once, a repeat of it is no longer late."""
+        for gap in self.gaps:
+            if gap[0] <= seq <= gap[1]:
+                self.gaps.remove(gap)
+                self.gaps += [g for g in ([gap[0], seq - 1], [seq + 1, gap[1]]) if g[0] <= g[1]]
+                return True
+        return False
+
     def take(self, rows: list[tuple[int, str]]) -> None:
-        """Read chunks in the order of ``seq``; those after a gap wait for it, or until they exceed the limit."""
+        """Read chunks in the order of ``seq``; those after a gap wait for it, or until they exceed ``early_limit``.
+
+        A chunk that was read or waits already is a repeat and is dropped.
+        """
         late = ""
         for seq, chunk in sorted(rows):
-            if 0 <= seq < self.next_seq:
-                late += chunk  # its place has passed: it goes on by itself
-            else:
-                self.waiting[seq] = self.waiting.get(seq, "") + chunk
-        self._send("late", late)
-        if self.next_seq < 0 and self.waiting:
-            self.next_seq = min(self.waiting)
+            if seq >= self.next_seq:
+                self.waiting.setdefault(seq, chunk)
+            elif self._is_late(seq):
+                late += chunk  # its place was given up: it goes on by itself
+        self._send("withheld" if self.withhold else "late", late)
         ready = []
         while self.next_seq in self.waiting:
             ready.append(self.waiting.pop(self.next_seq))
             self.next_seq += 1
-        if sum(map(len, self.waiting.values())) > self.limit:
-            ready += self._skip_gaps()
         self._read("".join(ready))
+        if sum(map(len, self.waiting.values())) > self.early_limit:
+            self._skip_gaps()
+
+    def _skip_gaps(self) -> None:
+        for seq, chunk in sorted(self.waiting.items()):
+            if seq > self.next_seq:
+                self.gaps.append([self.next_seq, seq - 1])
+                self._tear()
+            self._read(chunk)
+            self.next_seq = seq + 1
+        self.waiting = {}
+
+    def _tear(self) -> None:
+        """Text is missing here: until the next marker nobody knows whether the rest is inside a payload."""
+        if not self.withhold:
+            return
+        if not self.inside or self.over:
+            self._send("over" if self.inside else "withheld" if self.torn else "outside", self.held)
+            self.held = ""
+        self.torn = True
 
-    def _skip_gaps(self) -> list[str]:
-        rest = [chunk for _, chunk in sorted(self.waiting.items())]
-        if rest:
-            self.next_seq = max(self.waiting) + 1
-            self.waiting = {}
-        return rest
+    def _mark(self, mark: str) -> None:
+        if self.framed:
+            self._send("outside", mark)
 
     def _read(self, new: str) -> None:
         text, at = self.held + new, 0
         while True:
-            mark = END if self.inside else START
-            found = text.find(mark, at)
-            if found < 0:
+            marks = (START, END) if self.torn and not self.inside else (END,) if self.inside else (START,)
+            places = [(p, m) for m in marks if (p := text.find(m, at)) >= 0]
+            if not places:
                 break
+            found, mark = min(places)
             body = text[at:found]
-            if not self.inside:
-                self._send("outside", body + START)
-                self.number += 1
+            if self.torn:
+                self._send("withheld", body)
+            elif not self.inside:
+                self._send("outside", body)
+            elif self.over or len(body.encode()) > self.limit:
+                if not self.over:
+                    self.overflowed.append(self.number)
+                self._send("over", body)
             else:
-                if self.over or len(body.encode()) > self.limit:
-                    self._send("over", body)
-                else:
-                    self._send("payload", self.redact(body))
-                self._send("outside", END)
-            self.inside, self.over, at = not self.inside, False, found + len(mark)
+                self._send("payload", self.redact(body))
+            self._mark(mark)
+            self.inside = mark == START
+            self.number += self.inside
+            self.over = self.torn = False
+            at = found + len(mark)
         rest = text[at:]
-        if self.inside and not self.over and len(rest.encode()) > self.limit + _KEEP:
+        if self.inside and not (self.over or self.torn) and len(rest.encode()) > self.limit + _KEEP:
             self.over = True
-        if self.inside and not self.over:
+            self.overflowed.append(self.number)
+        if self.inside and not (self.over or self.torn):
             self.held = rest
             return
         # what could be the beginning of a marker waits for its end
-        mark = END if self.inside else START
-        keep = max((n for n in range(1, len(mark)) if rest.endswith(mark[:n])), default=0)
+        keep = max((n for m in marks for n in range(1, len(m)) if rest.endswith(m[:n])), default=0)
         cut = len(rest) - keep
-        self._send("over" if self.inside else "outside", rest[:cut])
+        self._send("withheld" if self.torn else "over" if self.inside else "outside", rest[:cut])
         self.held = rest[cut:]
 
     def flush(self) -> None:
-        """Nothing more is coming: everything held goes on as it is."""
-        self._read("".join(self._skip_gaps()))
-        self._send("open" if self.inside else "outside", self.held)
+        """Nothing more is coming: gaps are given up and what is held goes on."""
+        self._skip_gaps()
+        self._send("withheld" if self.torn else "open" if self.inside else "outside", self.held)
         self.held = ""
 
 
+OUT = "session bigint, payload_no bigint, piece_no bigint, kind string, text string, withheld string"
+
+
+class Reassembler(StatefulProcessor):
+    """A session's state: a row of flags, the open payload in pieces, chunks come early by number, gaps given up."""
+
+    def __init__(self, idle_ms: int, *options: Any):
+        self.idle_ms, self.options = idle_ms, options  # of each ``_Session``
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flags = handle.getValueState(
+            "flags", "inside boolean, number bigint, over boolean, next_seq bigint, torn boolean, gaps string, timer bigint"
+        )
+        self.held = handle.getListState("held", "piece string")
+        self.early = handle.getMapState("early", "seq bigint", "chunk string")
+
+    def _load(self) -> tuple[_Session, int | None]:
+        if not self.flags.exists():
+            return _Session(None, *self.options), None
+        inside, number, over, next_seq, torn, gaps, timer = self.flags.get()
+        held = "".join(piece for (piece,) in self.held.get())
+        kept = (bool(inside), int(number), bool(over), held, int(next_seq), bool(torn), "[]", gaps)
+        session = _Session(kept, *self.options)
+        session.waiting = {int(seq): chunk for (seq,), (chunk,) in self.early.iterator()}
+        return session, int(timer)
+
+    def _store(self, session: _Session, before: _Session, timer: int) -> None:
+        # an open payload only grows: what came on is added, not the whole written again
+        if before.held and session.held.startswith(before.held):
+            if len(session.held) > len(before.held):
+                self.held.appendValue((session.held[len(before.held) :],))
+        else:
+            self.held.clear()
+            if session.held:
+                self.held.appendValue((session.held,))
+        for seq in before.waiting.keys() - session.waiting.keys():
+            self.early.removeKey((seq,))
+        for seq in session.waiting.keys() - before.waiting.keys():
+            self.early.updateValue((seq,), (session.waiting[seq],))
+        s = session
+        self.flags.update((s.inside, s.number, s.over, s.next_seq, s.torn, json.dumps(s.gaps), timer))
+
+    @staticmethod
+    def _rows(key: Any, session: _Session) -> pd.DataFrame:
+        rows = [
+            (key[0], n, i, kind, None if kind == "withheld" else text, text if kind == "withheld" else None)
+            for i, (n, kind, text) in enumerate(session.out)
+        ]
+        rows += [(key[0], n, len(rows) + i, "overflow", None, None) for i, n in enumerate(session.take_overflow())]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        session, timer = self._load()
+        before = _Session(session.kept(), *self.options)
+        last = timerValues.getCurrentWatermarkInMs()
+        new: list[tuple[int, str]] = []
+        for data in rows:
+            new += [(int(q), c if isinstance(c, str) else "") for q, c in zip(data["seq"], data["chunk"])]
+            last = max(last, int(data["ts"].max().timestamp() * 1000))
+        session.take(new)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = last + self.idle_ms
+        self.handle.registerTimer(timer)
+        self._store(session, before, timer)
+        yield self._rows(key, session)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        session, _ = self._load()
+        session.flush()
+        for state in (self.flags, self.held, self.early):
+            state.clear()
+        yield self._rows(key, session)
+
+    def close(self) -> None:
+        pass
+
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def redact_payload_stream(
     stream: DataFrame,
     redact: Callable[[str], str],
     limit: int = LIMIT,
     idle: str = "10 minutes",
+    first_seq: int = 0,
+    unsure: str = "withhold",
+    framed: bool = True,
+    early_limit: int = LIMIT,
 ) -> DataFrame:
-    """``redact_payloads`` on a stream of ``session, seq, ts, chunk``: (session, payload_no, piece_no, kind, text).
-
-    Chunks are read in the order of ``seq`` from the first one seen; a session
-    keeps one payload within ``limit`` and the chunks after a gap.  A session
-    idle for ``idle`` of event time sends on all that it holds, as do chunks
-    whose gap is not filled before they exceed the limit; a chunk that comes
-    after its place has passed goes on as ``late``.  ``redact`` maps one text.
+    """``redact_payloads`` on a stream of ``session, seq, ts, chunk``: (session, payload_no, piece_no, kind, text, withheld).
+
+    Chunks are read in the order of ``seq`` from ``first_seq`` on, in whatever
+    order and however often they come; a session keeps one payload within
+    ``limit`` and the chunks after a gap.  A gap is given up when the chunks
+    after it exceed ``early_limit`` characters, or when the session was idle for ``idle`` of
+    event time; then all that is held goes on and the state is dropped.
+
+    What a given-up chunk may have held, a start marker or the middle of a
+    payload, is not known.  With ``unsure='withhold'`` the text from there to
+    the next marker, and a payload with a gap in it, are of kind ``withheld``
+    and stand in that column alone, as do chunks that come after they were
+    given up; with ``unsure='pass'`` they go on, the latter as ``late``.
+
+    A payload that goes above the limit gives one row of kind ``overflow``,
+    when it does (STR3).  ``framed=False`` leaves the markers away.  ``redact``
+    maps one text.  State is kept in RocksDB; the session's provider is set to it.
     """
+    if unsure not in ("withhold", "pass"):
+        raise ValueError(f"unknown policy {unsure!r}")
+    stream.sparkSession.conf.set(_PROVIDER, _ROCKS)
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        session = _Session(state.get if state.exists else None, limit, redact)
-        if state.hasTimedOut:
-            session.flush()
-            state.remove()
-        else:
-            data = pd.concat(list(batches))
-            session.take([(int(q), c) for q, c in zip(data["seq"], data["chunk"]) if c])
-            state.update(session.kept())
-            last = int(data["ts"].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        rows = [(key[0], n, i, kind, text) for i, (n, kind, text) in enumerate(session.out)]
-        yield pd.DataFrame(rows, columns=["session", "payload_no", "piece_no", "kind", "text"])
-
     return (
-        stream.withWatermark("ts", idle)
+        stream.select("session", "seq", "ts", "chunk")
+        .withWatermark("ts", idle)
         .groupBy("session")
-        .applyInPandasWithState(
-            update,
-            "session bigint, payload_no bigint, piece_no bigint, kind string, text string",
-            "inside boolean, number bigint, over boolean, held string, next_seq bigint, waiting string",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
+        .transformWithStateInPandas(
+            Reassembler(idle_ms, limit, redact, first_seq, unsure, framed, early_limit), OUT, "append", "eventTime"
         )
     )
 
 
-def reassemble_stream(stream: DataFrame, limit: int = LIMIT, idle: str = "10 minutes") -> DataFrame:
+def overflow_events(redacted: DataFrame) -> DataFrame:
+    """(session, payload_no): the side table of payloads above the limit, of what ``redact_payload_stream`` gives (STR3)."""
+    return redacted.filter("kind = 'overflow'").select("session", "payload_no")
+
+
+def reassemble_stream(stream: DataFrame, limit: int = LIMIT, idle: str = "10 minutes", first_seq: int = 0) -> DataFrame:
     """(session, payload_no, overflowed, payload) of finished payloads on a stream, and pieces of those above the limit."""
-    out = redact_payload_stream(stream, lambda text: text, limit, idle)
+    out = redact_payload_stream(stream, lambda text: text, limit, idle, first_seq)
     return out.filter("kind in ('payload', 'over')").select(
         "session", "payload_no", (F.col("kind") == "over").alias("overflowed"), F.col("text").alias("payload")
     )
