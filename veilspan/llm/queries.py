@@ -237,14 +237,14 @@ counts AS (
   FROM placed CROSS JOIN (VALUES (1), (2), (3)) AS sizes(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
 totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
 candidates AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND a >= 10),
-cuts AS (SELECT *, unnest(generate_series(1, k - 1)) AS at FROM candidates),
+cuts AS (SELECT *, unnest(generate_series(1, k - 1)) AS k1 FROM candidates),
 scored AS (
-  SELECT c.lang, c.phrase, c.k, c.a, c.at, l.a AS l, r.a AS r,
+  SELECT c.lang, c.phrase, c.k, c.a, c.k1, l.a AS l, r.a AS r,
     (1000000::HUGEINT * c.a * c.a) // (l.a::HUGEINT * r.a) AS score
-  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.at], ' ')
-    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.at + 1:], ' ')),
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k1], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k1 + 1:], ' ')),
 weakest AS (
-  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k1) = 1),
 longer AS (
   SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a
   FROM candidates WHERE k = 3),
