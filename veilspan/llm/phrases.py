@@ -18,6 +18,7 @@ TEXT_ROWS = 400_000  # phrases a task holds before they go out
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 BLANK, CUT = 1, 2  # kinds of bytes that are no part of a word
+SALTS = 16  # keys of one part of a phrase
 SPACE = 0x20
 
 
@@ -442,11 +443,22 @@ def collocations(
     left = scored.join(longer, ["lang", "phrase"], "left").filter(
         F.coalesce(100 * F.col("longer").cast("decimal(20,0)") < covered_percent * F.col("a").cast("decimal(20,0)"), F.lit(True))
     )
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.join(total, "lang").select(
-        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", F.col("cut.score").alias("score")
-    )
+    best = _first(left.select("lang", "phrase", "a", "cut.*"), [F.desc("score"), F.desc("a"), F.col("phrase")], top)
+    return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
 
+def _first(rows: DataFrame, order: list[Column], top: int) -> DataFrame:
+    """The first ``top`` rows of each language with their ``rank``, without a language in one task.
 
-SALTS = 16
+    Rows are dealt to ranges of (language, order); the sizes of the ranges tell
+    how many rows are before each, and only ranges that begin before ``top``
+    are numbered.
+    """
+    dealt = checkpointed(rows.repartitionByRange("lang", *order).withColumn("range", F.spark_partition_id()))
+    sizes = dealt.groupBy("lang", "range").agg(F.count("*").alias("rows"))
+    earlier = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("lang", "range", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    numbered = dealt.join(begins.filter(F.col("before") < top), ["lang", "range"]).withColumn(
+        "rank", F.col("before") + F.row_number().over(Window.partitionBy("lang", "range").orderBy(*order))
+    )
+    return numbered.filter(F.col("rank") <= top)
