@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import byte_strings, checkpointed, col, slices
 
-SLICE = 2 << 20  # bytes of text hashed at once
-PENDING = 2_000_000  # fingerprints a task holds before they go out
-TEXT_ROWS = 400_000  # phrases a task holds before they go out
+SLICE = 1 << 19  # bytes of text hashed at once, one text at least
+PENDING = 1_000_000  # fingerprints a task holds before they go out
+TEXT_ROWS = 250_000  # phrases a task holds before they go out
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MASK = (1 << 64) - 1
 BLANK, CUT = 1, 2  # kinds of bytes that are no part of a word
