@@ -7,9 +7,12 @@ findings ``struct<name,start,end>``.  A NULL span means "present, no place".
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from veilspan.functions.text import (
 )
 from veilspan.functions.validators import digits_only, luhn
 from veilspan.operators.entropy import TOKEN_CLASS
-from veilspan.operators.patterns import CompiledRule, compile_rule, locate_candidates
+from veilspan.operators.patterns import CompiledRule, candidates_of, compile_rule, locate_candidates
 from veilspan.plans.guards import Guard
 from veilspan.sources import fixed_deep as fx
 
@@ -68,6 +71,18 @@ def _keyed(ord_: int, parts: Sequence[str], flags: str, guard: Guard) -> Compile
     return CompiledRule(ord_, java, "\x01${key}\x02${pre}\x02${secret}\x02${post}", guard)
 
 
+def _key_tried_once(parts: Sequence[str]) -> Sequence[str]:
+    """A bare key starts at the first letter of its run of key characters, or of what the match before left of it.
+
+    A later letter reaches the same end of the run, so it fails where the first
+    fails; a long run is then read once and not from each of its letters.
+    """
+    lead, key, *rest = parts
+    if lead or not key.endswith("[A-Za-z0-9_-]*"):
+        return parts
+    return ("(?:(?<![A-Za-z0-9_-])|\\G)[0-9-]*+", key + "+", *rest)
+
+
 def probes(first: int) -> Probes:
     """The heuristics' patterns as rules numbered from ``first``."""
     rules: list[CompiledRule] = []
@@ -83,7 +98,7 @@ def probes(first: int) -> Probes:
         return range(start, first + len(rules))
 
     keys = Guard(literals=_KEY_STEMS)
-    key_value = span(fx.KEY_VALUE, lambda o, p: _keyed(o, p, "", keys))
+    key_value = span(map(_key_tried_once, fx.KEY_VALUE), lambda o, p: _keyed(o, p, "", keys))
     env = add(lambda o: _keyed(o, fx.ENV_LINE, "(?m)", keys))
     connection = span(fx.CONNECTION, compile_rule)
     base64 = add(lambda o: compile_rule(o, fx.BASE64_RUN))
@@ -443,10 +458,27 @@ def _children(level: Column) -> Column:
     return F.flatten(F.transform(level, of))
 
 
-def locate_all(text: Column, p: Probes) -> Column:
-    """Located spans of every deep pattern, without the prefilter."""
-    every = literals([r.ord for r in p.rules], "int")
-    return locate_candidates(text, every, p.rules)
+def decoded_table(docs: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(doc_id, depth, readable, binary, text): every base64 text inside a text, one row each, ``depth`` levels down.
+
+    A level is exploded from the rows of the one above, so a document's texts
+    are rows of their own and no shuffle is needed.
+    """
+    nodes = docs.select("doc_id", F.lit(0).alias("depth"), lit(True).alias("readable"), lit(False).alias("binary"), "text")
+    levels = []
+    for d in range(1, depth + 1):
+        inner = nodes.filter("readable").select("doc_id", F.inline_outer(decoded_texts(F.col("text"))))
+        nodes = inner.filter("text is not null").select("doc_id", lit(d).alias("depth"), "readable", "binary", "text")
+        levels.append(nodes)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def locate_deep(text: Column, p: Probes) -> Column:
+    """Located spans of the deep patterns that the prefilter leaves for a decoded text."""
+    return let(candidates_of(text, p.rules), lambda cand: locate_candidates(text, cand, p.rules))
 
 
 def _before(loc: Column, p: Probes) -> Column:
@@ -483,7 +515,7 @@ def _own_names(b1: str, b2: str, b3: str, p: Probes, words: tuple[str, ...]) ->
             )
 
         none = F.expr("cast(array() as array<string>)")
-        return F.when(node["readable"], let(locate_all(t, p), both)).otherwise(
+        return F.when(node["readable"], let(locate_deep(t, p), both)).otherwise(
             F.struct(none.alias("before"), none.alias("after"))
         )
 
@@ -591,6 +623,7 @@ def _all_findings(text: str, loc: str, inner: str, p: Probes, words: tuple[str,
 
 
 WORDLIST_LIMIT = 4_096
+WORD_SET_LIMIT = 1_000_000  # a set of words that every worker holds, some 80 MB
 SALTS = 32
 
 
@@ -598,14 +631,18 @@ def mnemonic_table(docs: DataFrame, wordlist: DataFrame) -> DataFrame:
     """(doc_id, start, end, words) of runs of twelve or more listed words (DEEP11, JN6).
 
     ``wordlist`` has one column ``word``.  Its size is checked: a list within
-    the limit goes into the plan and the documents are read in one narrow
-    pass; a longer one is joined by word, and the runs are found per document.
+    the first limit goes into the plan, one within the second to the workers as
+    a set, and the documents are read in one narrow pass; only a longer one is
+    joined by word, and the runs are then found per document.
     """
-    words = [r["word"] for r in wordlist.select("word").limit(WORDLIST_LIMIT + 1).collect()]
+    listed = wordlist.select("word").filter("word is not null").distinct()
+    words = [r["word"] for r in listed.limit(WORDLIST_LIMIT + 1).collect()]
     if len(words) <= WORDLIST_LIMIT:
         marked = docs.select("doc_id", _word_marks(F.col("text"), words).alias("t"))
+    elif listed.limit(WORD_SET_LIMIT + 1).count() <= WORD_SET_LIMIT:
+        marked = _looked_up_marks(docs, listed)
     else:
-        marked = _joined_marks(docs, wordlist)
+        marked = _joined_marks(docs, listed)
 
     def runs(t: Column) -> Column:
         marks = F.array_join(F.transform(t, lambda x: x["hit"].cast("int").cast("string")), "")
@@ -636,6 +673,31 @@ def _word_marks(text: Column, words: Sequence[str]) -> Column:
     )
 
 
+def _looked_up_marks(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Marks from a set that every worker holds; no token leaves its document."""
+    words = docs.sparkSession.sparkContext.broadcast(frozenset(listed.toArrow().column(0).to_pylist()))
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cores = batch.column("cores")
+            hits = pa.array([w in words.value for w in cores.flatten().to_pylist()], pa.bool_())
+            ends = np.cumsum(pc.list_value_length(cores).fill_null(0).to_numpy(zero_copy_only=False))
+            offsets = pa.array(np.append(0, ends).astype("i4"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("t"), pa.ListArray.from_arrays(offsets, hits)], ["doc_id", "t", "hits"]
+            )
+
+    places = docs.select("doc_id", locate(F.col("text"), "\\S+").alias("t"))
+    tokens = places.select(
+        "doc_id",
+        F.transform("t", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("t"),
+        F.transform("t", lambda t: _core(t["value"])).alias("cores"),
+    )
+    key = dict(docs.select("doc_id").dtypes)["doc_id"]
+    marked = tokens.mapInArrow(looked_up, f"doc_id {key}, t array<struct<start: int, end: int>>, hits array<boolean>")
+    return marked.select("doc_id", F.zip_with("t", "hits", lambda t, h: t.withField("hit", h)).alias("t"))
+
+
 def _joined_marks(docs: DataFrame, wordlist: DataFrame) -> DataFrame:
     tokens = docs.select("doc_id", F.inline_outer(locate(F.col("text"), "\\S+"))).filter(
         "start is not null"

@@ -8,7 +8,7 @@ row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row
@@ -57,64 +57,90 @@ def compile_rules(rows: Iterable[Row], guarded: bool = True) -> list[CompiledRul
 # ---- prefilter -----------------------------------------------------------
 
 
+class _Prefilter:
+    """What is measured of a text, and which rules that leaves."""
+
+    def __init__(self, rules: Sequence[CompiledRule]):
+        self.rules = rules
+        self.classes = [c for c in RUN_CLASSES if any(c in r.guard.runs for r in rules)]
+        self.with_literal = [r for r in rules if r.guard.literals]
+        self.words = sorted({x for r in self.with_literal for x in r.guard.literals})
+        self.common = sorted({x for r in self.with_literal if not is_rare(r.guard) for x in r.guard.literals})
+
+    def found(self, text: Column, run: Callable[[str], Column]) -> Column:
+        """The literals that occur; ``run`` gives the longest run of a class."""
+        if not self.words:
+            return empty_array("string")
+        rare = lit(False)
+        for c in self.classes:
+            if c in RARE_RUNS:
+                rare = rare | (run(c) >= RARE_RUNS[c])
+        few = literals_in(lowered(text), self.common) if self.common else empty_array("string")
+        return F.when(rare, literals_in(lowered(text), self.words)).otherwise(few)
+
+    def left(self, found: Column, have: Column | None) -> Column:
+        """Ascending numbers of the rules that can match; ``have`` holds the longest run of each class."""
+        by_literal: dict[str, list[int]] = {}
+        for r in self.with_literal:
+            for x in r.guard.literals:
+                for y in implied_by(x, self.words):
+                    by_literal.setdefault(y, []).append(r.ord)
+        named = literals([r.ord for r in self.rules if not r.guard.literals], "int")
+        if by_literal:
+            index = literal_map(
+                [(word, tuple(sorted(set(ords)))) for word, ords in by_literal.items()],
+                "string,array<int>",
+            )
+            told = F.flatten(F.transform(found, lambda w: F.try_element_at(index, w)))
+            named = F.concat(named, told)
+
+        top = max(r.ord for r in self.rules) + 1
+
+        def needs(name: str) -> Column:
+            size = {r.ord: r.guard.runs.get(name, 0) for r in self.rules}
+            return literals([size.get(o, 0) for o in range(top)], "int")
+
+        def long_enough(o: Column, have: Column) -> Column:
+            cond = lit(True)
+            for name in self.classes:
+                cond = cond & (F.get(needs(name), o) <= have[name])
+            return cond
+
+        cand_all = cand = F.array_distinct(named)
+        if self.classes:
+            # the measured runs are bound once, outside the lambda over rules
+            cand = let(have, lambda h: F.filter(cand_all, lambda o: long_enough(o, h)))
+        return F.array_sort(cand)
+
+
 @generated
 def add_candidates(df: DataFrame, text: str, rules: Sequence[CompiledRule], out: str) -> DataFrame:
     """Add ``out``: ascending rule numbers that can match ``text`` (DET1)."""
     if not rules:
         return df.withColumn(out, empty_array("int"))
-    classes = [c for c in RUN_CLASSES if any(c in r.guard.runs for r in rules)]
-    with_literal = [r for r in rules if r.guard.literals]
-    words = sorted({x for r in with_literal for x in r.guard.literals})
-    common = sorted({x for r in with_literal if not is_rare(r.guard) for x in r.guard.literals})
+    pre = _Prefilter(rules)
     found = f"_{out}_found"
-    runs = {c: f"_{out}_{c}" for c in classes}
-    measured = df.withColumns({runs[c]: longest_run(F.col(text), c) for c in classes})
-    if words:
-        rare = lit(False)
-        for c in classes:
-            if c in RARE_RUNS:
-                rare = rare | (F.col(runs[c]) >= RARE_RUNS[c])
-        few = literals_in(lowered(F.col(text)), common) if common else empty_array("string")
-        measured = measured.withColumn(
-            found, F.when(rare, literals_in(lowered(F.col(text)), words)).otherwise(few)
-        )
+    runs = {c: f"_{out}_{c}" for c in pre.classes}
+    measured = df.withColumns({runs[c]: longest_run(F.col(text), c) for c in pre.classes})
+    measured = measured.withColumn(found, pre.found(F.col(text), lambda c: F.col(runs[c])))
+    have = F.struct(*[F.col(runs[c]).alias(c) for c in pre.classes]) if pre.classes else None
+    return measured.withColumn(out, pre.left(F.col(found), have)).drop(*runs.values(), found)
 
-    by_literal: dict[str, list[int]] = {}
-    for r in with_literal:
-        for x in r.guard.literals:
-            for y in implied_by(x, words):
-                by_literal.setdefault(y, []).append(r.ord)
-    open_to_all = [r.ord for r in rules if not r.guard.literals]
-    named = literals(open_to_all, "int")
-    if by_literal:
-        index = literal_map(
-            [(word, tuple(sorted(set(ords)))) for word, ords in by_literal.items()],
-            "string,array<int>",
-        )
-        told = F.flatten(F.transform(F.col(found), lambda w: F.try_element_at(index, w)))
-        named = F.concat(named, told)
-
-    top = max(r.ord for r in rules) + 1
-
-    def needs(name: str) -> Column:
-        size = {r.ord: r.guard.runs.get(name, 0) for r in rules}
-        return literals([size.get(o, 0) for o in range(top)], "int")
-
-    def long_enough(o: Column, have: Column) -> Column:
-        cond = lit(True)
-        for name in classes:
-            cond = cond & (F.get(needs(name), o) <= have[name])
-        return cond
-
-    cand_all = cand = F.array_distinct(named)
-    if classes:
-        # the measured runs are bound once, outside the lambda over rules
-        have = F.struct(*[F.col(runs[c]).alias(c) for c in classes])
-        cand = let(have, lambda h: F.filter(cand_all, lambda o: long_enough(o, h)))
-    return (
-        measured.withColumn(out, F.array_sort(cand))
-        .drop(*runs.values(), found)
-    )
+
+@generated
+def candidates_of(text: Column, rules: Sequence[CompiledRule]) -> Column:
+    """The same for any text, also one inside an array."""
+    if not rules:
+        return empty_array("int")
+    pre = _Prefilter(rules)
+
+    def measured(t: Column) -> Column:
+        if not pre.classes:
+            return let(pre.found(t, lambda c: lit(0)), lambda f: pre.left(f, None))
+        have = F.struct(*[longest_run(t, c).alias(c) for c in pre.classes])
+        return let(have, lambda h: let(pre.found(t, lambda c: h[c]), lambda f: pre.left(f, h)))
+
+    return let(text, measured)
 
 
 # ---- locating ------------------------------------------------------------
