@@ -101,6 +101,13 @@ def softwrap_spans(
     )
 
 
+FOUND = "struct<start:int,end:int,value:string,score:double,fresh:boolean>"
+
+
+def _in_sorted(ascending: Column, x: Column) -> Column:
+    return F.coalesce(F.get(ascending, count_le(ascending, x) - lit(1)) == x, lit(False))
+
+
 def softwrap_entropy(
     runs: Column, tokens: Column, before: Column, cut: Column, text: Column, allow: Column
 ) -> Column:
@@ -108,9 +115,13 @@ def softwrap_entropy(
 
     ``runs`` and ``tokens`` come from the joined text, ``before`` holds the
     token values of the original.  A token counts when it was no token before
-    and no newline-free fragment of the occurrence was one.
+    and no newline-free fragment of the occurrence was one, also not one that
+    was accepted earlier.
+
+    Tokens and fragments are looked up in sorted arrays.  Only where a fragment
+    equals one of the new tokens, so that one decision hangs on another, are
+    they taken one after the other.
     """
-    ddl = "struct<start:int,end:int,value:string,score:double,fresh:boolean>"
 
     def places(values: Column, c: Column) -> Column:
         """Occurrences of the tokens that hold a line break in the original."""
@@ -122,49 +133,90 @@ def softwrap_entropy(
         )
         return _mapped(found, c["cut"], c["raw"], c["allow"])
 
-    def step(acc: Column, item: Column, c: Column) -> Column:
-        known = F.concat(before, F.transform(acc, lambda a: a["value"]))
+    def with_parts(found: Column, c: Column) -> Column:
+        def parts(s: Column) -> Column:
+            return F.filter(F.split(byte_slice(c["raw"], s["start"], s["end"]), "[\r\n]+"), lambda p: p != "")
 
-        def additive(s: Column, known_: Column) -> Column:
-            parts = F.split(byte_slice(c["raw"], s["start"], s["end"]), "[\r\n]+")
-            return ~F.arrays_overlap(F.filter(parts, lambda p: p != ""), known_)
+        return F.transform(found, lambda s: s.withField("parts", parts(s)))
 
-        kept = let(
-            known,
-            lambda k: F.filter(item["places"], lambda s: additive(s, k)),
-        )
-        return F.concat(
-            acc,
-            F.transform(
-                kept,
-                lambda s: F.struct(
+    def at_once(new: Column, found: Column, old: Column) -> Column:
+        """Every place by its start, then by its token's turn."""
+
+        def numbered(turns: Column) -> Column:
+            values = F.transform(turns, lambda t: t["value"])
+
+            def by_start(sorted_values: Column) -> Column:
+                def turn(v: Column) -> Column:
+                    return F.get(turns, count_le(sorted_values, v) - lit(1))["turn"]
+
+                kept = F.filter(found, lambda s: ~F.exists(s["parts"], lambda p: _in_sorted(old, p)))
+                return F.array_sort(
+                    F.transform(
+                        kept,
+                        lambda s: F.struct(
+                            s["start"].alias("start"), turn(s["value"]).alias("turn"), s["end"].alias("end"), s["value"].alias("value")
+                        ),
+                    )
+                )
+
+            return let(values, by_start)
+
+        turns = F.array_sort(F.transform(new, lambda v, i: F.struct(v.alias("value"), i.alias("turn"))))
+        return let(
+            let(turns, numbered),
+            lambda placed: F.transform(
+                placed,
+                lambda s, i: F.struct(
                     s["start"].alias("start"),
                     s["end"].alias("end"),
                     s["value"].alias("value"),
-                    item["score"].alias("score"),
-                    (~F.exists(acc, lambda a: a["start"] == s["start"])).alias("fresh"),
+                    shannon_entropy(s["value"]).alias("score"),
+                    (~F.coalesce(F.when(i > 0, F.get(placed, i - lit(1))["start"] == s["start"]), lit(False))).alias("fresh"),
                 ),
-            ).cast(f"array<{ddl}>"),
+            ),
         )
 
+    def in_turn(new: Column, found: Column) -> Column:
+        """One token after the other, each against those accepted before it."""
+
+        def step(acc: Column, value: Column) -> Column:
+            def kept(known: Column) -> Column:
+                return F.filter(
+                    found, lambda s: (s["value"] == value) & ~F.arrays_overlap(s["parts"], known)
+                )
+
+            mine = let(F.concat(before, F.transform(acc, lambda a: a["value"])), kept)
+            return F.concat(
+                acc,
+                F.transform(
+                    mine,
+                    lambda s: F.struct(
+                        s["start"].alias("start"),
+                        s["end"].alias("end"),
+                        s["value"].alias("value"),
+                        shannon_entropy(value).alias("score"),
+                        (~F.exists(acc, lambda a: a["start"] == s["start"])).alias("fresh"),
+                    ),
+                ).cast(f"array<{FOUND}>"),
+            )
+
+        split = F.array_intersect(new, F.transform(found, lambda s: s["value"]))
+        return F.aggregate(split, empty_array(FOUND), step)
+
+    def decided(new: Column, found: Column) -> Column:
+        def judged(fragments: Column) -> Column:
+            alone = F.size(F.array_intersect(fragments, new)) == 0
+            old = F.array_sort(F.array_intersect(fragments, before))
+            at_once_ = let(old, lambda o: at_once(new, found, o)).cast(f"array<{FOUND}>")
+            return F.when(alone, at_once_).otherwise(in_turn(new, found))
+
+        fragments = F.array_distinct(F.flatten(F.transform(found, lambda s: s["parts"])))
+        return F.when(F.size(found) == 0, empty_array(FOUND)).otherwise(let(fragments, judged))
+
     def run(c: Column) -> Column:
         # one entry per distinct token, in first-seen order
         new = F.array_except(F.transform(tokens, lambda t: t["value"]), before)
-
-        def of_places(found: Column, values: Column) -> Column:
-            split = F.array_intersect(values, F.transform(found, lambda s: s["value"]))
-            return F.transform(
-                split,
-                lambda v: F.struct(
-                    shannon_entropy(v).alias("score"),
-                    F.filter(found, lambda s: s["value"] == v).alias("places"),
-                ),
-            )
-
-        located = let(new, lambda values: let(places(values, c), lambda found: of_places(found, values)))
-        return F.aggregate(
-            located, F.expr(f"cast(array() as array<{ddl}>)"), lambda acc, x: step(acc, x, c)
-        )
+        return let(new, lambda values: let(with_parts(places(values, c), c), lambda found: decided(values, found)))
 
     return let(
         F.struct(cut.alias("cut"), text.cast("binary").alias("raw"), allow.alias("allow")), run

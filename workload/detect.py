@@ -449,11 +449,72 @@ def det9(spark, sf):
     return _soft(spark, sf, "softwrap")
 
 
-@register("det10_softwrap_entropy")
+# lines that a soft wrap joins are one chain; no text here has a carriage return
+_CHAINS_SQL = (
+    "lines AS (SELECT doc_id, n, ls[n] AS line, coalesce(list_sum(list_transform(ls[1:n-1], lambda x: strlen(x) + 1)), 0) AS at, "
+    "n < len(ls) AND regexp_matches(ls[n], '[A-Za-z0-9+/=_.-]{6}$') AND regexp_matches(ls[n + 1], '^[A-Za-z0-9+/=_.-]{2}') "
+    f"AND NOT regexp_matches(ls[n + 1], {quote(_NEXT_NAME)}) AS joins FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n "
+    "FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM planted))), "
+    "links AS (SELECT *, n - coalesce(sum(joins::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ch FROM lines), "
+    "placed AS (SELECT *, coalesce(sum(length(line)) OVER w, 0) AS off, coalesce(sum(strlen(line)) OVER w, 0) AS off_bytes FROM links "
+    "WINDOW w AS (PARTITION BY doc_id, ch ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
+    "chains AS (SELECT doc_id, ch, string_agg(line, '' ORDER BY n) AS t FROM placed GROUP BY 1, 2 HAVING count(*) > 1)"
+)
+
+
+def _tokens_sql(source: str) -> str:
+    return (
+        f"SELECT DISTINCT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_.\\-]+')) AS value FROM {source}) "
+        f"WHERE strlen(value) BETWEEN 20 AND 256 AND {entropy_sql('value')} >= 3.8"
+    )
+
+
+@register(
+    "det10_softwrap_entropy",
+    f"WITH {PLANTED_SQL}, {_CHAINS_SQL}, old AS ({_tokens_sql('(SELECT doc_id, text AS t FROM planted)')}), "
+    f"new AS (SELECT * FROM ({_tokens_sql('chains')}) ANTI JOIN old USING (doc_id, value)), "
+    "occ AS (SELECT doc_id, ch, value, list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(value) AS s FROM ("
+    "SELECT doc_id, ch, value, parts, unnest(range(1, len(parts))) AS i FROM (SELECT doc_id, ch, value, string_split(t, value) AS parts FROM chains JOIN new USING (doc_id)))), "
+    "spans AS (SELECT o.doc_id, o.value, a.n AS n1, b.n AS n2, a.at + strlen(left(a.line, CAST(s - a.off AS BIGINT))) AS start, "
+    "b.at + strlen(left(b.line, CAST(s + length(value) - b.off AS BIGINT))) AS \"end\", "
+    "substring(a.line, CAST(s - a.off + 1 AS BIGINT)) AS f1, left(b.line, CAST(s + length(value) - b.off AS BIGINT)) AS f2 FROM occ o "
+    "JOIN placed a ON a.doc_id = o.doc_id AND a.ch = o.ch AND s >= a.off AND s < a.off + length(a.line) "
+    "JOIN placed b ON b.doc_id = o.doc_id AND b.ch = o.ch AND s + length(value) > b.off AND s + length(value) <= b.off + length(b.line) WHERE a.n < b.n), "
+    f"allow AS ({ALLOW_SQL}) "
+    "SELECT doc_id, 'entropy' AS name, min(start) AS start, \"end\", value FROM spans h WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.doc_id = h.doc_id AND (o.value = f1 OR o.value = f2)) "
+    "AND NOT EXISTS (SELECT 1 FROM old o JOIN placed l ON l.doc_id = o.doc_id AND o.value = l.line WHERE l.doc_id = h.doc_id AND l.n > n1 AND l.n < n2) "
+    'AND NOT EXISTS (SELECT 1 FROM allow a WHERE a.doc_id = h.doc_id AND a.start <= h.start AND h."end" <= a."end") GROUP BY h.doc_id, start, "end", value',
+)
 def det10(spark, sf):
     return _soft(spark, sf, "softwrap_entropy")
 
 
+_SOFT_ROWS = rule_rows(lambda r: r[2] in ("GitHub Personal Access Token", "AWS Access Key ID", "Visa Card"))
+
+
+def _chain_hits_sql(row) -> str:
+    ok = f" WHERE {CHECK_SQL[row[6]]}" if row[6] else ""
+    return (
+        f"SELECT doc_id, ch, {row[0]} AS ord, {quote(row[2])} AS name, s, e, value FROM (SELECT doc_id, ch, start AS s, \"end\" AS e, value, value AS v "
+        f"FROM ({span_sql(row[5], 'chains', 't', 'doc_id, ch')})){ok}"
+    )
+
+
+@register(
+    "det9_softwrap_chains",
+    f"WITH {PLANTED_SQL}, {_CHAINS_SQL}, hits AS (" + " UNION ALL ".join(map(_chain_hits_sql, _SOFT_ROWS)) + "), "
+    "spans AS (SELECT h.doc_id, ord, name, value, a.n AS n1, b.n AS n2, a.at + s - a.off_bytes AS start, b.at + e - b.off_bytes AS \"end\" FROM hits h "
+    "JOIN placed a ON a.doc_id = h.doc_id AND a.ch = h.ch AND s >= a.off_bytes AND s < a.off_bytes + strlen(a.line) "
+    "JOIN placed b ON b.doc_id = h.doc_id AND b.ch = h.ch AND e > b.off_bytes AND e <= b.off_bytes + strlen(b.line) WHERE a.n < b.n), "
+    f"allow AS ({ALLOW_SQL}), plain AS ({hits_sql(_SOFT_ROWS)}) "
+    "SELECT doc_id, name, start, \"end\", value FROM spans h WHERE NOT EXISTS (SELECT 1 FROM plain p WHERE p.doc_id = h.doc_id AND p.ord = h.ord AND p.start = h.start) "
+    'AND NOT EXISTS (SELECT 1 FROM allow a WHERE a.doc_id = h.doc_id AND a.start <= h.start AND h."end" <= a."end")',
+)
+def det9_chains(spark, sf):
+    """The same matches against SQL over rejoined lines, wherever they are."""
+    return _soft(spark, sf, "softwrap")
+
+
 @register(
     "det11_has_findings",
     f"WITH {PLANTED_SQL} SELECT doc_id FROM planted WHERE " + " OR ".join(f"regexp_matches(text, {quote(r[5])})" for r in _SOME_ROWS if not r[6]),
@@ -631,6 +692,20 @@ def deep8(spark, sf):
     return _deep(spark, sf, "JSON Secret")
 
 
+_JSON_VALUE = "regexp_extract_all(text, '\\{\"a\":\\{\"password\":\"([A-Za-z0-9_./+-]{8,})\"\\}\\}', 1)"
+
+
+@register(
+    "deep8_json_values",
+    f"WITH {PLANTED_SQL} SELECT doc_id, md5(v) AS value FROM (SELECT doc_id, unnest({_JSON_VALUE}) AS v FROM planted) WHERE {entropy_sql('v')} > 3.5",
+)
+def deep8_values(spark, sf):
+    """The values of nested JSON, read at the places that were found."""
+    found = _deep(spark, sf, "JSON Secret").join(planted(spark, sf).select("doc_id", "text"), "doc_id")
+    value = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start")).cast("string")
+    return found.select("doc_id", F.md5(value).alias("value"))
+
+
 _NEAR = "(?i)\\b(" + "|".join(X.PROXIMITY_WORDS) + ")\\b"
 
 
