@@ -29,8 +29,10 @@ def test_long_word_list_gives_the_same_runs(spark, monkeypatch):
     listed = spark.createDataFrame([(w,) for w in words], "word string")
     narrow = [tuple(r) for r in deep.mnemonic_table(docs, listed).collect()]
     monkeypatch.setattr(deep, "WORDLIST_LIMIT", 3)
+    looked_up = [tuple(r) for r in deep.mnemonic_table(docs.union(docs.limit(0)), listed).collect()]
+    monkeypatch.setattr(deep, "WORD_SET_LIMIT", 3)
     joined = [tuple(r) for r in deep.mnemonic_table(docs, listed).collect()]
-    assert narrow == joined == [(1, 3, 3 + 13 * 4, 13)]
+    assert narrow == looked_up == joined == [(1, 3, 3 + 13 * 4, 13)]
 
 
 def test_gates(spark):

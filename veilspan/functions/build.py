@@ -8,6 +8,7 @@ made once per Spark context and reused by every plan.
 from __future__ import annotations
 
 import functools
+from collections import OrderedDict
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 
@@ -39,16 +40,29 @@ def generated(fn: Callable) -> Callable:
     return run
 
 
+KEPT = 50_000  # expressions; those not used for longest go first
+
+
+class _Store(OrderedDict):
+    """Expressions of one Spark context, the latest used last."""
+
+    def made(self, key, make: Callable[[], Column]) -> Column:
+        if key in self:
+            self.move_to_end(key)
+            return self[key]
+        self[key] = column = make()
+        if len(self) > KEPT:
+            self.popitem(last=False)
+        return column
+
+
 _made: dict = {}
 
 
-def _store() -> dict:
-    """Expressions of the current Spark context."""
+def _store() -> _Store:
     context = SparkContext._active_spark_context
     if _made.get("context") is not context:
-        _made.clear()
-        _made["context"] = context
-        _made["columns"] = {}
+        _made.update(context=context, columns=_Store())
     return _made["columns"]
 
 
@@ -57,22 +71,17 @@ def reused(fn: Callable) -> Callable:
 
     @functools.wraps(fn)
     def run(*args):
-        store = _store()
-        key = (fn.__module__, fn.__qualname__, args)
-        if key not in store:
+        def make() -> Column:
             with _quiet():
-                store[key] = fn(*args)
-        return store[key]
+                return fn(*args)
+
+        return _store().made((fn.__module__, fn.__qualname__, args), make)
 
     return run
 
 
 def lit(value) -> Column:
-    store = _store()
-    key = ("lit", type(value), value)
-    if key not in store:
-        store[key] = F.lit(value)
-    return store[key]
+    return _store().made(("lit", type(value), value), lambda: F.lit(value))
 
 
 def _sql(value) -> str:
@@ -87,22 +96,21 @@ def _sql(value) -> str:
 def literals(values: Iterable, ddl: str) -> Column:
     """An array of literals, made by one call."""
     values = list(values)
-    key = ("array", tuple(values), ddl)
-    store = _store()
-    if key not in store:
-        store[key] = F.expr(f"cast(array({', '.join(map(_sql, values))}) as array<{ddl}>)")
-    return store[key]
+    return _store().made(
+        ("array", tuple(values), ddl),
+        lambda: F.expr(f"cast(array({', '.join(map(_sql, values))}) as array<{ddl}>)"),
+    )
 
 
 def literal_map(pairs: Iterable[tuple], ddl: str) -> Column:
     """A map of literals, made by one call; tuple values become arrays."""
     pairs = list(pairs)
-    key = ("map", tuple(pairs), ddl)
-    store = _store()
-    if key not in store:
+
+    def make() -> Column:
         parts = []
         for k, v in pairs:
             text = f"array({', '.join(map(_sql, v))})" if isinstance(v, tuple) else _sql(v)
             parts += [_sql(k), text]
-        store[key] = F.expr(f"cast(map({', '.join(parts)}) as map<{ddl}>)")
-    return store[key]
+        return F.expr(f"cast(map({', '.join(parts)}) as map<{ddl}>)")
+
+    return _store().made(("map", tuple(pairs), ddl), make)

@@ -106,6 +106,19 @@ def catalog_profile(catalog: DataFrame) -> DataFrame:
     )
 
 
+CUBE = ("bucket", "severity", "category", "validated")
+
+
+def catalog_cube(catalog: DataFrame, *measures: Column) -> DataFrame:
+    """Rules by bucket, severity, category and checksum gate, with all subtotals (SEL12).
+
+    ``level`` is the grouping id: a set bit, bucket first, marks a column that
+    is summed over, and tells its NULL from one in the table.
+    """
+    rows = catalog.withColumn("validated", F.col("validator").isNotNull())
+    return rows.cube(*CUBE).agg(F.grouping_id().alias("level"), F.count("*").alias("rules"), *measures)
+
+
 def active_rules(
     spark: SparkSession,
     cfg: ScanConfig,

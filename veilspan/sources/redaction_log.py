@@ -15,10 +15,14 @@ LOG_LIMIT = 1024 * 1024
 MAX_COUNT = 2**63 - 1
 
 
+#: Date, time to the second or finer, and a zone (RFC 3339).
+STAMP = "^\\d{4}-\\d{2}-\\d{2}[Tt ]\\d{2}:\\d{2}:\\d{2}(?:\\.\\d+)?(?:[Zz]|[+-]\\d{2}:\\d{2})$"
+
+
 def parse_log(raw: DataFrame) -> DataFrame:
-    """(ts TIMESTAMP, count) from text columns; unusable rows are dropped."""
+    """(ts TIMESTAMP, count) from text columns; unusable rows are dropped, also times without a zone."""
     return raw.select(
-        F.try_to_timestamp("ts").alias("ts"), F.col("count").cast("bigint").alias("count")
+        F.when(F.col("ts").rlike(STAMP), F.try_to_timestamp(F.upper("ts"))).alias("ts"), F.col("count").cast("bigint").alias("count")
     ).filter("ts is not null and count is not null and count >= 0")
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspan import ScanConfig
-from veilspan.operators import patterns, select
+from veilspan.operators import patterns, reports, select
 from veilspan.plans import scan as scan_plan
 from veilspan.sources import rules
 from workload import base
-from workload.base import PLANTED_SQL, planted, register, shared_folder, span_sql, table
+from workload.base import PLANTED_SQL, hits_sql, planted, quote, register, rule_rows, shared_folder, span_sql, table
 
 # rules made of supplier keys: two kinds that are good, three that are not
 _KINDS = {
@@ -125,3 +125,45 @@ def sel7(spark, sf):
     said = F.when(reason.startswith(rules.NOT_COMPILED), "does not compile").otherwise(reason)
     both = rejected.select("name", said.alias("verdict")).unionByName(good.select("name", F.lit("good").alias("verdict")))
     return both.select(F.col("name").cast("bigint").alias("s_suppkey"), "verdict")
+
+
+_CUBE_ARMS = " UNION ALL ".join(
+    f"SELECT {quote(r[1])} AS bucket, {quote(r[4])} AS severity, {quote(r[3])} AS category, {r[6] is not None} AS validated, "
+    f"(SELECT count(*) FROM planted WHERE regexp_matches(text, {quote(r[5])})) AS n"
+    for r in rule_rows()
+)
+
+
+@register(
+    "sel12_catalog_cube",
+    f"WITH {PLANTED_SQL} SELECT bucket, severity, category, validated, grouping_id(bucket, severity, category, validated) AS level, "
+    f"count(*) AS rules, cast(sum(n) AS BIGINT) AS docs FROM ({_CUBE_ARMS}) GROUP BY CUBE (bucket, severity, category, validated)",
+)
+def sel12_cube(spark, sf):
+    """All subtotals over the built-in rules, with the documents that each rule is found in."""
+    catalog = rules.load_catalog(spark)
+    found = patterns.match_patterns(planted(spark, sf), catalog).select("doc_id", "ord").distinct()
+    counts = found.groupBy("ord").agg(F.count("*").alias("n"))
+    # the catalog is a table of checked size
+    rows = catalog.join(counts, "ord", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return select.catalog_cube(rows, F.sum("n").alias("docs")).withColumn("level", F.col("level").cast("bigint"))
+
+
+_SOME = base.named("AWS Access Key ID", "Email Address", "US Social Security Number", "Phone Number", "IPv4 Address", "Visa Card")
+
+
+@register(
+    "agg5_mergeable_distincts",
+    f"WITH {PLANTED_SQL}, hits AS ({hits_sql([r for r in rule_rows() if r[0] in _SOME])}) "
+    "SELECT category, count(*) AS findings, count(DISTINCT doc_id) AS leaky_docs, true AS within_bound FROM hits GROUP BY 1",
+)
+def agg5_sketches(spark, sf):
+    """Sketches by day, merged; the estimate lies within three standard errors of the exact count."""
+    found = patterns.match_patterns(planted(spark, sf), base.some_rules(spark, _SOME))
+    daily = reports.document_sketches(found.withColumn("day", F.pmod(F.xxhash64("doc_id", "start"), F.lit(7))), "day", "category")
+    merged = reports.merge_sketches(daily, "category").select("category", "findings", F.col("leaky_docs").alias("estimate"))
+    exact = found.groupBy("category").agg(F.count_distinct("doc_id").alias("leaky_docs"))
+    bound = F.ceil(3 * 1.04 / 2 ** (reports.LG_CELLS / 2) * F.col("leaky_docs"))
+    return merged.join(exact, "category").select(
+        "category", "findings", "leaky_docs", (F.abs(F.col("estimate") - F.col("leaky_docs")) <= bound).alias("within_bound")
+    )
