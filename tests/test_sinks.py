@@ -43,3 +43,15 @@ def test_gates(spark):
     raw = docs.select("doc_id", F.expr("concat(cast(text as binary), X'FF')").alias("raw"))
     good, bad = documents.valid_utf8_gate(raw)
     assert good.count() == 0 and bad.count() == 2
+
+
+def test_ocr_words_of_splits_read_in_another_order(spark):
+    from veilspan.sources.ocr import parse_ocr_lines
+
+    def line(word):
+        return "\t".join(["5", "1", "1", "1", "1", "1", "0", "0", "5", "5", "90", word])
+
+    rows = [("a", 4096, 0, line("third")), ("a", 0, 8589934592, line("first")), ("a", 0, 8589934593, line("second")), ("b", 0, 7, line("own"))]
+    words = parse_ocr_lines(spark.createDataFrame(rows, "image_id string, block_start long, line_no long, line string"))
+    got = [(r["image_id"], r["word_ix"], r["text"]) for r in words.orderBy("image_id", "word_ix").collect()]
+    assert got == [("a", 0, "first"), ("a", 1, "second"), ("a", 2, "third"), ("b", 0, "own")]

@@ -48,8 +48,8 @@ def parse_ocr_lines(lines: DataFrame) -> DataFrame:
         "level = '5' and conf >= 0 and text <> '' and x is not null and y is not null "
         "and w is not null and h is not null"
     )
-    block = F.floor(F.col("line_no") / BLOCK_ROWS)
-    numbered = running_sum(
-        words.drop("level"), ["image_id"], block, [F.col("line_no")], F.lit(1), "word_ix"
-    )
+    # splits of one file can be read in any order: their first byte comes before the line's number
+    block = F.struct("block_start", F.floor(F.col("line_no") / BLOCK_ROWS))
+    order = [F.col("block_start"), F.col("line_no")]
+    numbered = running_sum(words.drop("level"), ["image_id"], block, order, F.lit(1), "word_ix")
     return numbered.withColumn("word_ix", (F.col("word_ix") - 1).cast("int"))
